@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from fractions import Fraction
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 HASHES = 4
@@ -40,15 +40,16 @@ def frequent_items(df: DataFrame, value: Column, share: float, hashes: int = HAS
     least = Fraction(str(share))
     if not 0 < least <= 1:
         raise ValueError("share must be in (0, 1]")
-    counts = bucket_counts(df, value, hashes).toArrow()  # hashes x BUCKETS rows at most
-    n = counts.column("n").to_numpy()
-    which = counts.column("which").to_numpy()
-    bucket = counts.column("bucket").to_numpy()
-    total = int(n[which == 0].sum())
-    heavy = n * least.denominator >= total * least.numerator
+    each = Window.partitionBy("which")  # BUCKETS rows at most
+    counts = bucket_counts(df, value, hashes).withColumn("total", F.sum("n").over(each))
+    heavy = counts.filter(F.col("n") * least.denominator >= F.col("total") * least.numerator).toArrow()
+    total = max(heavy.column("total").to_pylist(), default=0)  # without a heavy bucket no value can reach the threshold
+    listed: dict[int, list[int]] = {i: [] for i in range(hashes)}
+    for i, b in zip(heavy.column("which").to_pylist(), heavy.column("bucket").to_pylist()):
+        listed[i].append(b)  # at most 1 / share buckets of each hash
     rows = df.select(value.alias("value")).filter("value is not null")
-    for i in range(hashes):  # at most 1 / share buckets of each hash
-        rows = rows.filter(_bucket(F.col("value"), i).isin([int(b) for b in bucket[heavy & (which == i)]]))
+    for i in range(hashes):
+        rows = rows.filter(_bucket(F.col("value"), i).isin(listed[i]))
     survivors = rows.groupBy("value").agg(F.count(F.lit(1)).alias("n"))
     kept = survivors.filter(F.col("n") * least.denominator >= F.lit(total * least.numerator))
     return kept.withColumn("share", F.col("n") / F.lit(max(total, 1)))
