@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lociflow.functions import keys, sequence
+from lociflow.session import cut
 
 BINS = 2000
 START = 1e-6
@@ -64,35 +65,40 @@ def pair_status(pairs: DataFrame, least_mapq: int = 0) -> DataFrame:
     reach = lambda s: F.when(
         F.col(f"{s}.reverse"), F.col(f"{s}.end") - F.col(f"{s}.low") + 1
     ).otherwise(F.col(f"{s}.high") - F.col(f"{s}.beg") + 1)
-    known = lambda s: F.when(good(s), F.when(reach(s) > 0, reach(s)).otherwise(-1)).otherwise(-1)
-    fwd = F.when(~F.col("m1.reverse"), F.col("m1")).otherwise(F.col("m2"))
-    rev = F.when(~F.col("m1.reverse"), F.col("m2")).otherwise(F.col("m1"))
-    both = good("m1") & good("m2")
-    opposite = both & (F.col("m1.contig") == F.col("m2.contig")) & (F.col("m1.reverse") != F.col("m2.reverse"))
-    facing = opposite & (fwd["beg"] <= rev["end"])
-    clipped = F.col("m1.clipped") | F.col("m2.clipped")
-    one = F.when(good("m1"), F.col("m1.reverse")).otherwise(F.col("m2.reverse"))
+    own = pairs.withColumns({"_g1": good("m1"), "_g2": good("m2"), "_r1": reach("m1"), "_r2": reach("m2")})
+    known = lambda i: F.when(F.col(f"_g{i}") & (F.col(f"_r{i}") > 0), F.col(f"_r{i}")).otherwise(-1)
+    turned = F.coalesce(F.col("m1.reverse"), F.lit(False))
+    own = own.withColumns(
+        {
+            "_fwd": F.when(~F.col("m1.reverse"), F.col("m1")).otherwise(F.col("m2")),
+            "_rev": F.when(~F.col("m1.reverse"), F.col("m2")).otherwise(F.col("m1")),
+            "max1": F.when(turned, known(2)).otherwise(known(1)),
+            "max2": F.when(turned, known(1)).otherwise(known(2)),
+        }
+    )
+    opposite = F.col("_g1") & F.col("_g2") & (F.col("m1.contig") == F.col("m2.contig")) & (F.col("m1.reverse") != F.col("m2.reverse"))
+    own = own.withColumn("_facing", F.coalesce(opposite & (F.col("_fwd.beg") <= F.col("_rev.end")), F.lit(False)))
+    one = F.when(F.col("_g1"), F.col("m1.reverse")).otherwise(F.col("m2.reverse"))
     status = (
-        F.when(~good("m1") & ~good("m2"), "LowQual")
-        .when(~both, F.when(one, "RevOnly").otherwise("FwdOnly"))
-        .when(~facing, "NotPair")
-        .when(clipped, "PartialPair")
+        F.when(~F.col("_g1") & ~F.col("_g2"), "LowQual")
+        .when(~(F.col("_g1") & F.col("_g2")), F.when(one, "RevOnly").otherwise("FwdOnly"))
+        .when(~F.col("_facing"), "NotPair")
+        .when(F.col("m1.clipped") | F.col("m2.clipped"), "PartialPair")
         .otherwise("PropPair")
     )
-    first = F.when(F.coalesce(F.col("m1.reverse"), F.lit(False)), known("m2")).otherwise(known("m1"))
-    second = F.when(F.coalesce(F.col("m1.reverse"), F.lit(False)), known("m1")).otherwise(known("m2"))
-    return pairs.select(
+    where = lambda c: F.when(F.col("_facing"), c)
+    return own.select(
         "file_id",
         "read_idx",
         status.alias("status"),
-        first.alias("max1"),
-        second.alias("max2"),
-        F.when(facing, rev["end"] - fwd["beg"] + 1).otherwise(-1).alias("obs"),
+        "max1",
+        "max2",
+        where(F.col("_rev.end") - F.col("_fwd.beg") + 1).otherwise(-1).alias("obs"),
         F.coalesce("m1.contig", "m2.contig").alias("contig"),
-        F.when(facing, fwd["beg"]).alias("beg"),
-        F.when(facing, rev["end"]).alias("end"),
-        F.when(facing, ~fwd["clipped"]).alias("fwd_whole"),
-        F.when(facing, ~rev["clipped"]).alias("rev_whole"),
+        where(F.col("_fwd.beg")).alias("beg"),
+        where(F.col("_rev.end")).alias("end"),
+        where(~F.col("_fwd.clipped")).alias("fwd_whole"),
+        where(~F.col("_rev.clipped")).alias("rev_whole"),
     )
 
 
@@ -136,7 +142,7 @@ def adjusted(counts: DataFrame) -> DataFrame:
     every = spark.range(BINS).select(F.col("id").cast("int").alias("k")).join(counts, "k", "left").fillna(0, ["seen", "cut"])
     bins = every.agg(
         F.sum(F.col("seen") + F.col("cut")).alias("n"),
-        F.transform(F.array_sort(F.collect_list(F.struct("k", "seen", "cut"))), lambda x: x).alias("bins"),
+        F.array_sort(F.collect_list(F.struct("k", "seen", "cut"))).alias("bins"),
     )
     zero = F.expr("named_struct('f', 0D, 'g', 0D, 'out', cast(array() as array<double>))")
     n = F.greatest(F.col("n").cast("double"), F.lit(1.0))
@@ -153,6 +159,7 @@ def adjusted(counts: DataFrame) -> DataFrame:
 
 def adjusted_insert(pairs: DataFrame) -> DataFrame:
     """The sum of the two corrected densities, each without the single sides of one direction."""
+    pairs = cut(pairs.select("status", "max1", "max2", "obs", "fwd_whole", "rev_whole"))  # read twice, and a short plan
     a = adjusted(censored(pairs, "FwdOnly")).withColumnRenamed("density", "_a")
     b = adjusted(censored(pairs, "RevOnly")).withColumnRenamed("density", "_b")
     return a.join(b, "k").select("k", F.round(F.col("_a") + F.col("_b"), 9).alias("density"))
