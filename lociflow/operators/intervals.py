@@ -26,10 +26,11 @@ def binned(regions: DataFrame, beg: str = "beg", end: str = "end") -> DataFrame:
 def collapse(regions: DataFrame) -> DataFrame:
     """Disjoint ``chrom, beg, end``: neighbours with ``next.beg <= current.end`` are merged.
 
-    Regions are first merged within windows of BIN x 64 positions, so that the
-    ordered pass over a chromosome sees few rows.  Rows with a null are left out.
+    Of equal begins the farthest end stays, then regions are merged within windows
+    of BIN x 64 positions, so that the ordered pass over a chromosome sees few
+    rows.  Rows with a null are left out.
     """
-    own = regions.select("chrom", "beg", "end").dropna()
+    own = regions.select("chrom", "beg", "end").dropna().groupBy("chrom", "beg").agg(F.max("end").alias("end"))
     window = F.floor(F.col("beg") / (BIN * 64)).cast("bigint")
     return _merge(_merge(own.withColumn("_part", window), ["chrom", "_part"]), ["chrom"])
 
@@ -115,26 +116,26 @@ def covered(windows: DataFrame, callable_regions: DataFrame, key: str, least: fl
 def nearest(points: DataFrame, marks: DataFrame, key: str, reach: int) -> DataFrame:
     """As-of join both ways: ``left_pos`` and ``right_pos`` of the marks next to each point within ``reach``.
 
-    A mark at the point itself is its left neighbour.  Both sides are laid on
-    one line per (chrom, window) with a margin of ``reach``, so a window is the
-    most that one task orders.
+    A mark at the point itself is its left neighbour; points with a null have no
+    row.  Distinct positions and marks are laid on one line per (chrom, window)
+    with a margin of ``reach``, so one task orders a window's positions, however
+    many points share them; the points then look their position up.
     """
     span = max(reach, BIN)
     at = lambda x: F.floor(x / span).cast("bigint")
-    own = points.select(key, "chrom", "pos", at(F.col("pos")).alias("_w"), F.lit(1).alias("_kind"), F.lit(None).cast("int").alias("_mark"))
+    known = points.dropna(subset=["chrom", "pos"]).select(key, "chrom", "pos")
+    places = known.select("chrom", "pos").distinct()
+    own = places.select("chrom", "pos", at(F.col("pos")).alias("_w"), F.lit(1).alias("_kind"), F.lit(None).cast("int").alias("_mark"))
     near = F.array_distinct(F.array(at(F.col("pos") - reach), at(F.col("pos")), at(F.col("pos") + reach)))
-    other = marks.select("chrom", "pos").distinct()
-    kind = points.schema[key].dataType.simpleString()
-    other = other.select(
-        F.lit(None).cast(kind).alias(key), "chrom", "pos", F.explode(near).alias("_w"), F.lit(0).alias("_kind"), F.col("pos").alias("_mark")
-    )
-    line = Window.partitionBy("chrom", "_w").orderBy("pos", "_kind")
-    joined = own.unionByName(other).dropna(subset=["chrom", "pos"])
-    left = F.last("_mark", ignorenulls=True).over(line.rowsBetween(Window.unboundedPreceding, 0))
-    right = F.first("_mark", ignorenulls=True).over(line.rowsBetween(1, Window.unboundedFollowing))
+    other = marks.select("chrom", "pos").dropna().distinct()
+    other = other.select("chrom", "pos", F.explode(near).alias("_w"), F.lit(0).alias("_kind"), F.col("pos").alias("_mark"))
+    joined = own.unionByName(other)
+    upto = lambda *order: Window.partitionBy("chrom", "_w").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    left = F.last("_mark", ignorenulls=True).over(upto("pos", "_kind"))
+    right = F.last("_mark", ignorenulls=True).over(upto(F.desc("pos"), F.desc("_kind")))  # backwards, so both are running frames
     joined = joined.withColumns({"left_pos": left, "right_pos": right}).filter("_kind = 1")
     within = lambda c: F.when(F.abs(F.col(c) - F.col("pos")) <= reach, F.col(c)).alias(c)
-    return joined.select(key, "chrom", "pos", within("left_pos"), within("right_pos"))
+    return known.join(joined.select("chrom", "pos", within("left_pos"), within("right_pos")), ["chrom", "pos"])
 
 
 def neighbour_distance(marks: DataFrame) -> DataFrame:

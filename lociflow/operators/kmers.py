@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +15,9 @@ SIZE = 32
 OFFSETS = (0, 32, 64)
 #: Each of the six masks keeps two of the four blocks of eight bases.
 MASKS = ((0, 1), (2, 3), (0, 3), (1, 2), (0, 2), (1, 3))
+#: A, C, G and T are 0 to 3, any other character is 4.
+CODE = np.full(256, 4, np.uint8)
+CODE[np.frombuffer(b"ACGT", np.uint8)] = np.arange(4)
 
 
 def rolling(df: DataFrame, key: str, seq: str, size: int = SIZE) -> DataFrame:
@@ -34,20 +41,70 @@ def masked_keys(kmer: Column) -> Column:
     )
 
 
+def _words(sequences: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All 32-mers of a batch at two bits a base: word, sequence, place from 0, and whether all bases are known."""
+    sizes = np.array([len(s) for s in sequences], np.int64)
+    flat = CODE[np.frombuffer("".join(sequences).encode("latin-1", "replace"), np.uint8)]
+    if len(flat) < SIZE:
+        none = np.zeros(0, np.int64)
+        return none.astype(np.uint64), none, none, none.astype(bool)
+    n = len(flat) - SIZE + 1
+    word, unknown = np.zeros(n, np.uint64), np.zeros(n, np.int64)
+    two, odd = (flat & 3).astype(np.uint64), np.r_[0, np.cumsum(flat > 3)]
+    for j in range(SIZE):
+        word = (word << np.uint64(2)) | two[j : n + j]
+    unknown = odd[SIZE:] - odd[:n]
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    place = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    whole = np.flatnonzero(owner[:n] == owner[SIZE - 1 :])
+    return word[whole], owner[whole], place[whole], unknown[whole] == 0
+
+
+def _masked(word: np.ndarray) -> list[np.ndarray]:
+    """The key of each mask: two of the four 16-bit blocks of a word."""
+    block = [(word >> np.uint64(48 - 16 * i)) & np.uint64(0xFFFF) for i in range(4)]
+    return [((block[a] << np.uint64(16)) | block[b]).astype(np.int64) for a, b in MASKS]
+
+
 def panel_keys(panel: DataFrame, seq: str) -> DataFrame:
-    """Distinct ``mask, key`` of all 32-mers of the panel on both strands; k-mers with unknown bases are left out."""
-    both = panel.select(F.upper(F.col(seq)).alias("_p")).filter("_p is not null").distinct()
-    both = both.unionByName(both.select(sequence.reverse_complement("_p").alias("_p")))
-    kmers = rolling(both.withColumn("_k", F.lit(0)), "_k", "_p").filter("kmer rlike '^[ACGT]+$'").select("kmer").distinct()
-    return kmers.select(F.inline(masked_keys(F.col("kmer")))).distinct()
+    """Distinct ``mask, key`` of all 32-mers of the panel on both strands; k-mers with unknown bases are left out.
+
+    Words are built by shifts over Arrow batches; each batch sends distinct keys only.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            word, _, _, known = _words([s for x in batch.columns for s in x.to_pylist()])
+            keys = [np.unique(k) for k in _masked(word[known])]
+            masks = np.repeat(np.arange(len(MASKS), dtype=np.int8), [len(k) for k in keys])
+            yield pa.RecordBatch.from_arrays([pa.array(masks), pa.array(np.concatenate(keys))], names=["mask", "key"])
+
+    # a row makes some thousand keys: as many tasks as there are cores, however few bytes the rows take
+    cores = panel.sparkSession.sparkContext.defaultParallelism
+    upper = panel.select(F.upper(F.col(seq)).alias("_p")).filter("_p is not null").repartition(cores, "_p").distinct()
+    both = upper.select("_p", sequence.reverse_complement("_p").alias("_q"))
+    return both.mapInArrow(run, "mask tinyint, key bigint").distinct()
 
 
 def read_keys(reads: DataFrame, key: str, seq: str) -> DataFrame:
-    """``key, chunk, mask, key``-rows of the full 32-mers at offsets 0, 32 and 64 of each read."""
-    upper = F.upper(F.col(seq))
-    chunks = F.array(*[F.struct(F.lit(o).alias("chunk"), F.substr(upper, F.lit(o + 1), F.lit(SIZE)).alias("kmer")) for o in OFFSETS])
-    rows = reads.select(F.col(key).alias("_id"), F.inline(chunks)).filter(F.length("kmer") == SIZE)
-    return rows.select("_id", "chunk", F.inline(masked_keys(F.col("kmer"))))
+    """``_id, chunk, mask, key`` of the full 32-mers at offsets 0, 32 and 64 of each read; unknown bases count as A."""
+    kind = reads.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            word, owner, place, _ = _words(batch.column(1).to_pylist())
+            use = np.isin(place, OFFSETS)
+            masked, n = _masked(word[use]), int(use.sum())
+            columns = [
+                batch.column(0).take(pa.array(np.tile(owner[use], len(MASKS)))),
+                pa.array(np.tile(place[use], len(MASKS)).astype(np.int32)),
+                pa.array(np.repeat(np.arange(len(MASKS), dtype=np.int8), n)),
+                pa.array(np.concatenate(masked)),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=["_id", "chunk", "mask", "key"])
+
+    rows = reads.filter(F.length(seq) >= SIZE).select(F.col(key).alias("_id"), F.upper(F.col(seq)).alias("_s"))
+    return rows.mapInArrow(run, f"_id {kind}, chunk int, mask tinyint, key bigint")
 
 
 def shared_keys(reads: DataFrame, key: str, seq: str, panel: DataFrame, any_chunk: bool = False) -> DataFrame:

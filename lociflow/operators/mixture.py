@@ -82,8 +82,9 @@ class Likelihood:
         self.rows = counts.join(own, "marker_idx").select("marker_idx", "kind", "qual", "n", "mu", "ud")
         self.evaluations = 0
         self.local = None
-        if counts.count() <= ON_DRIVER:
-            self.local = self._arrays(self.rows.toArrow())
+        table = self.rows.limit(ON_DRIVER + 1).toArrow()
+        if table.num_rows <= ON_DRIVER:
+            self.local = self._arrays(table)
         else:
             self.rows = self.rows.repartition("marker_idx").sortWithinPartitions("marker_idx").persist()
 

@@ -175,12 +175,15 @@ def truncated_median(histogram: DataFrame, key: str, value: str, least: int) ->
 
 
 def insert_moments(df: DataFrame, key: str, value: str) -> DataFrame:
-    """Per key: quartiles by position, fences of two interquartile ranges, mean, deviation, skewness and kurtosis within."""
-    line = Window.partitionBy(key).orderBy(value)
-    ranked = df.filter(F.col(value).isNotNull()).select(
-        key, F.col(value).cast("double").alias("_x"), (F.row_number().over(line) - 1).alias("_i"), F.count(F.lit(1)).over(Window.partitionBy(key)).alias("_n")
-    )
-    at = lambda share: F.max(F.when(F.col("_i") == F.floor(F.col("_n") * share + 0.5), F.col("_x")))
+    """Per key: quartiles by position, fences of two interquartile ranges, mean, deviation, skewness and kurtosis within.
+
+    Rows are first counted by (key, value), so a key's pass is over its distinct values.
+    """
+    counts = df.filter(F.col(value).isNotNull()).groupBy(key, F.col(value).cast("double").alias("_x")).agg(F.count(F.lit(1)).alias("_c"))
+    line = Window.partitionBy(key)
+    upto = F.sum("_c").over(line.orderBy("_x"))
+    ranked = counts.withColumns({"_upto": upto, "_n": F.sum("_c").over(line)})
+    at = lambda share: F.min(F.when(F.col("_upto") > F.floor(F.col("_n") * share + 0.5), F.col("_x")))
     quarters = ranked.groupBy(key).agg(at(0.25).alias("p25"), at(0.5).alias("p50"), at(0.75).alias("p75"))
     fenced = quarters.withColumns(
         {
@@ -188,12 +191,26 @@ def insert_moments(df: DataFrame, key: str, value: str) -> DataFrame:
             "high": F.floor(F.col("p75") + 2 * (F.col("p75") - F.col("p25")) + 0.499).cast("double"),
         }
     )
-    within = ranked.join(fenced, key).filter(F.col("_x").between(F.col("low"), F.col("high")))
-    return within.groupBy(key).agg(
+    within = counts.join(fenced, key).filter(F.col("_x").between(F.col("low"), F.col("high")))
+    within = within.withColumn("_mean", F.sum(F.col("_x") * F.col("_c")).over(line) / F.sum("_c").over(line))
+    moment = lambda p: F.sum(F.pow(F.col("_x") - F.col("_mean"), p) * F.col("_c"))
+    sums = within.groupBy(key).agg(
         *[F.first(c).alias(c) for c in ("p25", "p50", "p75", "low", "high")],
-        F.count(F.lit(1)).alias("n"),
-        F.round(F.avg("_x"), 4).alias("mean"),
-        F.round(F.stddev_pop("_x"), 4).alias("deviation"),
-        F.round(F.skewness("_x"), 4).alias("skewness"),
-        F.round(F.kurtosis("_x"), 4).alias("kurtosis"),
+        F.sum("_c").alias("n"),
+        F.first("_mean").alias("mean"),
+        *[moment(p).alias(f"_m{p}") for p in (2, 3, 4)],
+    )
+    sd = F.sqrt(F.col("_m2") / F.col("n"))
+    return sums.select(
+        key,
+        "p25",
+        "p50",
+        "p75",
+        "low",
+        "high",
+        "n",
+        F.round("mean", 4).alias("mean"),
+        F.round(sd, 4).alias("deviation"),
+        F.round(F.try_divide(F.col("_m3") / F.col("n"), F.pow(sd, 3)), 4).alias("skewness"),
+        F.round(F.try_divide(F.col("_m4") / F.col("n"), F.pow(sd, 4)) - 3, 4).alias("kurtosis"),
     )
