@@ -138,6 +138,7 @@ def run_align(spark: SparkSession, o: argparse.Namespace) -> None:
         kept = kmers.filter_reads(reads, "read_id", "seq", spark.read.parquet(f"{o.index_prefix}/kmers"), o.kmer_thresh).filter("kept")
         use = reads.join(kept.select("read_id"), "read_id", "left_semi")
         best = mapper.placed(mapper.hits(use.select(F.col("read_id").alias("key"), "seq"), contigs.select("name", "seq")))
+        use = use.drop("name")
         own = best.join(use, best["key"] == use["read_id"]).join(contigs.select("name", "chrom", "beg", F.col("seq").alias("_ref")), "name")
         turned = F.when(F.col("reverse"), sequence.reverse_complement("seq")).otherwise(F.col("seq"))
         cigar = F.array(F.struct(F.length("seq").alias("len"), F.lit("M").alias("op")))

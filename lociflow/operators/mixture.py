@@ -21,6 +21,7 @@ from lociflow.operators.genotype import base_class
 ON_DRIVER = 2_000_000
 AF_LOW, AF_HIGH = 0.00005, 0.99995
 MOST_STEPS = 50_000
+SMALL = 1e-3
 #: P(base class | genotype): rows ref, alt, other; columns 0, 1 and 2 alternative alleles.
 RIGHT = np.array([[1, 1 / 2, 0], [0, 1 / 2, 1], [0, 0, 0]])
 WRONG = np.array([[0, 1 / 6, 1 / 3], [1 / 3, 1 / 6, 0], [2 / 3, 2 / 3, 2 / 3]])
@@ -126,7 +127,8 @@ def simplex(f: Callable[[np.ndarray], float], start: np.ndarray, tolerance: floa
     while used < steps:
         order = np.argsort(values, kind="stable")
         points, values = points[order], values[order]
-        if 2 * abs(values[-1] - values[0]) <= tolerance * (abs(values[-1]) + abs(values[0]) + 1e-12):
+        level = 2 * abs(values[-1] - values[0]) <= tolerance * (abs(values[-1]) + abs(values[0]) + 1e-12)
+        if level and np.abs(points - points[0]).max() <= SMALL:  # equal values alone may lie on both sides of the minimum
             break
         centre = points[:-1].mean(axis=0)
 
