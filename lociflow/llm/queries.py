@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lociflow.llm import bagminhash, bpe, iceberg, quantiles, repeats, winnow
+from lociflow.llm import bagminhash, bpe, components, iceberg, quantiles, repeats, winnow
 from lociflow.session import table
 
 
@@ -65,6 +65,12 @@ def p4_found(spark, sf_dir):
     return pairs.select(F.col("a").alias("read_id_a"), F.col("b").alias("read_id_b"))
 
 
+def p4_groups(spark, sf_dir):
+    """Every read with a near duplicate, its group and its number of links."""
+    found = components.groups(p4_found(spark, sf_dir), "read_id_a", "read_id_b")
+    return found.select(F.col("id").alias("read_id"), "group_id", "links")
+
+
 def p5_found(spark, sf_dir):
     found = iceberg.frequent_items(table(spark, sf_dir, "fastq_reads"), iceberg.bases(), 0.005)
     return found.select(F.col("value").alias("seq"))
@@ -113,6 +119,7 @@ QUERIES = {
     "p2_daily": p2_daily,
     "p2_audit": p2_audit,
     "p4_found": p4_found,
+    "p4_groups": p4_groups,
     "p5_found": p5_found,
     "p5_counts": p5_counts,
     "p6_ids": p6_ids,
@@ -155,3 +162,13 @@ SQL = {
     "p5_found": f"select seq from ({_COUNTS}) where n_reads * 200 >= (select count(*) from fastq_reads where seq is not null)",
     "p5_counts": f"select * from ({_COUNTS}) where n_reads * 1000 >= (select count(*) from fastq_reads where seq is not null)",
 }
+
+SQL["p4_groups"] = SQL["p4_found"].replace("with r as", "with recursive r as", 1).replace(
+    "select distinct ra as read_id_a", "found as (select distinct ra as read_id_a", 1
+)
+SQL["p4_groups"] = (
+    SQL["p4_groups"].replace("from p a join p b on a.word = b.word and a.nth = b.nth and a.read_id < b.read_id)", "from p a join p b on a.word = b.word and a.nth = b.nth and a.read_id < b.read_id),", 1)
+    + """), e2 as (select read_id_a as a, read_id_b as b from found union select read_id_b, read_id_a from found),
+      t as (select a, b from e2 union select t.a, e2.b from t join e2 on t.b = e2.a)
+      select a as read_id, least(a, min(b)) as group_id, (select count(*) from e2 where e2.a = t.a) as links from t group by a"""
+)

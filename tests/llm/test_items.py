@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from lociflow.llm import bagminhash as B
-from lociflow.llm import iceberg, quantiles
+from lociflow.llm import components, iceberg, quantiles
 
 
 def rank_ok(sorted_values, value, share, error=0.01):
@@ -195,3 +195,25 @@ def test_hot_names_and_tokens_go_the_other_way(spark, rows, monkeypatch):
     truth, found = brute_pairs(data), rows(B.delivered_again(df))
     assert len(truth) > 300 and set(found) <= set(truth)
     assert len(found) >= 0.97 * len(truth)
+
+
+def test_groups_against_union_find(spark):
+    rng = random.Random(12)
+    pairs = [(rng.randint(1, 400), rng.randint(1, 400)) for _ in range(180)] + [(i, i + 1) for i in range(1000, 1300)] + [(2000, i) for i in range(2001, 2100)]
+    pairs += [(5, 5), (7, None), pairs[0], pairs[0][::-1]]
+    rng.shuffle(pairs)
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    links = {frozenset(p) for p in pairs if None not in p and p[0] != p[1]}
+    for x, y in (sorted(p) for p in links):
+        low, high = sorted((find(x), find(y)))
+        root[high] = low
+    df = spark.createDataFrame(pairs, "a bigint, b bigint").selectExpr("*", "1 as u", "2 as id")
+    want = {x: (find(x), sum(x in p for p in links)) for p in links for x in p}
+    assert {r.id: (r.group_id, r.links) for r in components.groups(df).collect()} == want
+    assert components.groups(df.limit(0)).collect() == []
