@@ -36,8 +36,3 @@ def best_pair(pairs: DataFrame, key: list[str], score: str, ties: list[str]) ->
     line = Window.partitionBy(*key).orderBy(score, *ties)
     return pairs.withColumn("_no", F.row_number().over(line)).filter("_no = 1").drop("_no")
 
-
-def carried(df: DataFrame, by: list[str], order: str, value: str, good: str) -> DataFrame:
-    """``value`` of the last row that was good, up to the row itself."""
-    line = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("carried", F.last(F.when(F.expr(good), F.col(value)), ignorenulls=True).over(line))

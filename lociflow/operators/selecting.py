@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lociflow.functions import keys, numeric, sequence
+from lociflow.operators import ordered
 
 RESOLUTION = 1_000_000
 LEAST_FRACTION, LEAST_QUALITY = 0.25, 13
@@ -79,9 +80,9 @@ def problems(records: DataFrame) -> DataFrame:
 
 def out_of_order(records: DataFrame, by: str, order: str) -> DataFrame:
     """Records with ``sorted``: does (reference, position) not fall behind the record before?"""
-    line = Window.partitionBy(by).orderBy(order)
     place = F.struct(F.when(F.col("reference_id") < 0, 1 << 30).otherwise(F.col("reference_id")).alias("r"), F.col("pos").alias("p"))
-    return records.withColumn("sorted", F.coalesce(place >= F.lag(place).over(line), F.lit(True)))
+    rows = ordered.with_previous(records, [by], order, place)
+    return rows.withColumn("sorted", F.coalesce(place >= F.col("previous"), F.lit(True))).drop("previous")
 
 
 def consecutive_duplicates(markers: DataFrame) -> DataFrame:

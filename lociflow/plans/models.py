@@ -233,3 +233,21 @@ def carried_stats(spark, sf_dir):
 def running_totals(spark, sf_dir):
     out = jobs.running_totals(spark, f"{sf_dir}/events.parquet", "event_type", "value")
     return out.select("event_type", "rows", F.round("total", 2).alias("total"))
+
+
+@R.query("snk_k19_ancestry_report")
+def ancestry_report(spark, sf_dir):
+    """``pc, contaminating, intended`` of the fit with different ancestry."""
+    llk = MX.Likelihood(MX.usual_depth(counts_of(spark, sf_dir)), panel_of(spark, sf_dir))
+    f = MX.fit(llk, 2, tolerance=1e-6)
+    return spark.createDataFrame([(i + 1, a, b) for i, (a, b) in enumerate(zip(f.pc1, f.pc2))], "pc int, contaminating double, intended double")
+
+
+@R.query("snk_k20_self_report")
+def self_report(spark, sf_dir):
+    """One row: markers, bases, mean depth, alpha and both likelihoods of the fit within one ancestry."""
+    counts = counts_of(spark, sf_dir)
+    f = MX.fit(MX.Likelihood(counts, panel_of(spark, sf_dir)), 2, within=True, tolerance=1e-6)
+    row = counts.agg(F.count_distinct("marker_idx").alias("markers"), F.sum("n").alias("bases"))
+    row = row.withColumn("mean_depth", F.round(F.try_divide("bases", "markers"), 4))
+    return row.withColumns({"alpha": F.lit(f.alpha), "llk1": F.lit(f.llk1), "llk0": F.lit(f.llk0)})

@@ -159,11 +159,20 @@ def _piles(spark, sf_dir):
     return B.pileup_text(B.pileup(base_table(spark, sf_dir).filter("qual is not null"), marks), marks)
 
 
+_CELLS = """chrom || chr(9) || pos || chr(9) || ref || chr(9) || count(*) || chr(9) || string_agg(case when strand then upper(base) else lower(base) end, '' order by read_id, cycle)
+  || chr(9) || string_agg(chr(qual + 33), '' order by read_id, cycle)"""
+
+
 @R.query(
     "snk_k16_pileup_text",
-    f"{_TEXT} select chrom || chr(9) || pos || chr(9) || ref || chr(9) || count(*) || chr(9) || string_agg(case when strand then upper(base) else lower(base) end, '' order by read_id, cycle) || chr(9) || string_agg(chr(qual + 33), '' order by read_id, cycle) as value from b group by chrom, pos, ref",
+    f"{_TEXT} select {_CELLS} || chr(9) || string_agg(chr(least(coalesce(mapq, 0), 93) + 33), '' order by read_id, cycle) || chr(9) || string_agg(cast(cycle + 1 as varchar), ',' order by read_id, cycle) as value from b group by chrom, pos, ref",
 )
 def pileup_text(spark, sf_dir):
+    return K.tabbed(_piles(spark, sf_dir))
+
+
+@R.query("snk_k21_short_pileup_text", f"{_TEXT} select {_CELLS} as value from b group by chrom, pos, ref")
+def short_pileup_text(spark, sf_dir):
     return K.tabbed(_piles(spark, sf_dir), ["chrom", "pos", "ref", "depth", "bases", "quals"])
 
 
@@ -275,3 +284,53 @@ def call_lines(spark, sf_dir):
 def file_lines(spark, sf_dir):
     totals = read_table(spark, sf_dir).rollup("file_id").agg(F.count(F.lit(1)).alias("n"))
     return K.tabbed(totals.select(F.coalesce(F.col("file_id").cast("string"), F.lit("Total")).alias("file"), "n"))
+
+
+_JUDGED = f"""with {BASES}, {MARKERS}, mis as (select b.*, coalesce(base <> 'N' and ref_base <> 'N' and base <> ref_base
+  and not exists (select 1 from markers m where m.chrom = b.chrom and m.pos = b.pos), false) as mismatch from bases b where qual is not null)"""
+
+
+def _judged(spark, sf_dir):
+    return B.mismatches(base_table(spark, sf_dir).filter("qual is not null"), marker_table(spark, sf_dir))
+
+
+@R.query("snk_k12_reported_quality_lines", f"{_JUDGED} select qual || chr(9) || count(*) filter (mismatch) || chr(9) || count(*) as value from mis group by qual")
+def reported_quality_lines(spark, sf_dir):
+    return K.tabbed(B.quality_by_reported(_judged(spark, sf_dir)), ["qual", "mismatches", "bases"])
+
+
+@R.query("snk_k13_cycle_quality_lines", f"{_JUDGED} select (cycle + 1) || chr(9) || count(*) filter (mismatch) || chr(9) || count(*) || chr(9) || '0' as value from mis group by cycle")
+def cycle_quality_lines(spark, sf_dir):
+    """The last column is always 0."""
+    own = B.quality_by_cycle(_judged(spark, sf_dir)).withColumn("none", F.lit(0))
+    return K.tabbed(own, ["cycle", "mismatches", "bases", "none"])
+
+
+@R.query("snk_k14_raw_insert_lines", f"with {PAIRS}, h as (select obs as k, count(*) as n from pairs where obs between 0 and 4095 group by obs) select g.k || chr(9) || coalesce(h.n, 0) as value from (select unnest(range(4096)) as k) g left join h using (k)")
+def raw_insert_lines(spark, sf_dir):
+    counts = pair_table(spark, sf_dir).filter("obs between 0 and 4095").groupBy(F.col("obs").alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    return K.tabbed(B.filled(counts, "k", 4096, ["n"]), ["k", "n"])
+
+
+@R.query("snk_k05_gc_vectors", f"with {ALN}, g as (select read_id, unnest(range(1, length(seq) + 1)) as i, upper(seq) as s from aln where length(seq) > 0) select read_id, list(case when substr(s, i::int, 1) in ('G', 'C') then 1 else 0 end order by i) as gc from g group by read_id")
+def gc_arrays(spark, sf_dir):
+    """One array of marks per sequence, as it is stored in Parquet."""
+    upper = F.upper("seq")
+    own = placed(spark, sf_dir).filter("length(seq) > 0")
+    marks = F.transform(F.sequence(F.lit(1), F.length("seq")), lambda i: F.substr(upper, i, F.lit(1)).isin("G", "C").cast("int"))
+    return own.select("read_id", marks.alias("gc"))
+
+
+@R.query("snk_k11_depth_by_gc_lines", f"with {BASES}, {DEPTH} select (pos::bigint * 7) % 101 || chr(9) || sum(depth) || chr(9) || count(*) as value from depth group by (pos::bigint * 7) % 101")
+def depth_by_gc_lines(spark, sf_dir):
+    depths = B.depth(base_table(spark, sf_dir))
+    gc = depths.select("chrom", "pos", (F.col("pos").cast("bigint") * 7 % 101).cast("int").alias("gc"))
+    return K.tabbed(B.gc_depth(depths, gc), ["gc", "depth_sum", "sites"])
+
+
+@R.query("src_s08_genotype_ranges", f"with g as (select vec_id, {_GT} as g from embeddings) select vec_id // 100 as block, count(*) as variants, cast(sum(list_sum(list_filter(g, lambda x: x > 0))) as bigint) as copies from g group by 1")
+def genotype_ranges(spark, sf_dir):
+    """Variants by ranges, as the binary genotype source splits them."""
+    rows = table(spark, sf_dir, "embeddings").select(F.expr("vec_id div 100").alias("block"), F.filter(genotype_array(), lambda x: x > 0).alias("g"))
+    per = F.aggregate("g", F.lit(0), lambda a, x: a + x)
+    return rows.groupBy("block").agg(F.count(F.lit(1)).alias("variants"), F.sum(per).alias("copies"))

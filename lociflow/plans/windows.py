@@ -9,6 +9,7 @@ from lociflow.operators import bases as B
 from lociflow.operators import hits as H
 from lociflow.operators import kmers as K
 from lociflow.operators import markers as M
+from lociflow.operators import ordered as OD
 from lociflow.operators import report as RP
 from lociflow.operators import selecting as S
 from lociflow.plans.domain import ALN, BASES, DEPTH, MARKERS, READS, base_table, marker_table, placed, read_table
@@ -32,7 +33,7 @@ def gc_window(spark, sf_dir):
     "select event_id, last_value(case when value > 50 then value end ignore nulls) over (partition by user_id order by event_id rows between unbounded preceding and current row) as carried from events",
 )
 def carried_forward(spark, sf_dir):
-    return H.carried(table(spark, sf_dir, "events"), ["user_id"], "event_id", "value", "value > 50").select("event_id", "carried")
+    return OD.carried(table(spark, sf_dir, "events"), ["user_id"], "event_id", "value", "value > 50").select("event_id", "carried")
 
 
 @R.query(
@@ -115,7 +116,7 @@ def sort_check(spark, sf_dir):
 def batch_fallback(spark, sf_dir):
     rows = table(spark, sf_dir, "sam_records").groupBy("file_id", F.to_date("recorded_at").alias("day"))
     batch = rows.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.when(F.col("insert_size").between(1, 5000), F.col("insert_size"))), 6).alias("mean"))
-    return H.carried(batch, ["file_id"], "day", "mean", "n >= 40").select("file_id", "day", F.col("carried").alias("used"))
+    return OD.carried(batch, ["file_id"], "day", "mean", "n >= 40").select("file_id", "day", F.col("carried").alias("used"))
 
 
 @R.query(
