@@ -23,7 +23,7 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -82,74 +82,82 @@ def error_parse(line: str, cells: int = CELLS) -> tuple[int, int, list[str]]:
     The table is ``4 states x cells`` wide and advances token by token, so time
     is linear in the number of tokens.
     """
-    tokens = [(m.group()[0], m.start()) for m in TOKEN.finditer(line)]
-    here: dict[tuple[int, int], tuple[int, tuple | None]] = {(START, 1): (0, None)}
-
-    def relax(to: dict, key: tuple[int, int], cost: int, trail: tuple | None) -> None:
-        if key[1] <= cells and (key not in to or cost < to[key][0]):
-            to[key] = (cost, trail)
-
-    def insertions(at: dict, place: int, following: str) -> None:
-        """Edits that consume nothing; a few rounds reach the fixpoint as every one costs."""
-        for _ in range(cells + 3):
-            before = {k: v[0] for k, v in at.items()}
-            for (state, n), (cost, trail) in list(at.items()):
-                if state == INSIDE:
-                    relax(at, (CLOSED, n), cost + QUOTING, (trail, f"insert quote at {place}"))
-                    continue
-                if state == START:
-                    relax(at, (INSIDE, n), cost + QUOTING, (trail, f"insert quote at {place}"))
-                hides = (state == CLOSED and following not in ',"\0') or (state == BARE and following == '"')
-                relax(at, (START, n + 1), cost + (QUOTING if hides else 1), (trail, f"insert delimiter at {place}"))
-            if before == {k: v[0] for k, v in at.items()}:
+    never = 1 << 62
+    cost = [never] * (4 * cells + 4)  # of state s after n cells, at 4 * (n - 1) + s
+    trail: list[tuple | None] = [None] * len(cost)
+    cost[START] = 0
+
+    def insertions(place: int, following: str) -> None:
+        """Edits that consume nothing; they only lead on, so one pass over the cells is enough."""
+        for at in range(0, 4 * cells, 4):
+            for a, b in ((at + START, at + INSIDE), (at + INSIDE, at + CLOSED)):
+                if cost[a] + QUOTING < cost[b]:
+                    cost[b], trail[b] = cost[a] + QUOTING, (trail[a], "insert quote", place)
+            if at + 4 == 4 * cells:
                 break
-
-    for kind, place in tokens:
-        insertions(here, place, kind)
-        there: dict[tuple[int, int], tuple[int, tuple | None]] = {}
-        for (state, n), (cost, trail) in here.items():
+            for state in (START, BARE, CLOSED):
+                hides = (state == CLOSED and following == "x") or (state == BARE and following == '"')
+                paid = cost[at + state] + (QUOTING if hides else 1)
+                if paid < cost[at + 4]:
+                    cost[at + 4], trail[at + 4] = paid, (trail[at + state], "insert delimiter", place)
+
+    for token in TOKEN.finditer(line):
+        kind, place = token.group()[0], token.start()
+        kind = kind if kind in '",' else "x"
+        insertions(place, kind)
+        then, led = [never] * len(cost), [None] * len(cost)
+
+        def step(a: int, b: int, paid: int, edit: str | None = None) -> None:
+            if b < 4 * cells and cost[a] + paid < then[b]:  # noqa: B023
+                then[b] = cost[a] + paid  # noqa: B023
+                led[b] = (trail[a], edit, place) if edit else trail[a]  # noqa: B023
+
+        for at in range(0, 4 * cells, 4):
+            start, bare, inside, closed = range(at, at + 4)
             if kind == '"':
-                if state == START or state == CLOSED:
-                    relax(there, (INSIDE, n), cost, trail)
-                elif state == INSIDE:
-                    relax(there, (CLOSED, n), cost, trail)
-                relax(there, (state, n), cost + QUOTING, (trail, f"delete quote at {place}"))
+                step(start, inside, 0)
+                step(closed, inside, 0)
+                step(inside, closed, 0)
+                for a in (start, bare, inside, closed):
+                    step(a, a, QUOTING, "delete quote")
             elif kind == ",":
-                if state == INSIDE:
-                    relax(there, (INSIDE, n), cost, trail)
-                else:
-                    relax(there, (START, n + 1), cost, trail)
-                    relax(there, (state, n), cost + 1, (trail, f"delete delimiter at {place}"))
-            elif state == INSIDE:
-                relax(there, (INSIDE, n), cost, trail)
-            elif state != CLOSED:
-                relax(there, (BARE, n), cost, trail)
-        here = there
-    insertions(here, len(line), "\0")
-    cost, trail = min((here[k] for k in here if k[0] != INSIDE and k[1] == cells), key=lambda x: x[0])
-    edits: list[str] = []
-    while trail:
-        trail, edit = trail
-        edits.append(edit)
-    return cost // QUOTING, cost % QUOTING, edits[::-1]
-
-
-def _parse(lines: pd.Series) -> pd.DataFrame:
-    out = []
-    for line in lines:
+                step(inside, inside, 0)
+                for a in (start, bare, closed):
+                    step(a, at + 4, 0)
+                    step(a, a, 1, "delete delimiter")
+            else:
+                step(inside, inside, 0)
+                step(start, bare, 0)
+                step(bare, bare, 0)
+        cost, trail = then, led
+    insertions(len(line), "")
+    last = 4 * (cells - 1)
+    end = min((last + s for s in (START, BARE, CLOSED)), key=lambda k: cost[k])
+    edits, path = [], trail[end]
+    while path:
+        path, edit, place = path
+        edits.append(f"{edit} at {place}")
+    return cost[end] // QUOTING, cost[end] % QUOTING, edits[::-1]
+
+
+def _parse(lines: pa.Array) -> pa.Array:
+    cells, quotes, delimiters, edits = [], [], [], []
+    for line in lines.to_pylist():
+        own = split_sound(line) if line is not None else None
         if line is None:
-            out.append((None, None, None, None))
-            continue
-        cells = split_sound(line)
-        if cells is not None and len(cells) == CELLS:
-            out.append((cells, 0, 0, []))
+            found = (None, None, None, None)
+        elif own is not None and len(own) == CELLS:
+            found = (own, 0, 0, None)
         else:
-            quotes, delimiters, edits = error_parse(line)
-            out.append((None, quotes, delimiters, edits))
-    return pd.DataFrame(out, columns=PARSED.fieldNames()).astype({"quote_edits": "Int32", "delimiter_edits": "Int32"})
+            found = (None, *error_parse(line))
+        for column, x in zip((cells, quotes, delimiters, edits), found):
+            column.append(x)
+    texts = pa.list_(pa.string())
+    columns = [pa.array(cells, texts), pa.array(quotes, pa.int32()), pa.array(delimiters, pa.int32()), pa.array(edits, texts)]
+    return pa.StructArray.from_arrays(columns, names=PARSED.fieldNames())
 
 
-error_parse_udf = F.pandas_udf(_parse, PARSED)
+error_parse_udf = F.arrow_udf(_parse, PARSED)
 
 
 def _value_ok(cells: Column) -> Column:
