@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lociflow.operators import bases as B
 from lociflow.operators import markers as M
 from lociflow.operators import pairs as PR
+from lociflow.operators.distinct_rows import first_rows
 from lociflow.session import table
 
 NORM = "case when contains(upper({0}), 'CHR') then substr(upper({0}), 4) else upper({0}) end"
@@ -69,7 +70,7 @@ def flank_table(spark, sf_dir):
 
 def placed(spark, sf_dir):
     """One row per read of the alignments; repeated rows hold the same content."""
-    return table(spark, sf_dir, "alignments").dropDuplicates(["read_id"])
+    return first_rows(table(spark, sf_dir, "alignments"), "read_id")
 
 
 def base_table(spark, sf_dir):
@@ -77,7 +78,7 @@ def base_table(spark, sf_dir):
 
 
 def read_table(spark, sf_dir):
-    return table(spark, sf_dir, "fastq_reads").dropDuplicates(["read_id"])
+    return first_rows(table(spark, sf_dir, "fastq_reads"), "read_id")
 
 
 READS = "reads as (select distinct on (read_id) * from fastq_reads order by read_id)"

@@ -90,7 +90,7 @@ def greedy_markers(spark, sf_dir):
 @R.query("flt_p07_callable_letters", f"with {READS} select read_id, length(seq) - length(replace(upper(seq), 'N', '')) as masked, length(seq) - length(replace(upper(seq), 'N', '')) <= 0.005 * length(seq) as ok from reads where seq is not null")
 def callable_letters(spark, sf_dir):
     masked = sequence.count_of("seq", "N")
-    return read_table(spark, sf_dir).filter("seq is not null").select("read_id", masked.alias("masked"), (masked <= F.lit(0.005).cast("double") * F.length("seq")).alias("ok"))
+    return read_table(spark, sf_dir).filter("seq is not null").select("read_id", masked.cast("bigint").alias("masked"), (masked <= F.lit(0.005).cast("double") * F.length("seq")).alias("ok"))
 
 
 _MASKS = ", ".join(f"substr(kmer, {1 + 8 * a}, 8) || substr(kmer, {1 + 8 * b}, 8)" for a, b in K.MASKS)
@@ -247,7 +247,7 @@ def clipped(spark, sf_dir):
 
 @R.query("flt_p28_unknown_bases", f"with {READS}, n as (select read_id, length(seq) - length(replace(replace(upper(seq), 'N', ''), '.', '')) as unknown, length(seq) as len from reads where seq is not null) select read_id, unknown, unknown >= 0.25 * len as rejected from n")
 def unknown_bases(spark, sf_dir):
-    return S.many_unknown(read_table(spark, sf_dir).filter("seq is not null"), "seq").select("read_id", "unknown", "rejected")
+    return S.many_unknown(read_table(spark, sf_dir).filter("seq is not null"), "seq").select("read_id", F.col("unknown").cast("bigint").alias("unknown"), "rejected")
 
 
 @R.query("flt_p29_clip_mismatches", f"with {BASES} select read_id, count(*) filter (base <> ref_base and base <> 'N') as mismatches from bases where qual is not null group by read_id having count(*) filter (base <> ref_base and base <> 'N') > 0.05 * count(*)")
