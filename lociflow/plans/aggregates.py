@@ -11,6 +11,7 @@ from lociflow.operators import markers as M
 from lociflow.operators import pairs as PR
 from lociflow.operators import panel as P
 from lociflow.operators import summary as S
+from lociflow.operators import sweep as SW
 from lociflow.plans.domain import ALN, BASES, DEPTH, MARKERS, PAIRS, READS, base_table, marker_table, pair_table, placed, read_table
 from lociflow.plans.registry import Registry
 from lociflow.session import table
@@ -396,3 +397,32 @@ def ordered_fold(spark, sf_dir):
 def distinct_fragments(spark, sf_dir):
     return pair_table(spark, sf_dir).filter("status = 'PropPair'").select("contig", "beg", "end").distinct()
 
+
+@R.query(
+    "str_t04_depth_sweep",
+    f"""{_B}, c as (select chrom, pos, count(*) as depth from bases group by 1, 2), e as (select chrom, pos, depth, lag(pos) over w as lp, lag(depth) over w as ld from c window w as (partition by chrom order by pos)),
+    g as (select *, sum(case when lp = pos - 1 and ld = depth then 0 else 1 end) over (partition by chrom order by pos) as no from e)
+    select chrom, cast(min(pos) as int) as beg, cast(max(pos) as int) as "end", any_value(depth) as depth from g group by chrom, no""",
+)
+def depth_sweep(spark, sf_dir):
+    return SW.depth_segments(SW.block_ends(placed(spark, sf_dir).filter("seq is not null")))
+
+
+@R.query("srt_o08_flushed_by_coordinate", f"{_B}, {DEPTH} select chrom, pos, depth from depth where depth >= 5")
+def flushed_by_coordinate(spark, sf_dir):
+    """Deep sites in coordinate order, each listed once the sweep has passed it."""
+    segments = SW.depth_segments(SW.block_ends(placed(spark, sf_dir).filter("seq is not null"))).filter("depth >= 5")
+    sites = segments.select("chrom", F.explode(F.sequence("beg", "end")).alias("pos"), "depth")
+    return sites.repartitionByRange("chrom", "pos").sortWithinPartitions("chrom", "pos")
+
+
+@R.query(
+    "rep_r06_summary_rows",
+    f"""with {READS}, t as (select count(*) as reads, sum(length(seq)) as bases, sum(length(seq)) // count(*) as len from reads)
+    select 'total_reads' as metric, cast(reads as double) as value from t union all select 'total_bases', cast(bases as double) from t union all select 'read_length', cast(len as double) from t""",
+)
+def summary_rows(spark, sf_dir):
+    """Metrics of the summary by their names, one a row."""
+    row = S.summary(read_table(spark, sf_dir), B.depth(base_table(spark, sf_dir)), marker_table(spark, sf_dir), SIZE)
+    names = ["total_reads", "total_bases", "read_length"]
+    return row.select(*[F.col(c).cast("double").alias(c) for c in names]).unpivot([], names, "metric", "value")
