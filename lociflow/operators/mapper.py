@@ -71,21 +71,31 @@ def placed(found: DataFrame) -> DataFrame:
     return own.withColumn("mapq", numeric.single_end_mapq(F.col("c1"), F.col("c2"), F.lit(0), F.lit(1)))
 
 
-def proper_pairs(found: DataFrame, usual: int, spread: int) -> DataFrame:
+def proper_pairs(found: DataFrame, pairs: DataFrame, usual: int, spread: int) -> DataFrame:
     """``pair, ...``: of all forward-reverse combinations on one contig the one with the least cost.
 
-    found has ``pair, mate, name, at, stop, reverse, differences``; the cost is
-    the differences and the distance of the size from the usual one in spreads.
+    found has ``key, name, at, stop, reverse, differences`` of distinct sequences,
+    pairs ``pair, key_1, key_2``; the cost is the differences and the distance of
+    the size from the usual one in spreads.  Pairs of the same two sequences are
+    resolved once.  The mate with fewer places is listed first, and those of the
+    other are met on (key, name), so a sequence with many places is no group.
     """
-    cells = ["pair", "name", "at", "stop", "reverse", "differences"]
-    one = found.filter("mate = 1").select(*cells)
-    two = found.filter("mate = 2").select("pair", "name", *[F.col(c).alias(f"{c}_2") for c in cells[2:]])
-    both = one.join(two, ["pair", "name"]).filter("reverse <> reverse_2")
-    size = F.greatest("stop", "stop_2") - F.least("at", "at_2")
-    faces = F.when(F.col("reverse"), F.col("at_2") <= F.col("at")).otherwise(F.col("at") <= F.col("at_2"))
-    cost = F.col("differences") + F.col("differences_2") + F.abs(size - usual) / spread
-    best = both.filter(faces).select("pair", F.struct(cost.alias("cost"), "name", "at", "at_2", size.alias("size")).alias("c"))
-    return best.groupBy("pair").agg(F.min("c").alias("c")).select("pair", "c.*")
+    counts = found.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    number = lambda i: counts.select(F.col("key").alias(f"key_{i}"), F.col("n").alias(f"n_{i}"))
+    kinds = pairs.select("key_1", "key_2").distinct().join(number(1), "key_1").join(number(2), "key_2")
+    swapped = F.col("n_1") > F.col("n_2")
+    few, many = F.when(swapped, F.col("key_2")).otherwise(F.col("key_1")), F.when(swapped, F.col("key_1")).otherwise(F.col("key_2"))
+    kinds = kinds.select("key_1", "key_2", swapped.alias("swapped"), few.alias("key"), many.alias("key_m"))
+    cells = ["at", "stop", "reverse", "differences"]
+    other = found.select(F.col("key").alias("key_m"), "name", *[F.col(c).alias(f"{c}_m") for c in cells])
+    both = kinds.join(found, "key").join(other, ["key_m", "name"]).filter("reverse <> reverse_m")
+    size = F.greatest("stop", "stop_m") - F.least("at", "at_m")
+    faces = F.when(F.col("reverse"), F.col("at_m") <= F.col("at")).otherwise(F.col("at") <= F.col("at_m"))
+    cost = F.col("differences") + F.col("differences_m") + F.abs(size - usual) / spread
+    one, two = F.when(F.col("swapped"), F.col("at_m")).otherwise(F.col("at")), F.when(F.col("swapped"), F.col("at")).otherwise(F.col("at_m"))
+    each = both.filter(faces).select("key_1", "key_2", F.struct(cost.alias("cost"), "name", one.alias("at"), two.alias("at_2"), size.alias("size")).alias("c"))
+    best = each.groupBy("key_1", "key_2").agg(F.min("c").alias("c"))
+    return pairs.join(best, ["key_1", "key_2"]).groupBy("pair").agg(F.min("c").alias("c")).select("pair", "c.*")
 
 
 def local_alignment(a: str, b: str) -> tuple[int, int, int, int, int]:

@@ -11,7 +11,7 @@ from lociflow.operators import mixture as MX
 from lociflow.operators import panel as P
 from lociflow.plans.domain import ALN, BASES, MARKERS, READS, base_table, marker_table, placed, read_table
 from lociflow.plans.registry import Registry
-from lociflow.session import table
+from lociflow.session import cut, table
 from lociflow.streaming import jobs
 
 R = Registry()
@@ -186,13 +186,18 @@ _FRAG = """, fr as (select a.file_id, a.read_idx, length(a.seq) as n, length(b.s
 
 @R.query("join_j19_proper_pairs")
 def proper_pairs(spark, sf_dir):
-    """Of the places of both mates on the fragments, the pair with the least cost."""
-    reads = read_table(spark, sf_dir).select(F.col("read_id").alias("key"), F.struct("file_id", "read_idx").alias("pair"), "mate", F.length("seq").alias("_n"))
-    seqs = read_table(spark, sf_dir).select(F.upper("seq").alias("_s")).filter("_s is not null")
-    once = seqs.groupBy("_s").agg(F.count(F.lit(1)).alias("n")).filter("n = 1").select("_s")  # repeated reads place nowhere in particular
-    both = fragments(spark, sf_dir).join(once.withColumnRenamed("_s", "s1"), "s1", "left_semi").join(once.withColumnRenamed("_s", "s2"), "s2", "left_semi")
-    found = MP.hits(_reads(spark, sf_dir), both.select("name", "seq")).join(reads, "key").withColumn("stop", F.col("at") + F.col("_n"))
-    best = MP.proper_pairs(found, 200, 40)
+    """Of the places of both mates on the fragments, the pair with the least cost.
+
+    Each sequence is placed once, on fragments of distinct bases; of equal ones
+    the first by name stands for all, since it is the one that ties go to.
+    """
+    reads = read_table(spark, sf_dir).filter("seq is not null").select("read_id", F.struct("file_id", "read_idx").alias("pair"), "mate", F.upper("seq").alias("seq"))
+    classes = reads.groupBy("seq").agg(F.min("read_id").alias("key"))
+    distinct = fragments(spark, sf_dir).groupBy("seq").agg(F.min("name").alias("name"))
+    found = cut(MP.hits(classes, distinct).join(classes.select("key", F.length("seq").alias("_n")), "key").withColumn("stop", F.col("at") + F.col("_n")).drop("_n"))
+    keyed = reads.join(classes, "seq")
+    side = lambda n: keyed.filter(F.col("mate") == n).select("pair", F.col("key").alias(f"key_{n}"))
+    best = MP.proper_pairs(found, side(1).join(side(2), "pair").distinct(), 200, 40)
     return best.select(
         "pair.file_id", "pair.read_idx", F.col("name.read_idx").alias("fragment"), F.col("at").alias("place_1"), F.col("at_2").alias("place_2"), "size", F.round("cost", 6).alias("cost")
     )
