@@ -197,6 +197,24 @@ def test_hot_names_and_tokens_go_the_other_way(spark, rows, monkeypatch):
     assert len(found) >= 0.97 * len(truth)
 
 
+def test_hot_names_lose_no_pair_at_the_edit_limit(spark, rows, monkeypatch):
+    monkeypatch.setattr(B, "BUCKET", 8)
+    monkeypatch.setattr(B, "RARE", 20)
+    rng, data = random.Random(21), [(5000, "ins:7:FC1:1:1:0:0", ""), (5001, "ins:7:FC1:1:1:0:0", "ACGTA"), (5002, "ins:7:FC1:1:1:0:0", "TACGT")]
+    for i in range(60):  # evenly spaced substitutions hit nearly every 8-mer
+        seq = "".join(rng.choice("ACGT") for _ in range(rng.choice([10, 20, 20, 29, 30, 45, 70])))
+        other, edits = list(seq), len(seq) // 10
+        for j in range(edits):
+            at = (2 * j + 1) * len(seq) // (2 * edits)
+            other[at] = rng.choice("ACGT".replace(other[at], "")) if i % 2 else rng.choice(["", other[at] + rng.choice("ACGT")])
+        other = "".join(other)
+        data += [(2 * i, "ins:7:FC1:1:1:0:0", seq), (2 * i + 1, "ins:7:FC1:1:1:0:0", strand(other) if i % 3 else other)]
+    df = spark.createDataFrame(data, "read_id bigint, name string, seq string").repartition(3)
+    truth = brute_pairs(data)
+    assert len(truth) > 55
+    assert rows(B.delivered_again(df)) == sorted(truth, key=repr)
+
+
 def test_groups_against_union_find(spark):
     rng = random.Random(12)
     pairs = [(rng.randint(1, 400), rng.randint(1, 400)) for _ in range(180)] + [(i, i + 1) for i in range(1000, 1300)] + [(2000, i) for i in range(2001, 2100)]
