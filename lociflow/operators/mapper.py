@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -37,14 +39,53 @@ def _hamming(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([int((code(x) != code(y)).sum()) for x, y in zip(a, b)], dtype="int32")
 
 
-def hits(reads: DataFrame, contigs: DataFrame, size: int = SEED) -> DataFrame:
-    """``key, reverse, name, at, differences``: places where a read fits whole within its mismatch limit.
+PIECES = ((2, 16, 23, 4, 4), (2, 24, 37, 6, 4), (3, 38, 63, 6, 5))  # limit, lengths from and to, bases of a piece, pieces; two of them stay whole
+SINGLE = 11  # bases of a piece for reads that are long enough for limit + 1 of them
+
+
+def whole_seeds(reads: DataFrame, contigs: DataFrame) -> DataFrame:
+    """``key, reverse, name, at``: diagonals that hold every place within the mismatch limit.
 
-    A place is a diagonal that some seed supports; diagonals are made distinct
-    before sequences are fetched, and fetched sequences are compared in batches.
+    Of limit + 1 disjoint pieces one has no mismatch, of limit + 2 pieces two.
+    Reads with more seeds than mismatches use seeds, those of limit 4 and more
+    pieces of SINGLE bases, and shorter ones two pieces at a time by their distance.
     """
+    most = limit(F.length("seq"))
+    seeded = F.length("seq") >= SEED * (most + 1)
+    single = ~seeded & (F.length("seq") >= SINGLE * (most + 1)) & (most > 3)
+    found = [_met(reads.filter(seeded), contigs, SEED), _met(reads.filter(single), contigs, SINGLE)]
+    for allowed, low, high, size, pieces in PIECES:
+        own = reads.filter((most == allowed) & F.length("seq").between(low, high))
+        found.append(_met_twice(own, contigs, size, pieces))
+    return functools.reduce(DataFrame.unionByName, found).distinct()
+
+
+def _met(reads: DataFrame, contigs: DataFrame, size: int) -> DataFrame:
     seeds = read_seeds(reads, size).join(contig_seeds(contigs, size), "seed")
-    places = seeds.select("key", "reverse", "name", (F.col("at") - F.col("from")).alias("at")).filter("at >= 0").distinct()
+    return seeds.select("key", "reverse", "name", (F.col("at") - F.col("from")).alias("at")).filter("at >= 0").distinct()
+
+
+def _met_twice(reads: DataFrame, contigs: DataFrame, size: int, pieces: int) -> DataFrame:
+    one = read_seeds(reads, size).filter(F.col("from") < size * pieces)
+    two = one.select("key", "reverse", F.col("seed").alias("seed_2"), F.col("from").alias("from_2"))
+    own = one.join(two, ["key", "reverse"]).filter("from < from_2")
+    own = own.select("key", "reverse", "from", F.concat("seed", "seed_2").alias("seed"), (F.col("from_2") - F.col("from")).alias("gap"))
+    each = contigs.filter(F.length("seq") >= 2 * size).select("name", F.upper("seq").alias("_s"), F.explode(F.sequence(F.lit(size), F.lit(size * (pieces - 1)), F.lit(size))).alias("gap"))
+    each = each.filter(F.length("_s") >= F.col("gap") + size).select("name", "_s", "gap", F.explode(F.sequence(F.lit(0), F.length("_s") - F.col("gap") - size)).alias("at"))
+    piece = lambda start: F.substr("_s", start + 1, F.lit(size))
+    each = each.select("name", "gap", "at", F.concat(piece(F.col("at")), piece(F.col("at") + F.col("gap"))).alias("seed"))
+    met = own.join(each, ["gap", "seed"])
+    return met.select("key", "reverse", "name", (F.col("at") - F.col("from")).alias("at")).filter("at >= 0").distinct()
+
+
+def hits(reads: DataFrame, contigs: DataFrame, size: int | None = None) -> DataFrame:
+    """``key, reverse, name, at, differences``: places where a read of SEED bases or more fits whole within its mismatch limit.
+
+    All such places come, or, with a ``size``, only those that a disjoint seed of
+    that size supports.  Diagonals are made distinct before sequences are
+    fetched, and fetched sequences are compared in batches.
+    """
+    places = _met(reads, contigs, size) if size else whole_seeds(reads.filter(F.length("seq") >= SEED), contigs)
     read_of = reads.select("key", F.upper("seq").alias("_r")).dropDuplicates(["key"])
     contig_of = contigs.select("name", F.upper("seq").alias("_c")).dropDuplicates(["name"])
     both = places.join(read_of, "key").join(contig_of, "name").filter(F.col("at") + F.length("_r") <= F.length("_c"))

@@ -154,7 +154,8 @@ def _reads(spark, sf_dir):
 
 
 def hits_of(spark, sf_dir):
-    return MP.hits(_reads(spark, sf_dir), contig_reads(spark, sf_dir))
+    """Hits by disjoint seeds only, as the SQL of both queries states them."""
+    return MP.hits(_reads(spark, sf_dir), contig_reads(spark, sf_dir), MP.SEED)
 
 
 @R.query("join_j18_seed_hits", f"with {_HITS} select key, reverse, name, cast(place as int) as place, cast(differences as int) as differences from hits")
@@ -192,8 +193,8 @@ def proper_pairs(spark, sf_dir):
     the first by name stands for all, since it is the one that ties go to.
     """
     reads = read_table(spark, sf_dir).filter("seq is not null").select("read_id", F.struct("file_id", "read_idx").alias("pair"), "mate", F.upper("seq").alias("seq"))
-    classes = reads.groupBy("seq").agg(F.min("read_id").alias("key"))
-    distinct = fragments(spark, sf_dir).groupBy("seq").agg(F.min("name").alias("name"))
+    classes = cut(reads.groupBy("seq").agg(F.min("read_id").alias("key")))
+    distinct = cut(fragments(spark, sf_dir).groupBy("seq").agg(F.min("name").alias("name")))
     found = cut(MP.hits(classes, distinct).join(classes.select("key", F.length("seq").alias("_n")), "key").withColumn("stop", F.col("at") + F.col("_n")).drop("_n"))
     keyed = reads.join(classes, "seq")
     side = lambda n: keyed.filter(F.col("mate") == n).select("pair", F.col("key").alias(f"key_{n}"))

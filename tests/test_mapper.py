@@ -1,8 +1,11 @@
 import random
 
 from lociflow.functions import numeric
+from lociflow.operators import mapper
 from lociflow.plans import models
 
+SEED = mapper.SEED
+
 
 def turned(s):
     return s[::-1].translate(str.maketrans("ACGT", "TGCA"))
@@ -61,3 +64,24 @@ def test_pairs_of_repeated_mates_against_brute_force(spark, tmp_path):
     got = {tuple(r) for r in models.proper_pairs(spark, fastq(spark, tmp_path, rows)).collect()}
     want = brute_proper_pairs(rows)
     assert got == want and len(want) == len(mates)
+
+
+def test_every_place_within_the_limit_is_found(spark):
+    rng = random.Random(2)
+    contigs = {f"c{i}": "".join(rng.choice("ACGT") for _ in range(180)) for i in range(6)}
+    reads = []
+    for n in [*range(16, 100), 123, 124, 150]:
+        for _ in range(3):
+            c = contigs[rng.choice(sorted(contigs))]
+            at, most = rng.randrange(len(c) - n + 1), numeric.most_differences(n)
+            s = list(c[at : at + n])
+            for j in range(most):  # one in the middle of each part
+                i = (2 * j + 1) * n // (2 * most)
+                s[i] = rng.choice("ACGT".replace(s[i], ""))
+            s = "".join(s) if rng.random() < 0.5 else changed(rng, c[at : at + n], most)
+            reads.append((len(reads), turned(s) if rng.random() < 0.5 else s))
+    covered = [n for n in range(SEED, 3000) if n < SEED * (numeric.most_differences(min(n, 1024)) + 1)]
+    assert all(any(low <= n <= high and numeric.most_differences(n) == k for k, low, high, *_ in mapper.PIECES) or n >= mapper.SINGLE * (numeric.most_differences(n) + 1) for n in covered)
+    found = mapper.hits(spark.createDataFrame(reads, "key int, seq string"), spark.createDataFrame([*contigs.items()], "name string, seq string"))
+    want = sorted((key, reverse, name, at, d) for key, s in reads for name, at, _, reverse, d in brute_places(s, contigs))
+    assert sorted(map(tuple, found.collect())) == want and len(want) >= len(reads)
