@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lociflow.llm import bagminhash, bpe, components, iceberg, quantiles, repeats, winnow
+from lociflow.llm import bagminhash, bpe, components, iceberg, quantiles, redelivered, repeats, winnow
 from lociflow.session import table
 
 
@@ -60,8 +60,13 @@ def _upto(value, said):
     return F.count_if(value <= said["value"])
 
 
+def p4_method(spark, sf_dir):
+    """Every read with its class, and the classes whose bags are similar, by BagMinHash over the whole table."""
+    return bagminhash.weighted_links(table(spark, sf_dir, "fastq_reads"))
+
+
 def p4_found(spark, sf_dir):
-    pairs = bagminhash.delivered_again(table(spark, sf_dir, "fastq_reads"))
+    pairs = redelivered.delivered_again(table(spark, sf_dir, "fastq_reads"))
     return pairs.select(F.col("a").alias("read_id_a"), F.col("b").alias("read_id_b"))
 
 
@@ -118,6 +123,7 @@ QUERIES = {
     "p2_percentiles": p2_percentiles,
     "p2_daily": p2_daily,
     "p2_audit": p2_audit,
+    "p4_method": p4_method,
     "p4_found": p4_found,
     "p4_groups": p4_groups,
     "p5_found": p5_found,

@@ -2,7 +2,7 @@
 
 import random
 
-from lociflow.llm import bagminhash, bpe, iceberg, quantiles, repeats, winnow
+from lociflow.llm import bagminhash, bpe, iceberg, quantiles, redelivered, repeats, winnow
 
 
 def test_long_reads_and_names(spark, rows):
@@ -12,13 +12,14 @@ def test_long_reads_and_names(spark, rows):
     name = ":".join(str(rng.randint(1, 10**9)) for _ in range(2_000))
     data = [(1, name, seq), (2, name + ":dup/1", other), (3, name, seq[:10_000]), (4, "a:b:c:d:e:f:g", "N" * 30_000), (5, "g#f#e#d#c#b#a", "." * 29_000), (6, "", "A"), (7, " x", "A")]
     df = spark.createDataFrame(data, "read_id bigint, name string, seq string")
-    assert rows(bagminhash.delivered_again(df)) == [(1, 2), (4, 5)]
-    assert rows(bagminhash.delivered_again(df.filter("read_id = 1"))) == []
+    assert rows(redelivered.delivered_again(df)) == [(1, 2), (4, 5)]
+    assert rows(redelivered.delivered_again(df.filter("read_id = 1"))) == []
+    assert {r.read_id: r.links for r in bagminhash.weighted_links(df).collect()}.keys() == {1, 2, 3, 4, 5, 6, 7}
 
 
 def test_same_read_a_hundred_times(spark):
     df = spark.createDataFrame([(i, "a:b:c:d:e:f:g", "ACGTACGTAC") for i in range(100)], "read_id bigint, name string, seq string")
-    assert bagminhash.delivered_again(df).count() == 4950
+    assert redelivered.delivered_again(df).count() == 4950
 
 
 def test_infinite_values(spark):

@@ -7,6 +7,7 @@ import pytest
 
 from lociflow.llm import bagminhash as B
 from lociflow.llm import components, iceberg, quantiles
+from lociflow.llm import redelivered as D
 
 
 def rank_ok(sorted_values, value, share, error=0.01):
@@ -82,20 +83,22 @@ def test_frequent_items(spark, rows):
     assert rows(iceberg.frequent_items(spark.createDataFrame([("A",)] * 3 + [("C",)], "seq string"), iceberg.bases(), 0.25).select("value", "n")) == [("A", 3), ("C", 1)]
 
 
-def test_signatures_estimate_weighted_jaccard():
+@pytest.mark.parametrize("weights", [[1.0, 2.0, 3.0, 5.0, 7.0, 40.0, 700.0], [0.25, 0.5, 1.5, 2.75, 3.1]])
+def test_signatures_estimate_weighted_jaccard(weights):
     rng = np.random.default_rng(4)
-    levels = B.LEVELS[1:10]
     for _ in range(5):
-        a = dict(zip(range(40), rng.choice(levels, 40)))
-        b = {k + int(rng.integers(0, 2)) * 100: v if rng.random() < 0.7 else rng.choice(levels) for k, v in a.items()}
+        a = dict(zip(range(40), rng.choice(weights, 40)))
+        b = {k + int(rng.integers(0, 2)) * 100: v if rng.random() < 0.7 else rng.choice(weights) for k, v in a.items()}
         keys = set(a) | set(b)
         truth = sum(min(a.get(k, 0), b.get(k, 0)) for k in keys) / sum(max(a.get(k, 0), b.get(k, 0)) for k in keys)
         bag = np.r_[np.zeros(len(a), int), np.ones(len(b), int)]
         element = B.mixed(np.array([*a, *b], np.uint64) + np.uint64(rng.integers(1, 1 << 40)))
         weight = np.array([*a.values(), *b.values()])
         m = 4096
-        values, _ = B.signatures(bag, element, weight, 2, m)
+        values = B.signatures(bag, element, weight, 2, m)
         assert abs((values[0] == values[1]).mean() - truth) < 5 * math.sqrt(0.25 / m)
+        assert abs(B.weighted_jaccard(bag, element, weight, 1)[0] - truth) < 1e-9
+    assert np.isinf(B.signatures(bag, element, np.zeros(len(bag)), 3, 4)).all()
 
 
 def edit_distance(a, b):
@@ -132,7 +135,7 @@ def test_within_is_the_edit_distance():
         b = mutate(rng, a, rng.randint(0, 8))
         d = edit_distance(a, b)
         for most in range(0, 8):
-            assert B.within(code(a), code(b), most) == (d <= most)
+            assert D.within(code(a), code(b), most) == (d <= most)
 
 
 def reads_with_copies(rng, n=120, hot=0, same_tile=True):
@@ -183,23 +186,23 @@ def test_pairs_against_brute_force(spark, rows):
     data += [data[0], (None, *data[1][1:]), (5001, None, data[1][2]), (5002, data[1][1], None), (5003, "a:b:c:d:e:f", ""), (5004, "a.b.c.d.e.f/1", ""), (5005, "", "")]
     df = spark.createDataFrame(data, "read_id bigint, name string, seq string").selectExpr("*", "1 as a", "2 as bucket", "3 as id")
     truth = brute_pairs(data)
-    assert rows(B.delivered_again(df)) == sorted(truth, key=repr) and len(truth) > 30
-    assert rows(B.delivered_again(df.limit(0))) == []
+    assert rows(D.delivered_again(df)) == sorted(truth, key=repr) and len(truth) > 30
+    assert rows(D.delivered_again(df.limit(0))) == []
 
 
 def test_hot_names_and_tokens_go_the_other_way(spark, rows, monkeypatch):
-    monkeypatch.setattr(B, "BUCKET", 8)
-    monkeypatch.setattr(B, "RARE", 20)
+    monkeypatch.setattr(D, "BUCKET", 8)
+    monkeypatch.setattr(D, "RARE", 20)
     data = reads_with_copies(random.Random(9), n=40, hot=40)
     df = spark.createDataFrame(data, "read_id bigint, name string, seq string").repartition(3)
-    truth, found = brute_pairs(data), rows(B.delivered_again(df))
+    truth, found = brute_pairs(data), rows(D.delivered_again(df))
     assert len(truth) > 300 and set(found) <= set(truth)
     assert len(found) >= 0.97 * len(truth)
 
 
 def test_hot_names_lose_no_pair_at_the_edit_limit(spark, rows, monkeypatch):
-    monkeypatch.setattr(B, "BUCKET", 8)
-    monkeypatch.setattr(B, "RARE", 20)
+    monkeypatch.setattr(D, "BUCKET", 8)
+    monkeypatch.setattr(D, "RARE", 20)
     rng, data = random.Random(21), [(5000, "ins:7:FC1:1:1:0:0", ""), (5001, "ins:7:FC1:1:1:0:0", "ACGTA"), (5002, "ins:7:FC1:1:1:0:0", "TACGT")]
     for i in range(60):  # evenly spaced substitutions hit nearly every 8-mer
         seq = "".join(rng.choice("ACGT") for _ in range(rng.choice([10, 20, 20, 29, 30, 45, 70])))
@@ -212,7 +215,68 @@ def test_hot_names_lose_no_pair_at_the_edit_limit(spark, rows, monkeypatch):
     df = spark.createDataFrame(data, "read_id bigint, name string, seq string").repartition(3)
     truth = brute_pairs(data)
     assert len(truth) > 55
-    assert rows(B.delivered_again(df)) == sorted(truth, key=repr)
+    assert rows(D.delivered_again(df)) == sorted(truth, key=repr)
+
+
+def brute_bags(data, rare):
+    """Class (sequence on either strand and tokens) and bag of each read; weights as documented."""
+    import re
+
+    reads = {}
+    for i, name, seq in data:
+        if None not in (i, name, seq):
+            words = sorted(re.split(r"[:_.|#]", re.sub(r"/[12]\Z", "", name.split(" ")[0]).lower()))
+            own = re.sub("[^ACGT]", "N", seq.upper())
+            reads.setdefault(i, set()).add((min(own, strand(own)), tuple(words)))
+    kept = [(i, c) for i, name, seq in data if None not in (i, name, seq) for c in reads[i]]
+    n, df, copies = len(kept), Counter(t for _, c in kept for t in set(c[1])), Counter(c[0] for _, c in kept)
+    bags = {}
+    for _, (seq, words) in kept:
+        bag = Counter()
+        if copies[seq] <= B.COPIES:
+            runs = [seq[k : k + B.K] for k in range(len(seq) - B.K + 1)]
+            bag.update(min(r, strand(r)) for r in runs)
+        for t in words:
+            bag["token", t] += B.TOKEN_WEIGHT * max(0, min(B.MOST, int(math.log2(n / df[t])) - rare))
+        bags[seq, words] = bag
+    return reads, bags
+
+
+def test_weighted_links_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(B, "FREE", 2)
+    data = [r for r in reads_with_copies(random.Random(5), n=150)]
+    data += [(9000 + i, f"{i}:x:y", "ACGTACGGTTACGATT") for i in range(30)]  # a sequence of many reads
+    data += [data[3], (None, *data[1][1:]), (5001, None, "A"), (5002, "x:y", None), (5003, "", ""), (5004, "", "")]
+    reads, bags = brute_bags(data[:-6] + data[-5:], B.FREE)
+    df = spark.createDataFrame(data[:-6] + data[-5:], "read_id bigint, name string, seq string").selectExpr("*", "1 as class", "2 as key", "3 as id").repartition(3)
+    truth, classes = Counter(), list(bags)
+    for x, a in enumerate(classes):
+        for b in classes[x + 1 :]:
+            common, every = sum((bags[a] & bags[b]).values()), sum((bags[a] | bags[b]).values())
+            if every and common >= B.SIMILAR * every:
+                truth[a] += 1
+                truth[b] += 1
+    out = B.weighted_links(df).collect()
+    assert sorted(r.read_id for r in out) == sorted(i for i in reads for _ in reads[i])
+    found = {}
+    for r in out:
+        (c,) = reads[r.read_id]
+        assert found.setdefault(c, (r.class_id, r.links)) == (r.class_id, r.links)
+        assert r.links <= truth[c] and (r.links == 0) == (r.similarity is None)
+    assert len({c for c, _ in found.values()}) == len(found)
+    recall = sum(n for _, n in found.values()) / sum(truth.values())
+    assert sum(truth.values()) > 100 and recall >= 0.9
+    assert B.weighted_links(df.limit(0)).collect() == []
+
+
+def test_crowded_buckets_lose_no_more(spark, monkeypatch):
+    data = reads_with_copies(random.Random(8), n=60)
+    df = spark.createDataFrame(data, "read_id bigint, name string, seq string").repartition(3)
+    monkeypatch.setattr(B, "FREE", 0)
+    links = lambda: {r.read_id: r.links for r in B.weighted_links(df).collect()}
+    all_of = links()
+    monkeypatch.setattr(B, "CROWD", 1)  # every bucket is crowded: pairs must meet in two bands
+    assert sum(all_of.values()) > 40 and sum(links().values()) >= 0.9 * sum(all_of.values())
 
 
 def test_groups_against_union_find(spark):
