@@ -152,18 +152,20 @@ def run_align(spark: SparkSession, o: argparse.Namespace) -> None:
     depths = B.depth(bases)
     region = intervals.total_length(intervals.collapse(markers.flanks(marks))).first()["bases"]
     out = {
-        "depth_hist": B.depth_histogram(depths, region),
+        "depth_hist": B.depth_histogram(depths.groupBy("depth").agg(F.count(F.lit(1)).alias("sites")), region),
         "gc_hist": B.gc_depth(depths, spark.read.parquet(f"{o.index_prefix}/gc").dropDuplicates(["chrom", "pos"])),
         "quality_by_reported": B.quality_by_reported(judged),
         "quality_by_cycle": B.quality_by_cycle(judged),
-        "sex_contigs": marks.filter("chrom in ('X', 'Y')"),
-        "sites_by_depth": B.sites_from(depths),
+        "sites_by_depth": B.sites_from(depths.groupBy("depth").agg(F.count(F.lit(1)).alias("sites"))),
     }
-    piles = B.pileup(bases, marks)
+    at = B.marker_bases(placed, marks)
+    piles = B.pileup(at)
     out["pileup"] = B.pileup_text(piles, marks)
     af = marks.select("chrom", "pos", F.coalesce("af", F.lit(0.5)).alias("af")) if "af" in marks.columns else marks.select("chrom", "pos", F.lit(0.5).alias("af"))
-    out["genotypes"] = genotype.calls(genotype.likelihoods(bases, marks), af)
+    out["genotypes"] = genotype.calls(genotype.likelihoods(at, marks), af)
     if not o.sam_in:
+        marked = placed.withColumn("flag", pairs.flags("file_id", "read_idx", "mate", "strand"))
+        out["sex_contigs"] = summary.contig_counters(marked, marks, ["X", "Y"])
         pair = pairs.pair_status(pairs.aligned_pairs(placed.drop("read_idx"), placed.select("read_id", "read_idx"), marks))
         pair.write.mode("overwrite").parquet(f"{o.out_prefix}/pairs")
         pair = spark.read.parquet(f"{o.out_prefix}/pairs")

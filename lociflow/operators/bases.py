@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lociflow.functions import keys, sequence
 
 MOST_DEPTH = 1023
+SPAN = 1_024
 
 
 def aligned_bases(alignments: DataFrame) -> DataFrame:
@@ -17,8 +18,14 @@ def aligned_bases(alignments: DataFrame) -> DataFrame:
     the place in sequencing order from 0.  Clipped and inserted bases have no
     row.  Reads without position, script or bases have none.
     """
+    rows = _matching(alignments).withColumn("_known", sequence.md_mismatches("md"))
+    return _lookup(rows.withColumn("_i", F.explode(F.expr("sequence(0, _b.len - 1)"))))
+
+
+def _matching(alignments: DataFrame) -> DataFrame:
+    """The M blocks of placed reads, with what is needed to look their bases up."""
     placed = alignments.filter("pos is not null and cigar is not null and seq is not null and chrom is not null")
-    rows = placed.select(
+    return placed.select(
         "read_id",
         keys.chrom("chrom").alias("chrom"),
         F.col("pos").alias("_start"),
@@ -26,10 +33,13 @@ def aligned_bases(alignments: DataFrame) -> DataFrame:
         "qual",
         "mapq",
         "strand",
-        sequence.md_mismatches("md").alias("_known"),
+        "md",
         F.explode(sequence.blocks("cigar")).alias("_b"),
     ).filter("_b.op in ('M', '=', 'X') and _b.len > 0")
-    each = rows.select("*", F.explode(F.expr("sequence(0, _b.len - 1)")).alias("_i"))
+
+
+def _lookup(each: DataFrame) -> DataFrame:
+    """The base ``_i`` places into a block."""
     at = F.col("_b.read_off") + F.col("_i")
     base = F.substr("seq", at + 1, F.lit(1))
     return each.select(
@@ -45,6 +55,21 @@ def aligned_bases(alignments: DataFrame) -> DataFrame:
     )
 
 
+def marker_bases(alignments: DataFrame, markers: DataFrame) -> DataFrame:
+    """The rows of ``aligned_bases`` at the positions of markers (``chrom, pos``).
+
+    Blocks meet the markers within bins of SPAN positions first, so only reads that
+    cover a marker go on, and their base is looked up by its offset: no other base is listed.
+    """
+    to_bin = lambda x: F.floor(x / SPAN)
+    beg = F.col("_start") + F.col("_b.ref_off")
+    sites = markers.select("chrom", "pos").dropna().distinct().select("chrom", F.col("pos").alias("_at"), to_bin(F.col("pos")).alias("_bin"))
+    rows = _matching(alignments).withColumns({"_beg": beg, "_bin": F.explode(F.sequence(to_bin(beg), to_bin(beg + F.col("_b.len") - 1)))})
+    inside = (F.col("_at") >= F.col("_beg")) & (F.col("_at") < F.col("_beg") + F.col("_b.len"))
+    hits = rows.join(sites, ["chrom", "_bin"]).filter(inside)
+    return _lookup(hits.withColumns({"_i": F.col("_at") - F.col("_beg"), "_known": sequence.md_mismatches("md")}))
+
+
 def depth(bases: DataFrame) -> DataFrame:
     """``chrom, pos, depth, q20, q30`` of every covered site."""
     return bases.groupBy("chrom", "pos").agg(
@@ -61,17 +86,17 @@ def filled(histogram: DataFrame, key: str, size: int, values: list[str]) -> Data
     return every.join(histogram.withColumn(key, F.col(key).cast("int")), key, "left").fillna(0, values)
 
 
-def depth_histogram(depths: DataFrame, region_size: int) -> DataFrame:
-    """``depth, sites`` for 0 .. MOST_DEPTH; 0 holds the positions without a base."""
-    counts = depths.groupBy(F.least(F.col("depth"), F.lit(MOST_DEPTH)).alias("depth")).agg(F.count(F.lit(1)).alias("sites"))
+def depth_histogram(sites: DataFrame, region_size: int) -> DataFrame:
+    """``depth, sites`` for 0 .. MOST_DEPTH of counts ``depth, sites``; 0 holds the positions without a base."""
+    counts = sites.groupBy(F.least(F.col("depth"), F.lit(MOST_DEPTH)).alias("depth")).agg(F.sum("sites").alias("sites"))
     full = filled(counts, "depth", MOST_DEPTH + 1, ["sites"])
     covered = F.sum("sites").over(Window.partitionBy())
     return full.withColumn("sites", F.when(F.col("depth") == 0, F.lit(region_size) - covered).otherwise(F.col("sites")))
 
 
-def sites_from(depths: DataFrame, limits: tuple[int, ...] = (1, 2, 5, 10)) -> DataFrame:
-    """One row with the sites of at least each depth."""
-    return depths.agg(*[F.count_if(F.col("depth") >= k).alias(f"depth_{k}") for k in limits])
+def sites_from(sites: DataFrame, limits: tuple[int, ...] = (1, 2, 5, 10)) -> DataFrame:
+    """One row with the sites of at least each depth, of counts ``depth, sites``."""
+    return sites.agg(*[F.coalesce(F.sum(F.when(F.col("depth") >= k, F.col("sites"))), F.lit(0)).alias(f"depth_{k}") for k in limits])
 
 
 def mismatches(bases: DataFrame, known_sites: DataFrame | None = None) -> DataFrame:
@@ -101,9 +126,8 @@ def quality_by_cycle(bases: DataFrame) -> DataFrame:
     return counts.withColumn("empirical", F.round(F.coalesce(carried, F.lit(0.0)), 6))
 
 
-def pileup(bases: DataFrame, markers: DataFrame, cap: int | None = None) -> DataFrame:
-    """``chrom, pos, depth, items`` at markers, items ordered by read; at most ``cap`` of them in read order."""
-    at = bases.join(markers.select("chrom", "pos").distinct(), ["chrom", "pos"], "left_semi")
+def pileup(at: DataFrame, cap: int | None = None) -> DataFrame:
+    """``chrom, pos, depth, items`` of bases at markers, items ordered by read; at most ``cap`` of them in read order."""
     if cap is not None:
         line = Window.partitionBy("chrom", "pos").orderBy("read_id", "cycle")
         at = at.withColumn("_n", F.row_number().over(line)).filter(F.col("_n") <= cap)

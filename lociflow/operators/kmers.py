@@ -10,9 +10,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lociflow.functions import sequence
+from lociflow.session import cut
 
 SIZE = 32
 OFFSETS = (0, 32, 64)
+MOST_BITS = 27
 #: Each of the six masks keeps two of the four blocks of eight bases.
 MASKS = ((0, 1), (2, 3), (0, 3), (1, 2), (0, 2), (1, 3))
 #: A, C, G and T are 0 to 3, any other character is 4.
@@ -79,44 +81,84 @@ def panel_keys(panel: DataFrame, seq: str) -> DataFrame:
             masks = np.repeat(np.arange(len(MASKS), dtype=np.int8), [len(k) for k in keys])
             yield pa.RecordBatch.from_arrays([pa.array(masks), pa.array(np.concatenate(keys))], names=["mask", "key"])
 
-    # a row makes some thousand keys: as many tasks as there are cores, however few bytes the rows take
-    cores = panel.sparkSession.sparkContext.defaultParallelism
-    upper = panel.select(F.upper(F.col(seq)).alias("_p")).filter("_p is not null").repartition(cores, "_p").distinct()
+    # a row makes some thousand keys: as many tasks as any shuffle of this session has, however few bytes the rows take
+    parts = int(panel.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    upper = panel.select(F.upper(F.col(seq)).alias("_p")).filter("_p is not null").distinct().repartition(parts, F.xxhash64("_p"))
     both = upper.select("_p", sequence.reverse_complement("_p").alias("_q"))
     return both.mapInArrow(run, "mask tinyint, key bigint").distinct()
 
 
-def read_keys(reads: DataFrame, key: str, seq: str) -> DataFrame:
-    """``_id, chunk, mask, key`` of the full 32-mers at offsets 0, 32 and 64 of each read; unknown bases count as A."""
+def _slot(mask: np.ndarray | int, key: np.ndarray, bits: int) -> np.ndarray:
+    """Where a key stands in the bitmap of its mask."""
+    with np.errstate(over="ignore"):
+        mixed = (key.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    return (mixed >> np.uint64(64 - bits)) + (np.asarray(mask).astype(np.uint64) << np.uint64(bits))
+
+
+def bitmaps(panel: DataFrame) -> tuple[np.ndarray, int]:
+    """One bitmap a mask of the panel's keys and its size as a power of two.
+
+    Sixteen bits a key, at most 2^MOST_BITS a mask (2^MOST_BITS * 6 / 8 bytes in all); words of
+    64 bits are put together on the executors, so the driver gets bytes and no keys.
+    """
+    most = panel.groupBy("mask").count().agg(F.max("count")).first()[0] or 1
+    bits = min(MOST_BITS, max(12, int(most).bit_length() + 4))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            slot = _slot(batch.column(0).to_numpy(), batch.column(1).to_numpy(), bits)
+            word = (np.uint64(1) << (slot & np.uint64(63))).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array((slot >> np.uint64(6)).astype(np.int64)), pa.array(word)], names=["at", "word"])
+
+    words = panel.select("mask", "key").mapInArrow(run, "at bigint, word bigint").groupBy("at").agg(F.bit_or("word").alias("word")).toArrow()
+    out = np.zeros((len(MASKS) << bits) // 64, np.uint64)
+    out[words.column("at").to_numpy()] = words.column("word").to_numpy().view(np.uint64)
+    return out, bits
+
+
+def read_keys(reads: DataFrame, key: str, seq: str, panel: DataFrame | None = None) -> DataFrame:
+    """``_id, chunk, mask, key`` of the full 32-mers at offsets 0, 32 and 64 of each read; unknown bases count as A.
+
+    With a panel, keys that miss its bitmaps are left out in the scan: what comes out are the
+    panel's keys and few others.
+    """
     kind = reads.schema[key].dataType.simpleString()
+    shared = reads.sparkSession.sparkContext.broadcast(bitmaps(panel)) if panel is not None else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             word, owner, place, _ = _words(batch.column(1).to_pylist())
             use = np.isin(place, OFFSETS)
-            masked, n = _masked(word[use]), int(use.sum())
-            columns = [
-                batch.column(0).take(pa.array(np.tile(owner[use], len(MASKS)))),
-                pa.array(np.tile(place[use], len(MASKS)).astype(np.int32)),
-                pa.array(np.repeat(np.arange(len(MASKS), dtype=np.int8), n)),
-                pa.array(np.concatenate(masked)),
-            ]
+            masked = np.concatenate(_masked(word[use]))
+            owner, place = np.tile(owner[use], len(MASKS)), np.tile(place[use], len(MASKS)).astype(np.int32)
+            mask = np.repeat(np.arange(len(MASKS), dtype=np.int8), int(use.sum()))
+            if shared is not None:
+                words, bits = shared.value
+                slot = _slot(mask, masked, bits)
+                held = np.flatnonzero((words[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1))
+                owner, place, mask, masked = owner[held], place[held], mask[held], masked[held]
+            columns = [batch.column(0).take(pa.array(owner)), pa.array(place), pa.array(mask), pa.array(masked)]
             yield pa.RecordBatch.from_arrays(columns, names=["_id", "chunk", "mask", "key"])
 
     rows = reads.filter(F.length(seq) >= SIZE).select(F.col(key).alias("_id"), F.upper(F.col(seq)).alias("_s"))
     return rows.mapInArrow(run, f"_id {kind}, chunk int, mask tinyint, key bigint")
 
 
+def hits(reads: DataFrame, key: str, seq: str, panel: DataFrame) -> DataFrame:
+    """``_id, chunk, n``: the keys of each 32-mer that the panel holds; 32-mers without one have no row."""
+    own = read_keys(reads, key, seq, panel)
+    return own.join(panel, ["mask", "key"]).groupBy("_id", "chunk").agg(F.count(F.lit(1)).alias("n"))
+
+
 def shared_keys(reads: DataFrame, key: str, seq: str, panel: DataFrame, any_chunk: bool = False) -> DataFrame:
-    """``key, hits``: keys of each distinct read that the panel holds, or the most of one 32-mer.
+    """``key, hits``: keys of each distinct read that the panel (``mask, key``, distinct) holds, or the most of one 32-mer.
 
-    Reads without a full 32-mer or a hit have 0.  Keys meet in a shuffled join
-    (adaptive execution broadcasts a small panel), folded by (mask, key) pairs.
+    Reads without a full 32-mer or a hit have 0.  The panel's bitmaps are tested in the scan,
+    only keys that pass are joined with it.
     """
-    held = panel.withColumn("_hit", F.lit(1))
-    hits = read_keys(reads, key, seq).join(held, ["mask", "key"]).groupBy("_id", "chunk").agg(F.sum("_hit").alias("n"))
-    per_read = hits.groupBy("_id").agg((F.max("n") if any_chunk else F.sum("n")).alias("hits"))
-    own = reads.select(F.col(key).alias("_id")).distinct().join(per_read, "_id", "left").fillna(0, ["hits"])
+    panel = cut(panel)
+    every = reads.select(F.col(key).alias("_id"), F.lit(0).alias("chunk"), F.lit(0).cast("bigint").alias("n"))
+    own = every.unionByName(hits(reads, key, seq, panel)).groupBy("_id").agg((F.max("n") if any_chunk else F.sum("n")).alias("hits"))
     return own.withColumnRenamed("_id", key)
 
 

@@ -29,6 +29,12 @@ def singletons(reads: DataFrame) -> DataFrame:
     return reads.withColumn("_mates", both).filter("_mates = 1").drop("_mates")
 
 
+def flags(file: str, index: str, mate: str, strand: str) -> Column:
+    """The flag of a placed read among the placed reads: paired, which mate, strand, and whether the mate is placed."""
+    both = F.size(F.collect_set(mate).over(Window.partitionBy(file, index))) > 1
+    return (1 + F.when(both, 0).otherwise(8) + F.when(F.col(strand), 16).otherwise(0) + F.when(F.col(mate) == 1, 64).otherwise(128)).cast("int")
+
+
 def aligned_pairs(alignments: DataFrame, read_idx: DataFrame, markers: DataFrame) -> DataFrame:
     """Both placements of each pair with the limits that the contig sets to its insert size.
 

@@ -37,3 +37,13 @@ def depth_segments(ends: DataFrame) -> DataFrame:
     rows = binned.withColumns({"_run": F.sum("delta").over(inside), "_stop": F.lead("pos").over(inside)}).join(per_bin, ["chrom", "_bin"])
     depth, stop = F.col("_run") + F.col("_before"), F.coalesce("_stop", "_next")
     return rows.select("chrom", F.col("pos").alias("beg"), (stop - 1).alias("end"), depth.alias("depth")).filter("depth > 0")
+
+
+def depth(segments: DataFrame) -> DataFrame:
+    """``chrom, pos, depth`` of every covered site."""
+    return segments.select("chrom", F.explode(F.sequence("beg", "end")).alias("pos"), "depth")
+
+
+def depth_counts(segments: DataFrame) -> DataFrame:
+    """``depth, sites``: how many sites have each depth; no site is listed."""
+    return segments.groupBy("depth").agg(F.sum(F.col("end").cast("bigint") - F.col("beg") + 1).alias("sites"))

@@ -12,7 +12,9 @@ from lociflow.operators import pairs as PR
 from lociflow.operators import panel as P
 from lociflow.operators import summary as S
 from lociflow.operators import sweep as SW
-from lociflow.plans.domain import ALN, BASES, DEPTH, MARKERS, PAIRS, READS, base_table, marker_table, pair_table, placed, read_table
+from lociflow.plans.domain import (
+    ALN, BASES, DEPTH, MARKERS, PAIRS, READS, base_table, marker_base_table, marker_table, pair_table, placed, read_table, segment_table,
+)
 from lociflow.plans.registry import Registry
 from lociflow.session import table
 
@@ -25,7 +27,7 @@ SIZE = 1_000_000_000
 
 @R.query("agg_a01_depth", f"{_D} select chrom, pos, depth from depth")
 def depth(spark, sf_dir):
-    return B.depth(base_table(spark, sf_dir)).select("chrom", "pos", "depth")
+    return SW.depth(segment_table(spark, sf_dir))
 
 
 @R.query("agg_a02_q20_q30_depth", f"{_D} select chrom, pos, q20, q30 from depth where q20 > 0")
@@ -40,7 +42,7 @@ def q20_q30(spark, sf_dir):
     from (select unnest(range(1024)) as depth) d left join h using (depth)""",
 )
 def depth_histogram(spark, sf_dir):
-    return B.depth_histogram(B.depth(base_table(spark, sf_dir)), SIZE)
+    return B.depth_histogram(SW.depth_counts(segment_table(spark, sf_dir)), SIZE)
 
 
 @R.query(
@@ -48,7 +50,7 @@ def depth_histogram(spark, sf_dir):
     f"{_D} select " + ", ".join(f"count(*) filter (depth >= {k}) as depth_{k}" for k in (1, 2, 5, 10)) + " from depth",
 )
 def sites_by_depth(spark, sf_dir):
-    return B.sites_from(B.depth(base_table(spark, sf_dir)))
+    return B.sites_from(SW.depth_counts(segment_table(spark, sf_dir)))
 
 
 @R.query(
@@ -143,7 +145,7 @@ def file_totals(spark, sf_dir):
     from bases b where qual is not null and exists (select 1 from markers m where m.chrom = b.chrom and m.pos = b.pos) group by chrom, pos""",
 )
 def pileup(spark, sf_dir):
-    piles = B.pileup(base_table(spark, sf_dir).filter("qual is not null"), marker_table(spark, sf_dir))
+    piles = B.pileup(marker_base_table(spark, sf_dir).filter("qual is not null"))
     join = lambda f, sep: F.array_join(F.transform("items", f), sep)
     return piles.select("chrom", "pos", "depth", join(lambda x: x["base"], "").alias("bases"), join(lambda x: x["qual"].cast("string"), ",").alias("quals"))
 
@@ -187,7 +189,7 @@ def _marks(spark, sf_dir):
 
 
 def _scores(spark, sf_dir):
-    return G.likelihoods(base_table(spark, sf_dir).filter("qual is not null"), _marks(spark, sf_dir))
+    return G.likelihoods(marker_base_table(spark, sf_dir).filter("qual is not null"), _marks(spark, sf_dir))
 
 
 @R.query("agg_a15_genotype_likelihoods", f"{_PL} select * from pl")
@@ -222,8 +224,7 @@ def depth_moments(spark, sf_dir):
 
 
 def _marker_depth(spark, sf_dir):
-    marks = marker_table(spark, sf_dir).select("chrom", "pos").distinct()
-    return B.depth(base_table(spark, sf_dir)).join(marks, ["chrom", "pos"], "left_semi")
+    return B.depth(marker_base_table(spark, sf_dir))
 
 
 @R.query(
@@ -405,14 +406,14 @@ def distinct_fragments(spark, sf_dir):
     select chrom, cast(min(pos) as int) as beg, cast(max(pos) as int) as "end", any_value(depth) as depth from g group by chrom, no""",
 )
 def depth_sweep(spark, sf_dir):
-    return SW.depth_segments(SW.block_ends(placed(spark, sf_dir).filter("seq is not null")))
+    return segment_table(spark, sf_dir)
 
 
 @R.query("srt_o08_flushed_by_coordinate", f"{_B}, {DEPTH} select chrom, pos, depth from depth where depth >= 5")
 def flushed_by_coordinate(spark, sf_dir):
     """Deep sites in coordinate order, each listed once the sweep has passed it."""
-    segments = SW.depth_segments(SW.block_ends(placed(spark, sf_dir).filter("seq is not null"))).filter("depth >= 5")
-    sites = segments.select("chrom", F.explode(F.sequence("beg", "end")).alias("pos"), "depth")
+    segments = segment_table(spark, sf_dir).filter("depth >= 5")
+    sites = SW.depth(segments)
     return sites.repartitionByRange("chrom", "pos").sortWithinPartitions("chrom", "pos")
 
 

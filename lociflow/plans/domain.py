@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lociflow.operators import bases as B
 from lociflow.operators import markers as M
 from lociflow.operators import pairs as PR
+from lociflow.operators import sweep as SW
 from lociflow.operators.distinct_rows import first_rows
 from lociflow.session import table
 
@@ -77,6 +78,14 @@ def base_table(spark, sf_dir):
     return B.aligned_bases(placed(spark, sf_dir))
 
 
+def marker_base_table(spark, sf_dir):
+    return B.marker_bases(placed(spark, sf_dir), marker_table(spark, sf_dir))
+
+
+def segment_table(spark, sf_dir):
+    return SW.depth_segments(SW.block_ends(placed(spark, sf_dir).filter("seq is not null")))
+
+
 def read_table(spark, sf_dir):
     return first_rows(table(spark, sf_dir, "fastq_reads"), "read_id")
 

@@ -13,7 +13,7 @@ from lociflow.operators import selecting as S
 from lociflow.plans.aggregates import _GT, genotype_array
 from lociflow.plans.domain import ALN, BASES, MARKERS, PAIRS, READS, base_table, marker_table, norm, placed, read_table
 from lociflow.plans.registry import Registry
-from lociflow.session import table
+from lociflow.session import cut, table
 from lociflow.sources import text as TX
 
 R = Registry()
@@ -119,8 +119,8 @@ def kmer_any_chunk(spark, sf_dir):
 
 @R.query("join_j09_shared_kmers", f"with {_KEYS} select read_id, chunk, n from hit")
 def shared_kmers(spark, sf_dir):
-    own = K.read_keys(read_table(spark, sf_dir), "read_id", "seq").join(_panel(spark, sf_dir), ["mask", "key"])
-    return own.groupBy(F.col("_id").alias("read_id"), "chunk").agg(F.count(F.lit(1)).alias("n"))
+    panel = cut(_panel(spark, sf_dir))
+    return K.hits(read_table(spark, sf_dir), "read_id", "seq", panel).withColumnRenamed("_id", "read_id")
 
 
 @R.query("flt_p10_downsample")

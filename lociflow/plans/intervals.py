@@ -11,7 +11,7 @@ from lociflow.operators import pairs as PR
 from lociflow.operators.lookup import locate, zipped
 from lociflow.plans.domain import (
     ALN, BASES, DEPTH, FLANKS, MARKERS, POINTS, READS, REGIONS,
-    base_table, collapsed, event_regions, flank_table, marker_table, norm, placed, read_table,
+    base_table, collapsed, event_regions, flank_table, marker_base_table, marker_table, norm, placed, read_table,
 )
 from lociflow.plans.registry import Registry
 from lociflow.session import table
@@ -150,8 +150,7 @@ def nearest_markers(spark, sf_dir):
     f"with {MARKERS}, {BASES} select b.read_id, b.chrom, b.pos, b.base, b.qual from bases b where exists (select 1 from markers m where m.chrom = b.chrom and m.pos = b.pos)",
 )
 def bases_at_markers(spark, sf_dir):
-    marks = marker_table(spark, sf_dir).select("chrom", "pos").distinct()
-    return base_table(spark, sf_dir).join(marks, ["chrom", "pos"], "left_semi").select("read_id", "chrom", "pos", "base", "qual")
+    return marker_base_table(spark, sf_dir).select("read_id", "chrom", "pos", "base", "qual")
 
 
 _PLAIN = r"regexp_replace(split_part({0}, ' ', 1), '[/\\][12]$', '')"
@@ -180,7 +179,7 @@ def singletons(spark, sf_dir):
     f"with {MARKERS}, {BASES}, {DEPTH} select m.name, m.chrom, m.pos, d.depth from markers m join depth d using (chrom, pos)",
 )
 def markers_with_depth(spark, sf_dir):
-    return marker_table(spark, sf_dir).join(B.depth(base_table(spark, sf_dir)), ["chrom", "pos"]).select("name", "chrom", "pos", "depth")
+    return marker_table(spark, sf_dir).join(B.depth(marker_base_table(spark, sf_dir)), ["chrom", "pos"]).select("name", "chrom", "pos", "depth")
 
 
 @R.query(

@@ -9,7 +9,7 @@ from lociflow.functions import sequence
 from lociflow.operators import mapper as MP
 from lociflow.operators import mixture as MX
 from lociflow.operators import panel as P
-from lociflow.plans.domain import ALN, BASES, MARKERS, READS, base_table, marker_table, placed, read_table
+from lociflow.plans.domain import ALN, BASES, MARKERS, READS, marker_base_table, marker_table, placed, read_table
 from lociflow.plans.registry import Registry
 from lociflow.session import cut, table
 from lociflow.streaming import jobs
@@ -62,7 +62,7 @@ suff as (select marker_idx, case when base = ref then 0 when base = alt then 1 e
 
 
 def counts_of(spark, sf_dir):
-    return MX.sufficient(base_table(spark, sf_dir).filter("qual is not null"), panel_of(spark, sf_dir))
+    return MX.sufficient(marker_base_table(spark, sf_dir).filter("qual is not null"), panel_of(spark, sf_dir))
 
 
 @R.query("num_a18_sufficient_counts", f"with {_PANEL} select marker_idx, kind, qual, n from suff")

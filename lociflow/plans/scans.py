@@ -9,9 +9,10 @@ from lociflow.operators import bases as B
 from lociflow.operators import kmers
 from lociflow.operators import lookup as L
 from lociflow.operators import selecting as S
+from lociflow.operators import sweep as SW
 from lociflow.plans.aggregates import _CALL, _GT, SIZE, calls_table, genotype_array
 from lociflow.plans.domain import (
-    ALN, BASES, DEPTH, MARKERS, PAIRS, READS, base_table, marker_table, norm, pair_table, placed, read_table,
+    ALN, BASES, DEPTH, MARKERS, PAIRS, READS, base_table, marker_base_table, marker_table, norm, pair_table, placed, read_table, segment_table,
 )
 from lociflow.plans.registry import Registry
 from lociflow.session import table
@@ -147,8 +148,8 @@ def region_scan(spark, sf_dir):
 
 @R.query("src_s19_pileup_scan", f"with {MARKERS}, {BASES} select b.chrom, b.pos, count(*) as depth from bases b join aln a using (read_id) where a.flag & 1796 = 0 and a.pos > 0 and a.mapq >= 13 and b.qual >= 2 and exists (select 1 from markers m where m.chrom = b.chrom and m.pos = b.pos) group by 1, 2")
 def pileup_scan(spark, sf_dir):
-    bases = B.aligned_bases(S.pileup_reads(placed(spark, sf_dir))).filter("qual >= 2")
-    return B.pileup(bases, marker_table(spark, sf_dir)).select("chrom", "pos", "depth")
+    bases = B.marker_bases(S.pileup_reads(placed(spark, sf_dir)), marker_table(spark, sf_dir)).filter("qual >= 2")
+    return B.depth(bases).select("chrom", "pos", "depth")
 
 
 _TEXT = f"""with {MARKERS}, {BASES}, mk as (select distinct on (chrom, pos) chrom, pos, ref from markers order by chrom, pos, name), b as (select b.*, mk.ref from bases b join mk using (chrom, pos) where b.qual is not null)"""
@@ -156,7 +157,7 @@ _TEXT = f"""with {MARKERS}, {BASES}, mk as (select distinct on (chrom, pos) chro
 
 def _piles(spark, sf_dir):
     marks = marker_table(spark, sf_dir).groupBy("chrom", "pos").agg(F.min_by("ref", "name").alias("ref"))
-    return B.pileup_text(B.pileup(base_table(spark, sf_dir).filter("qual is not null"), marks), marks)
+    return B.pileup_text(B.pileup(marker_base_table(spark, sf_dir).filter("qual is not null")), marks)
 
 
 _CELLS = """chrom || chr(9) || pos || chr(9) || ref || chr(9) || count(*) || chr(9) || string_agg(case when strand then upper(base) else lower(base) end, '' order by read_id, cycle)
@@ -264,7 +265,7 @@ def insert_lines(spark, sf_dir):
 
 @R.query("snk_k10_depth_lines", f"with {BASES}, {DEPTH}, h as (select least(depth, 1023) as depth, count(*) as sites from depth group by 1) select d.depth || chr(9) || case when d.depth = 0 then {SIZE} - (select count(*) from depth) else coalesce(h.sites, 0) end as value from (select unnest(range(1024)) as depth) d left join h using (depth)")
 def depth_lines(spark, sf_dir):
-    return K.tabbed(B.depth_histogram(B.depth(base_table(spark, sf_dir)), SIZE), ["depth", "sites"])
+    return K.tabbed(B.depth_histogram(SW.depth_counts(segment_table(spark, sf_dir)), SIZE), ["depth", "sites"])
 
 
 @R.query("snk_k15_sex_contigs", f"with {MARKERS}, {ALN} select m.name || chr(9) || count(*) as value from aln a join markers m on m.name = a.contig where m.chrom in ('X', 'Y') group by m.name")

@@ -12,7 +12,8 @@ from lociflow.operators import markers as M
 from lociflow.operators import ordered as OD
 from lociflow.operators import report as RP
 from lociflow.operators import selecting as S
-from lociflow.plans.domain import ALN, BASES, DEPTH, MARKERS, READS, base_table, marker_table, placed, read_table
+from lociflow.operators import sweep as SW
+from lociflow.plans.domain import ALN, BASES, DEPTH, MARKERS, READS, base_table, marker_base_table, marker_table, placed, read_table, segment_table
 from lociflow.plans.registry import Registry
 from lociflow.session import table
 
@@ -65,7 +66,7 @@ _DEPTHS = f"with {BASES}, {DEPTH}, h as (select depth, count(*) as n from depth
 
 
 def _depth_hist(spark, sf_dir):
-    return B.depth(base_table(spark, sf_dir)).groupBy("depth").agg(F.count(F.lit(1)).alias("n"))
+    return SW.depth_counts(segment_table(spark, sf_dir)).withColumnRenamed("sites", "n")
 
 
 @R.query("win_w06_rebinned", f"{_DEPTHS} select cast(min(depth) as bigint) as depth, cast(sum(n) as bigint) as n from h group by (depth - (select min(depth) from h)) // 10")
@@ -185,9 +186,9 @@ def sorted_sizes(spark, sf_dir):
     return rows.groupBy("file_id", F.to_date("recorded_at").alias("day")).agg(F.sort_array(F.collect_list(F.abs(F.col("insert_size").cast("bigint")))).alias("sizes"))
 
 
-@R.query("srt_o09_depth_cap", f"with {MARKERS}, {BASES}, c as (select b.*, row_number() over (partition by b.chrom, b.pos order by read_id, cycle) as k from bases b where exists (select 1 from markers m where m.chrom = b.chrom and m.pos = b.pos)) select chrom, pos, count(*) as depth from c where k <= 3 group by 1, 2")
+@R.query("srt_o09_depth_cap", f"with {MARKERS}, {BASES}, c as (select b.*, row_number() over (partition by b.chrom, b.pos order by read_id, cycle) as k from bases b where exists (select 1 from markers m where m.chrom = b.chrom and m.pos = b.pos)) select chrom, pos, count(*) as depth from c where k <= 250 group by 1, 2")
 def depth_cap(spark, sf_dir):
-    return B.pileup(base_table(spark, sf_dir), marker_table(spark, sf_dir), cap=3).select("chrom", "pos", "depth")
+    return B.pileup(marker_base_table(spark, sf_dir), cap=250).select("chrom", "pos", "depth")
 
 
 @R.query("srt_o10_first_components", "select vec_id, list_transform(embedding[1:4], lambda x: round(x::double, 6)) as pc from embeddings")
