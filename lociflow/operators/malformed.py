@@ -157,7 +157,8 @@ def _parse(lines: pa.Array) -> pa.Array:
     return pa.StructArray.from_arrays(columns, names=PARSED.fieldNames())
 
 
-error_parse_udf = F.arrow_udf(_parse, PARSED)
+#: Not deterministic in name only: a filter on the reason then stays above it, so a line is parsed once.
+error_parse_udf = F.arrow_udf(_parse, PARSED).asNondeterministic()
 
 
 def _value_ok(cells: Column) -> Column:
