@@ -3,7 +3,8 @@
 Exact offset chunking in one scan:
 
 1. each task folds every Arrow batch to one *piece* per key (rows, sums, extremes
-   and the boundary values of the run), so rows never travel;
+   and the boundary values of the run), so rows never travel; the pieces are written
+   once and only they are read again;
 2. pieces are counted per (key, input partition); prefix sums over the partitions
    give each piece the exact number of its first row within the key;
 3. pieces are put in chunks of equal row counts by that number, every chunk is
@@ -25,6 +26,8 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lociflow.session import cut
+
 LEAST_CHUNK = 131_072
 CHUNKS = 4_096
 
@@ -122,31 +125,34 @@ def _merge(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     )
 
 
-def chunk_states(df: DataFrame, key: str, value: str | Column, rows: int | None = None) -> DataFrame:
+def folded(df: DataFrame, key: str, value: str | Column) -> DataFrame:
+    """The pieces of df: one row per key and Arrow batch, made in the scan."""
+    value = F.col(value) if isinstance(value, str) else value
+    return df.select(F.col(key).cast("bigint").alias("key"), value.cast("bigint").alias("value")).mapInArrow(_pieces, PIECE)
+
+
+def chunk_states(pieces: DataFrame) -> DataFrame:
     """One ordered state per (key, chunk): ``key, absent, chunk, n, ..., changes``;
     ``absent`` marks the null key.
 
-    ``rows`` is the number of rows of df (counted when not given); it only sets
-    the chunk size, which is at least ``LEAST_CHUNK`` rows and at most a
-    ``CHUNKS``-th of the table.  A piece lies in the chunk of its first row, so
+    ``pieces`` are those of ``folded``, written once: they are read for the number of rows,
+    for the offsets and for the chunks.  A chunk has at least ``LEAST_CHUNK`` rows and at
+    most a ``CHUNKS``-th of the table.  A piece lies in the chunk of its first row, so
     chunks are equal up to one Arrow batch.
     """
-    rows = df.count() if rows is None else rows
+    rows = pieces.agg(F.sum("n")).first()[0] or 0
     size = max(LEAST_CHUNK, -(-rows // CHUNKS))
-    value = F.col(value) if isinstance(value, str) else value
-    pieces = df.select(F.col(key).cast("bigint").alias("key"), value.cast("bigint").alias("value")).mapInArrow(_pieces, PIECE)
     inside = Window.partitionBy("key", "absent", "part").orderBy("batch")
-    whole = inside.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    numbered = pieces.withColumn("_before", F.sum("n").over(inside) - F.col("n")).withColumn("_rows", F.sum("n").over(whole))
+    numbered = pieces.withColumn("_before", F.sum("n").over(inside) - F.col("n"))
     across = Window.partitionBy("key", "absent").orderBy("part")
-    parts = numbered.filter("_before = 0").select("key", "absent", "part", "_rows")
+    parts = pieces.groupBy("key", "absent", "part").agg(F.sum("n").alias("_rows"))
     offsets = parts.withColumn("_offset", F.sum("_rows").over(across) - F.col("_rows")).drop("_rows").filter("_offset > 0")
     placed = numbered.join(offsets, ["key", "absent", "part"], "left")
     first_row = F.coalesce(F.col("_offset"), F.lit(0)) + F.col("_before")
     return _merge(placed.withColumn("chunk", (first_row / size).cast("bigint")), ["key", "absent", "chunk"], ["part", "batch"])
 
 
-def keyed_stats(df: DataFrame, key: str, value: str | Column, rows: int | None = None) -> DataFrame:
+def keyed_stats(df: DataFrame, key: str, value: str | Column) -> DataFrame:
     """``key, n, n_value, mean_value, lowest, highest, first_value, last_value, changes`` of every key.
 
     ``n`` counts all rows of the key, the others its non-null values.  Null is a
@@ -154,7 +160,11 @@ def keyed_stats(df: DataFrame, key: str, value: str | Column, rows: int | None =
     first, last and changes is that of the input partitions and their rows.
     Repeated rows count as often as they come; an empty table gives no row.
     """
-    merged = _merge(chunk_states(df, key, value, rows), ["key", "absent"], ["chunk"])
+    return _stats(cut(folded(df, key, value)))
+
+
+def _stats(pieces: DataFrame) -> DataFrame:
+    merged = _merge(chunk_states(pieces), ["key", "absent"], ["chunk"])
     return merged.select(
         F.when(~F.col("absent"), F.col("key")).alias("key"),
         "n",
@@ -170,6 +180,7 @@ def keyed_stats(df: DataFrame, key: str, value: str | Column, rows: int | None =
 
 def heavy_keys(df: DataFrame, key: str, value: str | Column, share: float = 0.05) -> DataFrame:
     """``key, n`` of the non-null keys that hold at least ``share`` of all rows of df."""
-    rows, least = df.count(), Fraction(str(share))
+    pieces, least = cut(folded(df, key, value)), Fraction(str(share))
+    rows = pieces.agg(F.sum("n")).first()[0] or 0
     enough = F.col("n") * least.denominator >= F.lit(rows * least.numerator)
-    return keyed_stats(df, key, value, rows).filter(F.col("key").isNotNull() & enough).select("key", "n")
+    return _stats(pieces).filter(F.col("key").isNotNull() & enough).select("key", "n")

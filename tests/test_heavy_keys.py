@@ -31,7 +31,7 @@ def test_ordered_states_meet_at_chunk_borders(spark, rows, monkeypatch):
         data = [(rng.choice([1, 1, 1, 1, 2, 3, None]), rng.choice([None, 0, 1, 2, 255])) for _ in range(400)]
         df = frame(spark, data)
         assert rows(H.keyed_stats(df, "k", "v")) == brute(data)
-        chunks = H.chunk_states(df, "k", "v").filter("key = 1").orderBy("chunk").collect()
+        chunks = H.chunk_states(H.folded(df, "k", "v")).filter("key = 1").orderBy("chunk").collect()
         assert len(chunks) > 20 and max(c.n for c in chunks) <= 7 + 5
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
