@@ -97,7 +97,6 @@ def test_signatures_estimate_weighted_jaccard(weights):
         m = 4096
         values = B.signatures(bag, element, weight, 2, m)
         assert abs((values[0] == values[1]).mean() - truth) < 5 * math.sqrt(0.25 / m)
-        assert abs(B.weighted_jaccard(bag, element, weight, 1)[0] - truth) < 1e-9
     assert np.isinf(B.signatures(bag, element, np.zeros(len(bag)), 3, 4)).all()
 
 
@@ -264,6 +263,11 @@ def test_weighted_links_against_brute_force(spark, monkeypatch):
         assert found.setdefault(c, (r.class_id, r.links)) == (r.class_id, r.links)
         assert r.links <= truth[c] and (r.links == 0) == (r.similarity is None)
     assert len({c for c, _ in found.values()}) == len(found)
+    for r in out[:200]:
+        if r.links:
+            a = next(iter(reads[r.read_id]))
+            b = next(c for c, (own, _) in found.items() if own == r.closest)
+            assert abs(r.similarity - sum((bags[a] & bags[b]).values()) / sum((bags[a] | bags[b]).values())) < 1e-6 and abs(r.estimate - r.similarity) < 0.5
     recall = sum(n for _, n in found.values()) / sum(truth.values())
     assert sum(truth.values()) > 100 and recall >= 0.9
     assert B.weighted_links(df.limit(0)).collect() == []
@@ -275,7 +279,7 @@ def test_crowded_buckets_lose_no_more(spark, monkeypatch):
     monkeypatch.setattr(B, "FREE", 0)
     links = lambda: {r.read_id: r.links for r in B.weighted_links(df).collect()}
     all_of = links()
-    monkeypatch.setattr(B, "CROWD", 1)  # every bucket is crowded: pairs must meet in two bands
+    monkeypatch.setattr(B, "CROWD", 1)  # every bucket is crowded
     assert sum(all_of.values()) > 40 and sum(links().values()) >= 0.9 * sum(all_of.values())
 
 
