@@ -170,7 +170,7 @@ def run_align(spark: SparkSession, o: argparse.Namespace) -> None:
         pair.write.mode("overwrite").parquet(f"{o.out_prefix}/pairs")
         pair = spark.read.parquet(f"{o.out_prefix}/pairs")
         out |= {"duplicates": pairs.duplicate_rate(pair), "insert_sizes": pairs.adjusted_insert(pair)}
-        out["summary"] = summary.summary(spark.read.parquet(f"{o.out_prefix}/reads"), depths, marks, region)
+        out["summary"] = summary.summary(spark.read.parquet(f"{o.out_prefix}/reads"), depths, marks, region, pair)
     for name, df in out.items():
         df.write.mode("overwrite").parquet(f"{o.out_prefix}/{name}")
     sinks.save(sinks.tabbed(out["pileup"]), f"{o.out_prefix}/pileup.txt")

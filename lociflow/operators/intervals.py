@@ -138,6 +138,25 @@ def nearest(points: DataFrame, marks: DataFrame, key: str, reach: int) -> DataFr
     return known.join(joined.select("chrom", "pos", within("left_pos"), within("right_pos")), ["chrom", "pos"])
 
 
+def chosen(reads: DataFrame, markers: DataFrame, key: str, reach: int) -> DataFrame:
+    """``key, name, overlap``: of the markers next to each read ``(key, chrom, pos, end)`` the one whose flank it overlaps more.
+
+    The left one on a tie; reads that overlap the flank of neither have no row.  Of markers at
+    one position the widest flank counts and the first name.
+    """
+    known = markers.groupBy("chrom", "pos").agg(F.max("flank").alias("_flank"), F.min("name").alias("_name"))
+    near = nearest(reads, known, key, reach).join(reads.select(key, "end"), key)
+    side = lambda c: known.select(
+        "chrom", F.col("pos").alias(f"{c}_pos"), (F.col("pos") - F.col("_flank")).alias(f"_{c}_low"), (F.col("pos") + F.col("_flank")).alias(f"_{c}_high"), F.col("_name").alias(f"_{c}_name")
+    )
+    both = near.join(side("left"), ["chrom", "left_pos"], "left").join(side("right"), ["chrom", "right_pos"], "left")
+    overlap = lambda c: F.coalesce(F.least("end", f"_{c}_high") - F.greatest("pos", f"_{c}_low") + 1, F.lit(0))
+    own = F.when(F.col("_left_name").isNull(), 0).otherwise(overlap("left")), F.when(F.col("_right_name").isNull(), 0).otherwise(overlap("right"))
+    both = both.withColumns({"_l": own[0], "_r": own[1]})
+    best = F.when(F.col("_l") >= F.col("_r"), F.col("_left_name")).otherwise(F.col("_right_name"))
+    return both.select(key, best.alias("name"), F.greatest("_l", "_r").alias("overlap")).filter("overlap > 0")
+
+
 def neighbour_distance(marks: DataFrame) -> DataFrame:
     """Distances to the marks before and after on the chromosome; null at its ends."""
     line = Window.partitionBy("chrom").orderBy("pos")

@@ -22,11 +22,24 @@ CODE = np.full(256, 4, np.uint8)
 CODE[np.frombuffer(b"ACGT", np.uint8)] = np.arange(4)
 
 
-def rolling(df: DataFrame, key: str, seq: str, size: int = SIZE) -> DataFrame:
-    """``key, at, kmer``: every run of ``size`` characters, at from 1; shorter texts have none."""
-    own = df.filter(F.length(seq) >= size).select(F.col(key), F.col(seq).alias("_s"))
-    places = own.select(key, "_s", F.explode(F.sequence(F.lit(1), F.length("_s") - size + 1)).alias("at"))
-    return places.select(key, "at", F.substr("_s", F.col("at"), F.lit(size)).alias("kmer"))
+def rolling(df: DataFrame, keys: list[str], seq: str, size: int = SIZE) -> DataFrame:
+    """``keys, at, kmer``: every run of ``size`` characters, at from 1; shorter texts have none."""
+    own = df.filter(F.length(seq) >= size).select(*keys, F.col(seq).alias("_s"))
+    places = own.select(*keys, "_s", F.explode(F.sequence(F.lit(1), F.length("_s") - size + 1)).alias("at"))
+    return places.select(*keys, "at", F.substr("_s", F.col("at"), F.lit(size)).alias("kmer"))
+
+
+def both_alleles(df: DataFrame, key: str, seq: str, ref: str, alt: str) -> DataFrame:
+    """``key, allele, reverse, seq``: the sequences around markers with either allele in the middle, on both strands.
+
+    The middle is the base behind the first half (rounded down); the allele is complemented with its strand.
+    """
+    half = F.floor(F.length(seq) / 2).cast("int")
+    of = lambda c: F.concat(F.substr(F.upper(seq), F.lit(1), half), F.upper(c), F.substr(F.upper(seq), half + 2, F.length(seq)))
+    alleles = F.array(*[F.struct(F.lit(n).alias("allele"), of(c).alias("_a")) for n, c in (("ref", ref), ("alt", alt))])
+    one = df.select(key, F.inline(alleles))
+    strands = F.array(F.struct(F.lit(False).alias("reverse"), F.col("_a").alias("seq")), F.struct(F.lit(True).alias("reverse"), sequence.reverse_complement("_a").alias("seq")))
+    return one.select(key, "allele", F.inline(strands))
 
 
 def packed(bases: Column) -> Column:

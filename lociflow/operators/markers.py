@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lociflow.functions import keys
+from lociflow.operators import intervals
 
 LEAST_AF = 0.01
 
@@ -66,21 +68,35 @@ def greedy_spaced(markers: DataFrame) -> DataFrame:
     return ordered.mapInArrow(run, ordered.schema)
 
 
+def targeted(markers: DataFrame, target: DataFrame) -> DataFrame:
+    """Markers with ``in_target``: do they lie in some target region?"""
+    hit = intervals.in_regions(markers.select("name", "chrom", "pos"), target).select("name").distinct().withColumn("_t", F.lit(True))
+    return markers.join(hit, "name", "left").withColumn("in_target", F.coalesce("_t", F.lit(False))).drop("_t")
+
+
 def with_quota(markers: DataFrame, n_long: int, n_short: int, n_sex: int) -> DataFrame:
     """First come, first served in order of (chrom, pos): autosomes fill the long quota, then the short one; X and Y their own.
 
+    With a column ``in_target`` the markers in target regions come before all others.
     Every group is cut to its quota by a distributed top-n before it is numbered.
     """
-    auto = markers.filter(F.col("chrom").isin(keys.AUTOSOMES)).orderBy("chrom", "pos", "name").limit(n_long + n_short)
-    number = F.row_number().over(Window.orderBy("chrom", "pos", "name"))  # within the quota
+    first = [F.desc("in_target")] if "in_target" in markers.columns else []
+    auto = markers.filter(F.col("chrom").isin(keys.AUTOSOMES)).orderBy(*first, "chrom", "pos", "name").limit(n_long + n_short)
+    number = F.row_number().over(Window.orderBy(*first, "chrom", "pos", "name"))  # within the quota
     auto = auto.withColumn("class", F.when(number <= n_long, "long").otherwise("short"))
     out = auto
     for c in ("X", "Y"):
-        own = markers.filter(F.col("chrom") == c).orderBy("pos", "name").limit(n_sex)
+        own = markers.filter(F.col("chrom") == c).orderBy(*first, "pos", "name").limit(n_sex)
         out = out.unionByName(own.withColumn("class", F.lit(c.lower())))
     return out
 
 
+def callable_mask(masks: DataFrame, mask: str, least: float = 0.995) -> DataFrame:
+    """Windows with ``callable`` (letters P of their mask) and ``ok``: are they ``least`` of its length?"""
+    n = F.length(mask) - F.length(F.translate(mask, "P", ""))
+    return masks.withColumn("callable", n).withColumn("ok", F.col("callable") >= F.lit(least) * F.length(mask))
+
+
 def class_counts(markers: DataFrame) -> DataFrame:
     kind = F.when(F.col("chrom").isin("X", "Y"), F.lower("chrom")).otherwise(F.col("class"))
     return markers.groupBy(kind.alias("class")).agg(F.count(F.lit(1)).alias("markers"))
@@ -95,20 +111,24 @@ def effective_size(markers: DataFrame, read_length: int) -> DataFrame:
 def gc_window(df: DataFrame, key: str, seq: str, before: int = 50, after: int = 49) -> DataFrame:
     """``key, at, gc``: percent of G and C in the window around every position of each sequence.
 
-    From prefix sums over the sequence's own array: no row of a base is ever shuffled.
+    From prefix sums over the bases of a batch: no row of a base is ever shuffled.
     """
-    upper = F.upper(F.col(seq))
-    own = df.filter(F.length(seq) > 0).select(
-        F.col(key),
-        F.length(seq).alias("_n"),
-        F.transform(F.sequence(F.lit(1), F.length(seq)), lambda i: F.substr(upper, i, F.lit(1)).isin("G", "C").cast("int")).alias("_gc"),
-    )
-    zero = F.expr("cast(array(0) as array<int>)")
-    summed = own.withColumn("_sums", F.aggregate("_gc", zero, lambda acc, x: F.array_append(acc, F.element_at(acc, -1) + x)))
-    each = summed.select(key, "_n", "_sums", F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("at"))
-    low, high = F.greatest(F.lit(1), F.col("at") - before), F.least(F.col("_n"), F.col("at") + after)
-    gc = F.element_at("_sums", high + 1) - F.element_at("_sums", low)
-    return each.select(key, "at", F.floor(100 * gc / (high - low + 1)).cast("int").alias("gc"))
+
+    def run(seqs: pa.Array) -> pa.Array:
+        texts = seqs.cast(pa.large_binary())
+        ends = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, 8 * texts.offset)
+        raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+        starts = ends - ends[0]
+        upto = np.r_[0, np.cumsum((raw == ord("G")) | (raw == ord("C")))]
+        row = np.repeat(np.arange(len(texts)), np.diff(starts))
+        at = np.arange(len(raw))
+        low, high = np.maximum(starts[:-1][row], at - before), np.minimum(starts[1:][row], at + after + 1)
+        gc = (100 * (upto[high] - upto[low]) // (high - low)).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(gc))
+
+    plain = F.regexp_replace(F.upper(F.col(seq)), "[^A-Z]", "N")  # one byte a base
+    own = df.filter(F.length(seq) > 0).select(F.col(key), F.arrow_udf(run, "array<int>")(plain).alias("_gc"))
+    return own.select(key, F.posexplode("_gc").alias("at", "gc")).withColumn("at", F.col("at") + 1)
 
 
 def allele_counts(genotypes: DataFrame, key: str, gt: Column) -> DataFrame:

@@ -139,35 +139,36 @@ def censored(pairs: DataFrame, excluded: str) -> DataFrame:
     return rows.groupBy("k").agg(F.count_if("_seen").alias("seen"), F.count_if(~F.col("_seen")).alias("cut"))
 
 
-def adjusted(counts: DataFrame) -> DataFrame:
-    """``k, density`` of 0 .. BINS - 1: sizes corrected for censoring by one ordered fold.
+def adjusted(counts: DataFrame, bins: int = BINS) -> DataFrame:
+    """``k, density, upto_seen, upto_cut`` of 0 .. bins - 1: sizes corrected for censoring by one ordered fold.
 
     f = n / (1 - G) / N and g = m / (1 - F) / N, F and G their running sums.
     """
     spark = counts.sparkSession
-    every = spark.range(BINS).select(F.col("id").cast("int").alias("k")).join(counts, "k", "left").fillna(0, ["seen", "cut"])
-    bins = every.agg(
+    every = spark.range(bins).select(F.col("id").cast("int").alias("k")).join(counts, "k", "left").fillna(0, ["seen", "cut"])
+    rows = every.agg(
         F.sum(F.col("seen") + F.col("cut")).alias("n"),
         F.array_sort(F.collect_list(F.struct("k", "seen", "cut"))).alias("bins"),
     )
-    zero = F.expr("named_struct('f', 0D, 'g', 0D, 'out', cast(array() as array<double>))")
+    zero = F.expr("named_struct('f', 0D, 'g', 0D, 'out', cast(array() as array<struct<density:double,upto_seen:double,upto_cut:double>>))")
     n = F.greatest(F.col("n").cast("double"), F.lit(1.0))
 
     def step(acc: Column, b: Column) -> Column:
         f = (b["seen"] + START) / (1 - acc["g"]) / n
         total = acc["f"] + f
         g = (b["cut"] + START) / (1 - total) / n
-        return F.struct(total.alias("f"), (acc["g"] + g).alias("g"), F.array_append(acc["out"], f).alias("out"))
+        item = F.struct(f.alias("density"), total.alias("upto_seen"), (acc["g"] + g).alias("upto_cut"))
+        return F.struct(total.alias("f"), (acc["g"] + g).alias("g"), F.array_append(acc["out"], item).alias("out"))
 
-    folded = bins.select(F.aggregate("bins", zero, step, lambda acc: acc["out"]).alias("density"))
-    return folded.select(F.posexplode("density").alias("k", "density"))
+    folded = rows.select(F.aggregate("bins", zero, step, lambda acc: acc["out"]).alias("_o"))
+    return folded.select(F.posexplode("_o").alias("k", "_v")).select("k", "_v.*")
 
 
 def adjusted_insert(pairs: DataFrame) -> DataFrame:
     """The sum of the two corrected densities, each without the single sides of one direction."""
     pairs = cut(pairs.select("status", "max1", "max2", "obs", "fwd_whole", "rev_whole"))  # read twice, and a short plan
-    a = adjusted(censored(pairs, "FwdOnly")).withColumnRenamed("density", "_a")
-    b = adjusted(censored(pairs, "RevOnly")).withColumnRenamed("density", "_b")
+    a = adjusted(censored(pairs, "FwdOnly")).select("k", F.col("density").alias("_a"))
+    b = adjusted(censored(pairs, "RevOnly")).select("k", F.col("density").alias("_b"))
     return a.join(b, "k").select("k", F.round(F.col("_a") + F.col("_b"), 9).alias("density"))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,6 +43,18 @@ def turning_points(df: DataFrame, key: str, value: str, rise: float = 0.2, stop:
     return own.filter(F.col("_n") < stop).select(*df.columns)
 
 
+def zoomed(df: DataFrame, key: str, value: str) -> DataFrame:
+    """Rows with ``zoomed``: are they within the turning points around the mode?"""
+    inner = turning_points(df, key, value).select(key, F.lit(True).alias("_in"))
+    return df.join(inner, key, "left").withColumn("zoomed", F.coalesce("_in", F.lit(False))).drop("_in")
+
+
+def stacked(tables: dict[str, DataFrame], columns: list[str]) -> DataFrame:
+    """Tables of the same columns below each other, each with its ``category``."""
+    parts = [df.select(F.lit(name).alias("category"), *columns) for name, df in tables.items()]
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
 def until_empty(df: DataFrame, key: str, value: str, most: int) -> DataFrame:
     """Rows before the first with a zero value, at most ``most`` of them."""
     line = Window.orderBy(key).rowsBetween(Window.unboundedPreceding, 0)

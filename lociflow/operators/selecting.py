@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lociflow.functions import keys, numeric, sequence
@@ -50,12 +53,17 @@ def many_unknown(reads: DataFrame, seq: str, share: float = LEAST_FRACTION, most
     return reads.withColumn("unknown", n).withColumn("rejected", (n > most) if most is not None else (n >= share * F.length(seq)))
 
 
-def kept_variants(df: DataFrame, genotypes: Column, status: Column, least_alt: int, least_minor: int) -> DataFrame:
-    """Variants that pass: filter PASS, no missing genotype, enough alternative and enough rarer alleles."""
-    total = 2 * F.size(genotypes)
-    alt = F.aggregate(genotypes, F.lit(0), lambda acc, g: acc + F.greatest(g, F.lit(0)))
-    whole = ~F.exists(genotypes, lambda g: g < 0)
-    return df.filter((status == "PASS") & whole & (alt >= least_alt) & (F.least(alt, total - alt) >= least_minor))
+def kept_variants(df: DataFrame, least_alt: int, least_minor: int) -> DataFrame:
+    """Variants ``filter, alt, gt`` (genotypes as text) that no rule discards.
+
+    Kept are those with filter PASS, one alternative, every genotype known and phased, and enough
+    alternative and rarer alleles.
+    """
+    alleles = F.flatten(F.transform("gt", lambda g: F.split(g, r"[|/]")))
+    total, alt = F.size(alleles), F.size(F.filter(alleles, lambda a: a != "0"))
+    known, phased = ~F.exists("gt", lambda g: g.contains(".")), ~F.exists("gt", lambda g: g.contains("/"))
+    rules = (F.col("filter") == "PASS") & ~F.col("alt").contains(",") & known & phased
+    return df.filter(rules & (alt >= least_alt) & (F.least(alt, total - alt) >= least_minor))
 
 
 def listed(df: DataFrame, ids: DataFrame, key: str, keep: bool = True) -> DataFrame:
@@ -78,6 +86,67 @@ def problems(records: DataFrame) -> DataFrame:
     return records.withColumn("problems", F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(True)), n) for n, c in checks.items()])))
 
 
+def line_problems(records: DataFrame) -> DataFrame:
+    """Records ``name, flag, cigar, seq, qual, md`` with ``problems``: the checks of their texts that they fail, in order."""
+    cigar = F.col("cigar")
+    wrong = F.exists(cigar, lambda c: (c["len"] < 1) | ~c["op"].isin(*"MIDNSHP=X"))
+    inner = F.slice(cigar, F.lit(2), F.greatest(F.size(cigar) - 2, F.lit(0)))
+    checks = {
+        "name": F.col("name").isNull() | ~F.col("name").rlike(r"\A[!-?A-~]{1,254}\z"),
+        "cigar_missing": ~numeric.flag("flag", numeric.UNMAPPED) & (cigar.isNull() | (F.size(cigar) < 1)),
+        "cigar_operation": cigar.isNotNull() & wrong,
+        "cigar_hard_clip": (F.size(cigar) > 2) & F.exists(inner, lambda c: c["op"] == "H"),
+        "cigar_length": cigar.isNotNull() & F.col("seq").isNotNull() & (sequence.read_length("cigar") != F.length("seq")),
+        "qual": F.col("qual").isNotNull() & ((F.length("qual") != F.coalesce(F.length("seq"), F.lit(0))) | ~F.col("qual").rlike(r"\A[!-~]*\z")),
+        "tag_md": F.col("md").isNotNull() & ~F.col("md").rlike(r"\A[0-9]+(([A-Z]|\^[A-Z]+)[0-9]+)*\z"),
+    }
+    return records.withColumn("problems", F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), n) for n, c in checks.items()])))
+
+
+def clipped_ends(alignments: DataFrame, most: float) -> DataFrame:
+    """``read_id, clip_begin, clip_end``: read bases to clip so that no run of bases from an end has a mismatch rate above ``most``.
+
+    Both ends are worked inwards until they meet, the end with fewer bases since its last cut first; a run
+    that exceeds the rate at a mismatch is cut there and a new one begins.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            heads, tails = clips(*batch.columns[1:])
+            columns = [batch.column(0), pa.array(heads, pa.int32()), pa.array(tails, pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, names=["read_id", "clip_begin", "clip_end"])
+
+    def clips(lengths: pa.Array, places: pa.Array, wrong: pa.Array) -> tuple[list[int], list[int]]:
+        heads, tails = [], []
+        for n, own, bad in zip(lengths.to_pylist(), places.to_pylist(), wrong.to_pylist()):
+            bad = set(bad or [])
+            cut, seen, missed, at = [-1, n], [0, 0], [0, 0], [0, len(own or []) - 1]
+            open_ends = [True, True]
+            while any(open_ends):
+                side = 0 if open_ends[0] and (not open_ends[1] or seen[0] <= seen[1]) else 1
+                i = at[side]
+                place = own[i] if own and 0 <= i < len(own) else None
+                if place is None or (place >= cut[1] if side == 0 else place <= cut[0]):
+                    open_ends[side] = False
+                    continue
+                at[side] += 1 - 2 * side
+                seen[side] += 1
+                missed[side] += place in bad
+                if place in bad and missed[side] > most * seen[side]:
+                    cut[side], seen[side], missed[side] = place, 0, 0
+            heads.append(cut[0] + 1)
+            tails.append(n - cut[1])
+        return heads, tails
+
+    blocks = F.filter(sequence.blocks("cigar"), lambda b: b["op"].isin("M", "=", "X") & (b["len"] > 0))
+    places = F.flatten(F.transform(blocks, lambda b: F.sequence(b["read_off"], b["read_off"] + b["len"] - 1)))
+    known = F.map_keys(sequence.md_mismatches("md"))
+    to_read = lambda m: F.filter(F.transform(blocks, lambda b: F.when((m >= b["ref_off"]) & (m < b["ref_off"] + b["len"]), b["read_off"] + m - b["ref_off"])), lambda x: x.isNotNull())
+    wrong = F.flatten(F.transform(known, to_read))
+    rows = alignments.select("read_id", F.length("seq").alias("_n"), places.alias("_places"), wrong.alias("_wrong"))
+    return rows.mapInArrow(run, f"read_id {alignments.schema['read_id'].dataType.simpleString()}, clip_begin int, clip_end int")
+
+
 def out_of_order(records: DataFrame, by: str, order: str) -> DataFrame:
     """Records with ``sorted``: does (reference, position) not fall behind the record before?"""
     place = F.struct(F.when(F.col("reference_id") < 0, 1 << 30).otherwise(F.col("reference_id")).alias("r"), F.col("pos").alias("p"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lociflow.functions import numeric
+from lociflow.operators import pairs as PR
 
 
 def contig_counters(alignments: DataFrame, markers: DataFrame, chroms: list[str]) -> DataFrame:
@@ -33,6 +34,17 @@ def file_totals(reads: DataFrame) -> DataFrame:
     return rolled.select("file_id", "reads", "bases", F.expr("bases div reads").alias("read_length"), "is_total")
 
 
+def placing_totals(reads: DataFrame) -> DataFrame:
+    """``file, reads, placed, doubtful, unplaced`` of each file and of all; doubtful are placed below quality 20."""
+    rolled = reads.rollup("file_id").agg(
+        F.count(F.lit(1)).alias("reads"),
+        F.count_if("placed").alias("placed"),
+        F.count_if(F.col("placed") & (F.col("mapq") < 20)).alias("doubtful"),
+        F.count_if(~F.col("placed")).alias("unplaced"),
+    )
+    return rolled.select(F.coalesce(F.col("file_id").cast("string"), F.lit("Total")).alias("file"), "reads", "placed", "doubtful", "unplaced")
+
+
 def depth_moments(depths: DataFrame) -> DataFrame:
     """Mean and population deviation of the depth over covered sites."""
     return depths.agg(
@@ -62,13 +74,17 @@ def flag_counters(records: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
-def summary(reads: DataFrame, depths: DataFrame, markers: DataFrame, report_size: int) -> DataFrame:
+def summary(reads: DataFrame, depths: DataFrame, markers: DataFrame, report_size: int, pairs: DataFrame) -> DataFrame:
     """One row of the metrics of a run; every part is a one-row aggregate."""
+    facing = pairs.filter("status in ('PropPair', 'PartialPair') and obs between 1 and 4095")
+    sizes = facing.groupBy(F.col("obs").alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    median = lambda least: PR.truncated_median(sizes, "k", "n", least).select(F.col("median").alias(f"median_{least}"))
+    of_pairs = PR.duplicate_rate(pairs).select(F.col("rate").alias("duplicate_rate")).join(F.broadcast(median(300))).join(F.broadcast(median(500)))
     totals = reads.agg(F.count(F.lit(1)).alias("total_reads"), F.sum(F.length("seq").cast("bigint")).alias("total_bases"))
     at = lambda k: F.count_if(F.col("depth") >= k).alias(f"_d{k}")
     mapped = depths.agg(F.sum("depth").alias("bases_mapped"), F.sum("q20").alias("_q20"), F.sum("q30").alias("_q30"), *[at(k) for k in (1, 2, 5, 10)])
     region = markers.agg(F.sum((2 * F.col("flank") + 1).cast("bigint")).alias("region_size"))
-    row = totals.withColumn("read_length", F.expr("total_bases div total_reads")).join(F.broadcast(mapped)).join(F.broadcast(region))
+    row = totals.withColumn("read_length", F.expr("total_bases div total_reads")).join(F.broadcast(mapped)).join(F.broadcast(region)).join(F.broadcast(of_pairs))
     ratio = lambda a, b, n: F.round(F.col(a) / F.col(b), 6).alias(n)
     mapping = F.col("bases_mapped") / F.col("read_length") * float(report_size) / F.col("region_size") / F.col("total_reads")
     return row.select(
@@ -85,17 +101,8 @@ def summary(reads: DataFrame, depths: DataFrame, markers: DataFrame, report_size
         ratio("_q30", "bases_mapped", "q30_bases"),
         ratio("_q20", "_d1", "q20_depth"),
         ratio("_q30", "_d1", "q30_depth"),
+        "duplicate_rate",
+        "median_300",
+        "median_500",
     )
 
-
-def decayed(bins: DataFrame, key: str, value: str, factor: float) -> DataFrame:
-    """An ordered fold over bounded bins: ``total = total * factor + value``."""
-    rows = bins.agg(F.array_sort(F.collect_list(F.struct(key, value))).alias("_b"))
-    zero = F.expr("named_struct('sum', 0D, 'out', cast(array() as array<double>))")
-
-    def step(acc, b):  # noqa: ANN001, ANN202
-        total = acc["sum"] * factor + b[value]
-        return F.struct(total.alias("sum"), F.array_append(acc["out"], total).alias("out"))
-
-    folded = rows.select(F.aggregate("_b", zero, step, lambda acc: acc["out"]).alias("_o"))
-    return folded.select(F.posexplode("_o").alias(key, "_v")).select(key, F.round("_v", 6).alias("decayed"))

@@ -16,7 +16,8 @@ from lociflow.plans.domain import (
     ALN, BASES, DEPTH, MARKERS, PAIRS, READS, base_table, marker_base_table, marker_table, pair_table, placed, read_table, segment_table,
 )
 from lociflow.plans.registry import Registry
-from lociflow.session import table
+from lociflow.session import cut, table
+from lociflow.sources import sinks as K
 
 R = Registry()
 QUERIES, SQL = R.queries, R.sql
@@ -118,14 +119,14 @@ def duplicate_rate(spark, sf_dir):
     return PR.duplicate_rate(pair_table(spark, sf_dir))
 
 
-@R.query(
-    "agg_a10_sex_contigs",
-    f"""with {MARKERS}, {ALN}, r as (select m.name as contig, a.file_id, a.read_id, a.pos <= m.pos + m.flank and a.pos + length(a.seq) > m.pos - m.flank as over_,
+_SEX_CONTIGS = f"""with {MARKERS}, {ALN}, r as (select m.name as contig, a.file_id, a.read_id, a.pos <= m.pos + m.flank and a.pos + length(a.seq) > m.pos - m.flank as over_,
       a.pos >= m.pos - m.flank and a.pos + length(a.seq) - 1 <= m.pos + m.flank as inside, a.flag & 2 <> 0 or a.flag & 8 = 0 as mated
       from aln a join markers m on m.name = a.contig where m.chrom in ('X', 'Y') and a.pos > 0 and a.seq is not null)
     select contig, count(*) filter (over_) as overlapping, count(*) filter (inside) as included, count(*) filter (over_ and mated) as pair_overlapping,
-      count(*) filter (inside and mated) as pair_included from r group by contig""",
-)
+      count(*) filter (inside and mated) as pair_included from r group by contig"""
+
+
+@R.query("agg_a10_sex_contigs", _SEX_CONTIGS)
 def sex_contigs(spark, sf_dir):
     return S.contig_counters(placed(spark, sf_dir), marker_table(spark, sf_dir), ["X", "Y"])
 
@@ -182,14 +183,14 @@ gl as (select chrom, pos, count(*) as depth,
 pl as (select chrom, pos, depth, cast(floor(round(-10 * g0, 6) + 0.5) as bigint) as pl0, cast(floor(round(-10 * g1, 6) + 0.5) as bigint) as pl1, cast(floor(round(-10 * g2, 6) + 0.5) as bigint) as pl2 from gl)"""
 
 
-def _marks(spark, sf_dir):
+def site_table(spark, sf_dir):
     """One marker per site, the first by name."""
     marks = marker_table(spark, sf_dir).groupBy("chrom", "pos").agg(F.min_by(F.struct("ref", "alt"), "name").alias("m"))
     return marks.select("chrom", "pos", "m.ref", "m.alt")
 
 
 def _scores(spark, sf_dir):
-    return G.likelihoods(marker_base_table(spark, sf_dir).filter("qual is not null"), _marks(spark, sf_dir))
+    return G.likelihoods(marker_base_table(spark, sf_dir).filter("qual is not null"), site_table(spark, sf_dir))
 
 
 @R.query("agg_a15_genotype_likelihoods", f"{_PL} select * from pl")
@@ -211,7 +212,7 @@ def genotype_calls(spark, sf_dir):
 
 
 def calls_table(spark, sf_dir):
-    af = _marks(spark, sf_dir).withColumn("af", ((F.col("pos") % 97) + 1) / 100.0)
+    af = site_table(spark, sf_dir).withColumn("af", ((F.col("pos") % 97) + 1) / 100.0)
     return G.calls(_scores(spark, sf_dir), af)
 
 
@@ -314,18 +315,21 @@ def effective_size(spark, sf_dir):
     return M.effective_size(marker_table(spark, sf_dir), 101)
 
 
-@R.query(
-    "agg_a28_summary",
-    f"""with {MARKERS}, {READS}, {BASES}, {DEPTH},
+_MEDIAN = lambda least: f"""(select coalesce(min(k), 0) from (select k, sum(n) over (order by k) as run, sum(n) over () as total from ih where k >= {least}) where run > total // 2)"""
+_SUMMARY = f"""with {PAIRS}, {READS}, {BASES.replace(ALN + ", ", "")}, {DEPTH},
     t as (select count(*) as reads, sum(length(seq)) as bases, sum(length(seq)) // count(*) as len from reads), m as (select count(*) as covered, sum(depth) as mapped, sum(q20) as q20, sum(q30) as q30,
-      count(*) filter (depth >= 2) as d2, count(*) filter (depth >= 5) as d5, count(*) filter (depth >= 10) as d10 from depth), g as (select sum(2 * flank + 1) as region from markers)
+      count(*) filter (depth >= 2) as d2, count(*) filter (depth >= 5) as d5, count(*) filter (depth >= 10) as d10 from depth), g as (select sum(2 * flank + 1) as region from markers),
+    du as (select count(*) as n, count(distinct (contig, beg, "end")) as d from pairs where status = 'PropPair'), ih as (select obs as k, count(*) as n from pairs where status in ('PropPair', 'PartialPair') and obs between 1 and 4095 group by obs)
     select cast(t.reads as bigint) as total_reads, cast(t.bases as bigint) as total_bases, cast(t.len as bigint) as read_length, cast(m.mapped as bigint) as bases_mapped, cast(g.region as bigint) as region_size,
       round(m.mapped / t.len * {SIZE}::double / g.region / t.reads, 6) as mapping, round(t.bases / {SIZE}::double, 9) as expected_depth, round(m.mapped / g.region, 6) as estimated_depth,
       round(m.covered / g.region, 6) as depth_1, round(m.d2 / g.region, 6) as depth_2, round(m.d5 / g.region, 6) as depth_5, round(m.d10 / g.region, 6) as depth_10,
-      round(m.q20 / m.mapped, 6) as q20_bases, round(m.q30 / m.mapped, 6) as q30_bases, round(m.q20 / m.covered, 6) as q20_depth, round(m.q30 / m.covered, 6) as q30_depth from t, m, g""",
-)
+      round(m.q20 / m.mapped, 6) as q20_bases, round(m.q30 / m.mapped, 6) as q30_bases, round(m.q20 / m.covered, 6) as q20_depth, round(m.q30 / m.covered, 6) as q30_depth,
+      round((du.n - du.d) / nullif(du.n, 0), 6) as duplicate_rate, cast({_MEDIAN(300)} as bigint) as median_300, cast({_MEDIAN(500)} as bigint) as median_500 from t, m, g, du"""
+
+
+@R.query("agg_a28_summary", _SUMMARY)
 def summary(spark, sf_dir):
-    return S.summary(read_table(spark, sf_dir), B.depth(base_table(spark, sf_dir)), marker_table(spark, sf_dir), SIZE)
+    return S.summary(read_table(spark, sf_dir), B.depth(base_table(spark, sf_dir)), marker_table(spark, sf_dir), SIZE, pair_table(spark, sf_dir))
 
 
 _PLS = "[cast(floor((1 + embedding[1]) * 200) as int), cast(floor((1 + embedding[2]) * 200) as int), cast(floor((1 + embedding[3]) * 200) as int)]"
@@ -376,22 +380,19 @@ def _fold_sql(name, excluded):
   union all select k, f, ff + f, gg + (cut + 1e-6) / (1 - (ff + f)) / n from (select c.k, (c.seen + 1e-6) / (1 - r.gg) / n as f, r.ff, r.gg, c.cut, n from {name}_r r join {name}_c c on c.k = r.k + 1, {name}_n))"""
 
 
-@R.query(
-    "num_m01_adjusted_insert",
-    f"with recursive {PAIRS}, {_fold_sql('fa', 'FwdOnly')}, {_fold_sql('fb', 'RevOnly')} select cast(a.k as int) as k, round(a.f + b.f, 9) as density from fa_r a join fb_r b using (k)",
-)
+SQL_ADJUSTED = f"with recursive {PAIRS}, {_fold_sql('fa', 'FwdOnly')}, {_fold_sql('fb', 'RevOnly')} select cast(a.k as int) as k, round(a.f + b.f, 9) as density from fa_r a join fb_r b using (k)"
+
+
+@R.query("num_m01_adjusted_insert", SQL_ADJUSTED)
 def adjusted_insert(spark, sf_dir):
     return PR.adjusted_insert(pair_table(spark, sf_dir))
 
 
-@R.query(
-    "agg_a25_ordered_fold",
-    "with recursive c as (select k, count(*) as n from (select cast(floor(value / 10) as int) as k from events) group by k), t as (select unnest(range(60)) as k), d as (select t.k, coalesce(n, 0) as n from t left join c using (k)), "
-    "r as (select 0 as k, n::double as acc from d where k = 0 union all select d.k, r.acc * 0.9 + d.n from r join d on d.k = r.k + 1) select cast(k as int) as k, round(acc, 6) as decayed from r",
-)
-def ordered_fold(spark, sf_dir):
-    counts = table(spark, sf_dir, "events").groupBy(F.floor(F.col("value") / 10).cast("int").alias("k")).agg(F.count(F.lit(1)).alias("n"))
-    return S.decayed(B.filled(counts, "k", 60, ["n"]), "k", "n", 0.9)
+@R.query("agg_a25_censored_density", f"with recursive {PAIRS}, {_fold_sql('fa', 'FwdOnly')} select cast(k as int) as k, round(f, 9) as density, round(ff, 9) as upto_seen, round(gg, 9) as upto_cut from fa_r")
+def censored_density(spark, sf_dir):
+    """Sizes corrected for censoring, without the pairs of which only the forward side is placed, and both running sums."""
+    counts = PR.censored(cut(pair_table(spark, sf_dir).select("status", "max1", "max2", "obs", "fwd_whole", "rev_whole")), "FwdOnly")
+    return PR.adjusted(counts).select("k", *[F.round(c, 9).alias(c) for c in ("density", "upto_seen", "upto_cut")])
 
 
 @R.query("agg_u05_distinct_fragments", f'{_PR} select distinct contig, beg, "end" from pairs where status = \'PropPair\'')
@@ -417,13 +418,17 @@ def flushed_by_coordinate(spark, sf_dir):
     return sites.repartitionByRange("chrom", "pos").sortWithinPartitions("chrom", "pos")
 
 
-@R.query(
-    "rep_r06_summary_rows",
-    f"""with {READS}, t as (select count(*) as reads, sum(length(seq)) as bases, sum(length(seq)) // count(*) as len from reads)
-    select 'total_reads' as metric, cast(reads as double) as value from t union all select 'total_bases', cast(bases as double) from t union all select 'read_length', cast(len as double) from t""",
-)
+_METRICS = """total_reads total_bases read_length bases_mapped region_size mapping expected_depth estimated_depth depth_1 depth_2 depth_5 depth_10
+    q20_bases q30_bases q20_depth q30_depth duplicate_rate median_300 median_500""".split()
+
+
+@R.query("rep_r06_summary_rows", f"select unnest([{', '.join(repr(m) for m in _METRICS)}]) as metric, unnest([{', '.join(f'{m}::double' for m in _METRICS)}]) as value from ({_SUMMARY})")
 def summary_rows(spark, sf_dir):
-    """Metrics of the summary by their names, one a row."""
-    row = S.summary(read_table(spark, sf_dir), B.depth(base_table(spark, sf_dir)), marker_table(spark, sf_dir), SIZE)
-    names = ["total_reads", "total_bases", "read_length"]
-    return row.select(*[F.col(c).cast("double").alias(c) for c in names]).unpivot([], names, "metric", "value")
+    """Every metric of the summary by its name, one a row."""
+    row = summary(spark, sf_dir)
+    return row.select(*[F.col(c).cast("double").alias(c) for c in _METRICS]).unpivot([], _METRICS, "metric", "value")
+
+
+@R.query("snk_k18_summary_lines", f"select metric || chr(9) || printf('%.6f', value) as value from (select unnest([{', '.join(repr(m) for m in _METRICS)}]) as metric, unnest([{', '.join(f'{m}::double' for m in _METRICS)}]) as value from ({_SUMMARY}))")
+def summary_lines(spark, sf_dir):
+    return K.tabbed(summary_rows(spark, sf_dir).withColumn("value", F.format_string("%.6f", "value")))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lociflow.functions import keys, sequence
+from lociflow.operators import bases as B
+from lociflow.operators import batches as BT
 from lociflow.operators import intervals
 from lociflow.operators import kmers as K
 from lociflow.operators import markers as M
@@ -18,6 +20,7 @@ from lociflow.sources import text as TX
 
 R = Registry()
 QUERIES, SQL = R.queries, R.sql
+_REFL = "list_sum(list_transform(cigar, lambda c: case when c.op in ('M', 'D', 'N', '=', 'X') then c.len else 0 end))"
 _LIST = ", ".join(f"'{c}'" for c in keys.CHROMOSOMES)
 
 
@@ -87,10 +90,11 @@ def greedy_markers(spark, sf_dir):
     return M.greedy_spaced(marker_table(spark, sf_dir)).select("name", "chrom", "pos")
 
 
-@R.query("flt_p07_callable_letters", f"with {READS} select read_id, length(seq) - length(replace(upper(seq), 'N', '')) as masked, length(seq) - length(replace(upper(seq), 'N', '')) <= 0.005 * length(seq) as ok from reads where seq is not null")
+@R.query("flt_p07_callable_letters", f"with {READS}, m as (select read_id, translate(upper(seq), 'ACGT.', 'PPPPN') as mask from reads where length(seq) > 0) select read_id, length(mask) - length(replace(mask, 'P', '')) as callable, length(mask) - length(replace(mask, 'P', '')) >= 0.995 * length(mask) as ok from m")
 def callable_letters(spark, sf_dir):
-    masked = sequence.count_of("seq", "N")
-    return read_table(spark, sf_dir).filter("seq is not null").select("read_id", masked.cast("bigint").alias("masked"), (masked <= F.lit(0.005).cast("double") * F.length("seq")).alias("ok"))
+    """The letters P of a mask, here of known bases, over its length."""
+    masks = read_table(spark, sf_dir).filter("length(seq) > 0").select("read_id", F.translate(F.upper("seq"), "ACGT.", "PPPPN").alias("mask"))
+    return M.callable_mask(masks, "mask").select("read_id", F.col("callable").cast("bigint").alias("callable"), "ok")
 
 
 _MASKS = ", ".join(f"substr(kmer, {1 + 8 * a}, 8) || substr(kmer, {1 + 8 * b}, 8)" for a, b in K.MASKS)
@@ -123,6 +127,24 @@ def shared_kmers(spark, sf_dir):
     return K.hits(read_table(spark, sf_dir), "read_id", "seq", panel).withColumnRenamed("_id", "read_id")
 
 
+_BARCODE = 8
+_CUT_READS = READS.replace("reads as", "whole as", 1) + f""", reads as (select read_id, file_id, mate, read_idx, name, substr(seq, {_BARCODE + 1}) as seq, substr(qual, {_BARCODE + 1}) as qual, list_aggregate([case when ascii(substr(qual, i::int, 1)) - 33 < 13 then lower(substr(seq, i::int, 1)) else substr(seq, i::int, 1) end for i in range(1, least({_BARCODE}, length(seq)) + 1)], 'string_agg', '') as barcode
+  from whole where seq is not null and qual is not null and length(seq) = length(qual))"""
+_BATCH = f"""with recursive {_KEYS.replace(READS, _CUT_READS)}, th as (select read_id, cast(coalesce(sum(n), 0) as bigint) as hits from reads left join hit using (read_id) group by 1),
+{{trim}}, cuts as (select read_id, min_by(cut, l) as kept from t group by read_id),
+batch as (select r.*, hits, hits < 3 as filtered, case when hits < 3 then length(seq) else kept end as kept
+  from reads r join th using (read_id) join cuts using (read_id))"""
+
+
+def _batch(spark, sf_dir):
+    return BT.read_batch(read_table(spark, sf_dir), _panel(spark, sf_dir), 3, 15, _BARCODE)
+
+
+def _batch_sql() -> str:
+    body = _TRIM[_TRIM.index("q as (") : _TRIM.rindex("select read_id, cast(min_by")].rstrip()
+    return _BATCH.format(trim=body)
+
+
 @R.query("flt_p10_downsample")
 def downsample(spark, sf_dir):
     return S.downsampled(read_table(spark, sf_dir), "name", 0.25, 7).select("read_id", "file_id", "mate", "read_idx")
@@ -151,6 +173,17 @@ def quality_trim(spark, sf_dir):
     return read_table(spark, sf_dir).filter("qual is not null").select("read_id", sequence.trimmed_length("qual").alias("kept"))
 
 
+@R.query("src_s02_filtered_batches", _batch_sql() + " select read_id, hits, filtered, cast(kept as int) as kept, barcode, substr(seq, 1, cast(kept as int)) as seq from batch")
+def filtered_batches(spark, sf_dir):
+    """Barcode, filter and trimming of every read in one plan; nothing is sampled out."""
+    return _batch(spark, sf_dir).select("read_id", "hits", "filtered", F.length("seq").alias("kept"), "barcode", "seq")
+
+
+@R.query("src_s03_paired_batches", _batch_sql() + " select file_id, read_idx, count(*) as mates, count(*) filter (not filtered) = 2 as both, cast(sum(kept) as bigint) as bases from batch group by 1, 2 having count(*) filter (not filtered) > 0")
+def paired_batches(spark, sf_dir):
+    return BT.read_pairs(_batch(spark, sf_dir))
+
+
 @R.query(
     "flt_p12_barcode",
     f"with {READS} select read_id, list_aggregate([case when ascii(substr(qual, i::int, 1)) - 33 < 13 then lower(substr(seq, i::int, 1)) else substr(seq, i::int, 1) end for i in range(1, least(8, length(seq)) + 1)], 'string_agg', '') as barcode from reads where seq is not null and length(qual) = length(seq)",
@@ -172,7 +205,6 @@ def confident_pairs(spark, sf_dir):
     return pairs.filter("status in ('PropPair', 'PartialPair', 'NotPair')").select("file_id", "read_idx")
 
 
-_REFL = "list_sum(list_transform(cigar, lambda c: case when c.op in ('M', 'D', 'N', '=', 'X') then c.len else 0 end))"
 
 
 @R.query("flt_p15_bridging", f"with {MARKERS}, {ALN} select a.read_id, a.pos < m.pos - m.flank or a.pos + {_REFL} - 1 > m.pos + m.flank as bridging from aln a join markers m on m.name = a.contig")
@@ -185,9 +217,12 @@ def flag_masks(spark, sf_dir):
     return S.flagged(table(spark, sf_dir, "sam_records"), 3, 1540).select("rec_id", "flag").distinct()
 
 
-@R.query("flt_p17_pileup_reads", f"with {ALN} select read_id, least(mapq, 40) as mapq from aln where flag & 1796 = 0 and pos > 0 and mapq >= 13")
+@R.query("flt_p17_pileup_reads", f"with {MARKERS}, {ALN} select read_id, least(mapq, 40) as mapq from aln where flag & 1796 = 0 and pos > 0 and mapq >= 13 and exists (select 1 from markers m where m.chrom = {norm('aln.chrom')} and aln.pos <= m.pos and aln.pos + {_REFL} - 1 >= m.pos)")
 def pileup_reads(spark, sf_dir):
-    return S.pileup_reads(placed(spark, sf_dir)).select("read_id", "mapq")
+    """Reads for a pileup that overlap a marker."""
+    reads = S.pileup_reads(placed(spark, sf_dir)).select("read_id", "mapq", keys.chrom("chrom").alias("chrom"), F.col("pos").alias("beg"), (F.col("pos") + sequence.reference_length("cigar") - 1).alias("end"))
+    points = marker_table(spark, sf_dir).select("chrom", F.col("pos").alias("beg"), F.col("pos").alias("end")).distinct()
+    return intervals.overlapping(reads, points).select("read_id", "mapq")
 
 
 @R.query("flt_p18_base_quality", f"with {BASES} select read_id, count(*) as bases from bases where qual >= 2 group by read_id")
@@ -204,18 +239,34 @@ def bases_in_flanks(spark, sf_dir):
     return intervals.in_regions(base_table(spark, sf_dir), regions).groupBy("read_id").agg(F.count(F.lit(1)).alias("bases"))
 
 
-@R.query("flt_p20_mismatches", f"with {BASES} select read_id, count(*) as bases, count(*) filter (coalesce(base <> ref_base and base <> 'N', false)) as mismatches, cast(coalesce(sum(qual) filter (base <> ref_base and base <> 'N' and qual >= 0), 0) as bigint) as quality_sum from bases where qual is not null group by read_id")
+_KNOWN = "not exists (select 1 from markers m where m.chrom = b.chrom and m.pos = b.pos)"
+
+
+@R.query(
+    "flt_p20_mismatches",
+    f"with {MARKERS}, {BASES}, j as (select b.*, coalesce(base <> 'N' and ref_base <> 'N' and base <> ref_base and {_KNOWN}, false) as mismatch from bases b where qual is not null) select read_id, count(*) as bases, count(*) filter (mismatch) as mismatches, cast(coalesce(sum(qual) filter (mismatch and qual >= 0), 0) as bigint) as quality_sum from j group by read_id",
+)
 def mismatches(spark, sf_dir):
-    return S.mismatch_share(base_table(spark, sf_dir).filter("qual is not null"))
+    """Mismatches of each read away from known sites."""
+    return S.mismatch_share(B.mismatches(base_table(spark, sf_dir).filter("qual is not null"), marker_table(spark, sf_dir)))
 
 
-_RULES = f"with g as (select vec_id, label, {_GT} as g from embeddings) select vec_id from g where label <> 3 and not list_contains(g, -1) and list_sum(g) >= 40 and least(list_sum(g), 2 * len(g) - list_sum(g)) >= 45"
+_RULES = f"""with g as (select vec_id, label, {_GT} as g from embeddings), v as (select vec_id, g, case when label = 3 then 'LOW' else 'PASS' end as filter, case when vec_id % 11 = 0 then 'C,T' else 'C' end as alt, vec_id % 7 <> 0 as phased from g)
+select vec_id from v where filter = 'PASS' and phased and not contains(alt, ',') and not list_contains(g, -1) and list_sum(g) >= 40 and least(list_sum(g), 2 * len(g) - list_sum(g)) >= 45"""
+
+
+def variant_rows(spark, sf_dir):
+    """Variants with a filter, alternatives and genotype text: every seventh has a genotype that is not phased, every eleventh two alternatives."""
+    bar = F.when(F.col("vec_id") % 7 == 0, "/").otherwise("|")
+    text = F.transform(genotype_array(), lambda g: F.when(g < 0, ".").when(g == 0, F.concat(F.lit("0"), bar, F.lit("0"))).when(g == 1, F.concat(F.lit("0"), bar, F.lit("1"))).otherwise(F.concat(F.lit("1"), bar, F.lit("1"))))
+    status = F.when(F.col("label") == 3, "LOW").otherwise("PASS")
+    alt = F.when(F.col("vec_id") % 11 == 0, "C,T").otherwise("C")
+    return table(spark, sf_dir, "embeddings").select("vec_id", status.alias("filter"), alt.alias("alt"), text.alias("gt"))
 
 
 @R.query("flt_p21_discard_rules", _RULES)
 def discard_rules(spark, sf_dir):
-    status = F.when(F.col("label") == 3, "LOW").otherwise("PASS")
-    return S.kept_variants(table(spark, sf_dir, "embeddings"), genotype_array(), status, 40, 45).select("vec_id")
+    return S.kept_variants(variant_rows(spark, sf_dir), 40, 45).select("vec_id")
 
 
 @R.query("flt_p22_id_lists", "select distinct rec_id from sam_records where reference_id in (select reference_id from contigs where chrom = '10') and file_id not in (select file_id from fastq_list where path2 is null)")
@@ -250,9 +301,20 @@ def unknown_bases(spark, sf_dir):
     return S.many_unknown(read_table(spark, sf_dir).filter("seq is not null"), "seq").select("read_id", F.col("unknown").cast("bigint").alias("unknown"), "rejected")
 
 
-@R.query("flt_p29_clip_mismatches", f"with {BASES} select read_id, count(*) filter (base <> ref_base and base <> 'N') as mismatches from bases where qual is not null group by read_id having count(*) filter (base <> ref_base and base <> 'N') > 0.05 * count(*)")
+_MISQ = f"with {BASES}, j as (select b.*, base <> ref_base and base <> 'N' as mismatch from bases b where qual is not null)"
+
+
+@R.query("flt_p29_quality_sum", f"{_MISQ} select read_id, cast(sum(qual) filter (mismatch) as bigint) as quality_sum from j group by read_id having sum(qual) filter (mismatch) > 60")
+def quality_sum(spark, sf_dir):
+    """Reads whose summed quality under mismatches is too great."""
+    return S.mismatch_share(base_table(spark, sf_dir).filter("qual is not null"), -99).filter("quality_sum > 60").select("read_id", "quality_sum")
+
+
+@R.query("flt_p29_clip_mismatches")
 def clip_mismatches(spark, sf_dir):
-    return S.mismatch_share(base_table(spark, sf_dir).filter("qual is not null")).filter(F.col("mismatches") > F.lit(0.05) * F.col("bases")).select("read_id", "mismatches")
+    """Bases that are clipped from both ends of reads with too many mismatches there."""
+    clips = S.clipped_ends(placed(spark, sf_dir).filter("cigar is not null and seq is not null"), 0.25)
+    return clips.filter("clip_begin + clip_end > 0").select("read_id", "clip_begin", "clip_end")
 
 
 _CHECKS = """list_filter([case when flag is null or flag not between 0 and 4095 then 'flag' end, case when (flag & 64 <> 0) = (flag & 128 <> 0) then 'both_ends' end,
@@ -264,3 +326,19 @@ _CHECKS = """list_filter([case when flag is null or flag not between 0 and 4095
 @R.query("flt_p30_record_problems", f"with p as (select rec_id, loaded_at, {_CHECKS} as problems from sam_records) select rec_id, problems from p where len(problems) > 0")
 def record_problems(spark, sf_dir):
     return S.problems(table(spark, sf_dir, "sam_records")).filter(F.size("problems") > 0).select("rec_id", "problems")
+
+
+_LINE_CHECKS = r"""list_filter([case when name is null or not regexp_full_match(name, '[!-?A-~]{1,254}') then 'name' end,
+  case when flag & 4 = 0 and (cigar is null or len(cigar) = 0) then 'cigar_missing' end,
+  case when len(list_filter(cigar, lambda c: c.len < 1 or c.op not in ('M', 'I', 'D', 'N', 'S', 'H', 'P', '=', 'X'))) > 0 then 'cigar_operation' end,
+  case when len(list_filter(cigar, lambda c, i: c.op = 'H' and i > 1 and i < len(cigar))) > 0 then 'cigar_hard_clip' end,
+  case when seq is not null and coalesce(list_sum(list_transform(cigar, lambda c: case when c.op in ('M', 'I', 'S', '=', 'X') then c.len else 0 end)), length(seq)) <> length(seq) then 'cigar_length' end,
+  case when qual is not null and (length(qual) <> coalesce(length(seq), 0) or not regexp_full_match(qual, '[!-~]*')) then 'qual' end,
+  case when md is not null and not regexp_full_match(md, '[0-9]+(([A-Z]|\^[A-Z]+)[0-9]+)*') then 'tag_md' end], lambda x: x is not null)"""
+
+
+@R.query("flt_p30_line_problems", f"with {ALN}, {READS}, a as (select aln.*, split_part(r.name, ' ', 1) as name from aln left join reads r using (read_id)), p as (select read_id, {_LINE_CHECKS.replace(chr(92) * 2, chr(92))} as problems from a) select read_id, problems from p where len(problems) > 0")
+def line_problems(spark, sf_dir):
+    """Checks of the variable-length fields of a record: name, edit script, qualities and tags."""
+    names = read_table(spark, sf_dir).select("read_id", F.substring_index("name", " ", 1).alias("name"))
+    return S.line_problems(placed(spark, sf_dir).join(names, "read_id", "left")).filter(F.size("problems") > 0).select("read_id", "problems")

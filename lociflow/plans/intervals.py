@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lociflow.functions import keys
+from lociflow.functions import keys, sequence
 from lociflow.operators import intervals as I
 from lociflow.operators import bases as B
 from lociflow.operators import pairs as PR
@@ -15,6 +15,7 @@ from lociflow.plans.domain import (
 )
 from lociflow.plans.registry import Registry
 from lociflow.session import table
+from lociflow.sources import text as TX
 
 R = Registry()
 QUERIES, SQL = R.queries, R.sql
@@ -134,15 +135,30 @@ def overlap_half_open(spark, sf_dir):
     return I.overlapping(reads, markers, half_open=True)
 
 
+_NEAR = f"""with {MARKERS}, {ALN}, mk as (select chrom, pos, max(flank) as flank, min(name) as name from markers group by 1, 2),
+    p as (select read_id, {norm('chrom')} as chrom, pos, cast(pos + coalesce(list_sum(list_transform(cigar, lambda c: case when c.op in ('M', 'D', 'N', '=', 'X') then c.len else 0 end)), 1) - 1 as int) as stop from aln where pos is not null and chrom is not null),
+    l as (select p.read_id, max(m.pos) as left_pos from p join mk m on m.chrom = p.chrom and m.pos <= p.pos and m.pos >= p.pos - 1500 group by 1),
+    r as (select p.read_id, min(m.pos) as right_pos from p join mk m on m.chrom = p.chrom and m.pos > p.pos and m.pos <= p.pos + 1500 group by 1),
+    o as (select p.*, l.left_pos, r.right_pos, case when a.pos is not null then least(p.stop, a.pos + a.flank) - greatest(p.pos, a.pos - a.flank) + 1 end as left_overlap, case when b.pos is not null then least(p.stop, b.pos + b.flank) - greatest(p.pos, b.pos - b.flank) + 1 end as right_overlap, a.name as left_name, b.name as right_name
+      from p left join l using (read_id) left join r using (read_id) left join mk a on a.chrom = p.chrom and a.pos = l.left_pos left join mk b on b.chrom = p.chrom and b.pos = r.right_pos)"""
+
+
+@R.query("join_j04_nearest_markers", f"{_NEAR} select read_id, chrom, pos, left_pos, right_pos from o")
+def nearest_markers(spark, sf_dir):
+    return I.nearest(_points(spark, sf_dir), marker_table(spark, sf_dir), "read_id", 1500)
+
+
 @R.query(
-    "join_j04_nearest_markers",
-    f"""with {MARKERS}, {ALN}, p as (select read_id, {norm('chrom')} as chrom, pos from aln where pos is not null and chrom is not null),
-    l as (select p.read_id, max(m.pos) as left_pos from p join markers m on m.chrom = p.chrom and m.pos <= p.pos and m.pos >= p.pos - 1000 group by 1),
-    r as (select p.read_id, min(m.pos) as right_pos from p join markers m on m.chrom = p.chrom and m.pos > p.pos and m.pos <= p.pos + 1000 group by 1)
-    select p.read_id, p.chrom, p.pos, l.left_pos, r.right_pos from p left join l using (read_id) left join r using (read_id)""",
+    "join_j04_chosen_marker",
+    f"""{_NEAR} select read_id, case when coalesce(left_overlap, 0) >= coalesce(right_overlap, 0) then left_name else right_name end as name, cast(greatest(coalesce(left_overlap, 0), coalesce(right_overlap, 0)) as int) as overlap
+    from o where greatest(coalesce(left_overlap, 0), coalesce(right_overlap, 0)) > 0""",
 )
-def nearest_markers(spark, sf_dir):
-    return I.nearest(_points(spark, sf_dir), marker_table(spark, sf_dir), "read_id", 1000)
+def chosen_marker(spark, sf_dir):
+    """Of the markers left and right of a read the one whose flank it overlaps more; reads that overlap neither are rejected."""
+    reads = placed(spark, sf_dir).filter("pos is not null and chrom is not null")
+    length = F.coalesce(sequence.reference_length("cigar"), F.lit(1))
+    reads = reads.select("read_id", keys.chrom("chrom").alias("chrom"), "pos", (F.col("pos") + length - 1).alias("end"))
+    return I.chosen(reads, marker_table(spark, sf_dir), "read_id", 1500).select("read_id", "name", "overlap")
 
 
 @R.query(
@@ -224,13 +240,14 @@ def panel_at_selected(spark, sf_dir):
 
 
 @R.query(
-    "join_j14_files_with_totals",
-    "select f.file_id, f.path2 is not null as paired, coalesce(n.reads, 0) as reads from fastq_list f left join (select file_id, count(distinct read_id) as reads from fastq_reads group by 1) n using (file_id)",
+    "join_j14_sample_populations",
+    "select 'v' || e.vec_id as sample, round(e.embedding[1]::double, 6) as pc1, p.population from embeddings e left join (select vec_id, 'pop' || label as population from embeddings where label <> 3) p using (vec_id)",
 )
-def files_with_totals(spark, sf_dir):
-    counts = read_table(spark, sf_dir).groupBy("file_id").agg(F.count(F.lit(1)).alias("reads"))
-    files = table(spark, sf_dir, "fastq_list").select("file_id", F.col("path2").isNotNull().alias("paired"))
-    return files.join(counts, "file_id", "left").fillna(0, ["reads"])
+def sample_populations(spark, sf_dir):
+    """Samples with the population of a list of labels; samples that are not listed have none."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.concat(F.lit("v"), F.col("vec_id").cast("string")).alias("sample"), F.round(F.element_at("embedding", 1).cast("double"), 6).alias("pc1"))
+    lines = e.filter("label <> 3").select(F.concat("sample", F.lit(" pop"), F.col("label").cast("string")).alias("value"))
+    return e.join(TX.populations(lines), "sample", "left").select("sample", "pc1", "population")
 
 
 @R.query(

@@ -8,14 +8,18 @@ from lociflow.functions import keys, sequence
 from lociflow.operators import bases as B
 from lociflow.operators import kmers
 from lociflow.operators import lookup as L
+from lociflow.operators import markers as M
+from lociflow.operators import pairs as PR
 from lociflow.operators import selecting as S
+from lociflow.operators import summary as SU
 from lociflow.operators import sweep as SW
-from lociflow.plans.aggregates import _CALL, _GT, SIZE, calls_table, genotype_array
+from lociflow.plans.aggregates import _CALL, _GT, _SEX_CONTIGS, SIZE, SQL_ADJUSTED, calls_table, genotype_array, site_table
 from lociflow.plans.domain import (
-    ALN, BASES, DEPTH, MARKERS, PAIRS, READS, base_table, marker_base_table, marker_table, norm, pair_table, placed, read_table, segment_table,
+    ALN, BASES, DEPTH, MARKERS, MISMATCHES, PAIRS, READS, base_table, marker_base_table, marker_table, norm, pair_table, placed, read_table, segment_table,
 )
 from lociflow.plans.registry import Registry
 from lociflow.session import table
+from lociflow.sources import binary as BN
 from lociflow.sources import reads as RD
 from lociflow.sources import sinks as K
 from lociflow.sources import text as TX
@@ -41,26 +45,6 @@ def fastq(spark, sf_dir):
     return rows.groupBy("name", "seq", "qual").agg(F.count(F.lit(1)).alias("n"))
 
 
-@R.query(
-    "src_s02_filtered_batches",
-    f"with {READS} select file_id, count(*) as reads, count(*) filter (length(seq) >= 35 and length(seq) - length(replace(upper(seq), 'N', '')) < 0.25 * length(seq)) as usable, cast(sum(length(seq)) as bigint) as bases from reads where {_WHOLE} group by file_id",
-)
-def filtered_batches(spark, sf_dir):
-    rows = read_table(spark, sf_dir).filter(_WHOLE)
-    usable = (F.length("seq") >= 35) & (sequence.count_of("seq", "N") < F.lit(0.25) * F.length("seq"))
-    return rows.groupBy("file_id").agg(F.count(F.lit(1)).alias("reads"), F.count_if(usable).alias("usable"), F.sum(F.length("seq").cast("bigint")).alias("bases"))
-
-
-@R.query(
-    "src_s03_paired_batches",
-    f"with {READS} select a.file_id, count(*) as pairs, cast(sum(length(a.seq) + length(b.seq)) as bigint) as bases from reads a join reads b on a.file_id = b.file_id and a.read_idx = b.read_idx and a.mate = 1 and b.mate = 2 where a.seq is not null and b.seq is not null group by a.file_id",
-)
-def paired_batches(spark, sf_dir):
-    reads = read_table(spark, sf_dir).filter("seq is not null")
-    side = lambda n: reads.filter(F.col("mate") == n).select("file_id", "read_idx", F.length("seq").cast("bigint").alias(f"n{n}"))
-    return side(1).join(side(2), ["file_id", "read_idx"]).groupBy("file_id").agg(F.count(F.lit(1)).alias("pairs"), F.sum(F.col("n1") + F.col("n2")).alias("bases"))
-
-
 @R.query("src_s04_fastq_list", "select path1, path2 from fastq_list")
 def fastq_list(spark, sf_dir):
     files = table(spark, sf_dir, "fastq_list")
@@ -202,12 +186,6 @@ def insert_table(spark, sf_dir):
     return TX.insert_table(K.tabbed(pair_table(spark, sf_dir), ["file_id", "read_idx", "status", "max1", "max2", "obs"]))
 
 
-@R.query("src_s24_gc_vectors", f"with {ALN}, g as (select read_id, unnest(range(1, length(seq) + 1)) as i, upper(seq) as s from aln where length(seq) > 0) select read_id, count(*) filter (substr(s, i::int, 1) in ('G', 'C')) as gc, count(*) as n from g group by read_id")
-def gc_vectors(spark, sf_dir):
-    own = placed(spark, sf_dir).filter("length(seq) > 0")
-    return own.select("read_id", sequence.count_of("seq", "GC").cast("bigint").alias("gc"), F.length("seq").cast("bigint").alias("n"))
-
-
 @R.query("src_s25_panel_keys", f"""with {ALN}, panel as (select distinct upper(seq) as p from aln where mapq >= 55 and mapq < 255 and seq is not null), both_ as (select p from panel union select translate(reverse(p), 'ACGT', 'TGCA') from panel),
 pk as (select distinct kmer from (select substr(p, i::int, 32) as kmer from (select p, unnest(range(1, length(p) - 30)) as i from both_ where length(p) >= 32)) where regexp_full_match(kmer, '[ACGT]+')),
 h as (select distinct unnest(range(6)) as mask, unnest([substr(kmer, 1, 16), substr(kmer, 17, 16), substr(kmer, 1, 8) || substr(kmer, 25, 8), substr(kmer, 9, 16), substr(kmer, 1, 8) || substr(kmer, 17, 8), substr(kmer, 9, 8) || substr(kmer, 25, 8)]) as key from pk) select cast(mask as tinyint) as mask, count(*) as keys from h group by 1""")
@@ -252,10 +230,49 @@ def fasta(spark, sf_dir):
     return K.fasta(read_table(spark, sf_dir).filter("seq is not null").withColumn("id", F.col("read_id").cast("string")), "id", "seq")
 
 
-@R.query("snk_k07_sam_text", f"with {ALN} select read_id || chr(9) || flag || chr(9) || coalesce(chrom, '*') || chr(9) || coalesce(pos, 0) || chr(9) || coalesce(mapq, 0) as value from aln")
+_SAM = f"""with {ALN}, {MISMATCHES}, x as (select read_id, count(*) as n from mm group by 1),
+t as (select a.*, coalesce(x.n, 0) as xm, coalesce(list_sum(list_transform(list_filter(cigar, lambda c: c.op in ('I', 'D')), lambda c: c.len)), 0) as xg, len(list_filter(cigar, lambda c: c.op in ('I', 'D'))) as xo
+  from aln a left join x using (read_id)),
+sam as (select read_id, concat_ws(chr(9), read_id, flag, coalesce(chrom, '*'), coalesce(pos, 0), coalesce(mapq, 0), case when len(cigar) > 0 then list_aggregate(list_transform(cigar, lambda c: c.len || c.op), 'string_agg', '') else coalesce(length(seq) || 'M', '*') end,
+  '*', 0, 0, coalesce(seq, '*'), coalesce(qual, '*'), 'RG:Z:' || file_id, case when cigar is not null then concat_ws(chr(9), 'XT:A:' || case when c1 = 1 then 'U' else 'R' end, 'NM:i:' || cast(xm + xg as bigint), 'SM:i:' || coalesce(mapq, 0), 'X0:i:' || c1, 'X1:i:' || c2,
+  'XM:i:' || xm, 'XO:i:' || xo, 'XG:i:' || cast(xg as bigint)) end, 'MD:Z:' || md) as value from t)"""
+
+
+def _sam_lines(spark, sf_dir):
+    own = placed(spark, sf_dir).withColumns({"name": F.col("read_id").cast("string"), "read_group": F.col("file_id").cast("string")})
+    return K.sam_lines(own, sequence.render_cigar("cigar", "seq"), K.placement_tags())
+
+
+@R.query("snk_k07_sam_records", f"{_SAM} select value from sam")
 def sam_text(spark, sf_dir):
-    own = placed(spark, sf_dir).withColumn("name", F.col("read_id").cast("string"))
-    return K.sam_lines(own, sequence.render_cigar("cigar", "seq")).select(F.substring_index("value", "\t", 5).alias("value"))
+    """Whole SAM lines with the tags of a placement."""
+    return _sam_lines(spark, sf_dir)
+
+
+@R.query("snk_k08_sam_file", f"{_SAM} select value from sam union all select '@HD' || chr(9) || 'VN:1.6' || chr(9) || 'SO:unsorted' union all select '@RG' || chr(9) || 'ID:' || file_id || chr(9) || 'SM:sample' from (select distinct file_id from aln)")
+def sam_file(spark, sf_dir):
+    """A SAM file with its header, written as text and read back line by line."""
+    groups = placed(spark, sf_dir).select("file_id").distinct().select(F.concat(F.lit("@RG\tID:"), F.col("file_id").cast("string"), F.lit("\tSM:sample")).alias("value"))
+    head = spark.createDataFrame([("@HD\tVN:1.6\tSO:unsorted",)], "value string").unionByName(groups)
+    at = place(spark, "sam")
+    K.save(head.unionByName(_sam_lines(spark, sf_dir)), at)
+    return spark.read.text(at)
+
+
+@R.query(
+    "snk_k07_bam_records",
+    f"""with {ALN} select read_id, coalesce(flag, 0) as flag, chrom, coalesce(pos, 0) as pos, coalesce(mapq, 0) as mapq, upper(seq) as seq, case when length(qual) = length(seq) and length(seq) > 0 then qual end as qual, len(cigar) as ops, 'Z:' || file_id as rg, 'Z:' || md as md from aln""",
+)
+def bam_records(spark, sf_dir):
+    """BAM files of all placed and unplaced reads, written a file per partition and read back."""
+    own = placed(spark, sf_dir).withColumns({"name": F.col("read_id").cast("string"), "mate_chrom": F.lit(None).cast("string"), "mate_pos": F.lit(0), "insert_size": F.lit(0)})
+    tags = F.map_filter(F.create_map(F.lit("RG"), F.concat(F.lit("Z:"), F.col("file_id").cast("string")), F.lit("MD"), F.concat(F.lit("Z:"), F.col("md"))), lambda _, v: v.isNotNull())
+    names = sorted(r[0] for r in own.select("chrom").distinct().collect() if r[0] is not None)  # the chromosomes of the header
+    at = place(spark, "bam")
+    BN.write_bam(own.withColumn("tags", tags), at, [(n, 300_000_000) for n in names])
+    back = BN.read_bam(spark, at + "/*.bam")
+    ops = F.when(F.col("cigar").isNotNull(), F.size("cigar").cast("bigint"))
+    return back.select(F.col("name").cast("bigint").alias("read_id"), "flag", "chrom", "pos", "mapq", "seq", "qual", ops.alias("ops"), F.try_element_at("tags", F.lit("RG")).alias("rg"), F.try_element_at("tags", F.lit("MD")).alias("md"))
 
 
 @R.query("snk_k09_insert_table", f"with {PAIRS} select file_id || chr(9) || read_idx || chr(9) || status || chr(9) || max1 || chr(9) || max2 || chr(9) || obs as value from pairs")
@@ -268,23 +285,41 @@ def depth_lines(spark, sf_dir):
     return K.tabbed(B.depth_histogram(SW.depth_counts(segment_table(spark, sf_dir)), SIZE), ["depth", "sites"])
 
 
-@R.query("snk_k15_sex_contigs", f"with {MARKERS}, {ALN} select m.name || chr(9) || count(*) as value from aln a join markers m on m.name = a.contig where m.chrom in ('X', 'Y') group by m.name")
+@R.query("snk_k15_sex_contigs", f"select contig || chr(9) || overlapping || chr(9) || included || chr(9) || pair_overlapping || chr(9) || pair_included as value from ({_SEX_CONTIGS})")
 def sex_contig_lines(spark, sf_dir):
-    own = marker_table(spark, sf_dir).filter("chrom in ('X', 'Y')").select(F.col("name").alias("contig"))
-    return K.tabbed(placed(spark, sf_dir).join(own, "contig").groupBy("contig").agg(F.count(F.lit(1)).alias("n")))
+    counts = SU.contig_counters(placed(spark, sf_dir), marker_table(spark, sf_dir), ["X", "Y"]).orderBy("contig")
+    return K.tabbed(counts, ["contig", "overlapping", "included", "pair_overlapping", "pair_included"])
 
 
-@R.query("snk_k17_call_lines", f"select chrom || chr(9) || pos || chr(9) || gt || ':' || pl0 || ',' || pl1 || ',' || pl2 || ':' || gp0 || ',' || gp1 || ',' || gp2 as value from ({_CALL})")
+@R.query(
+    "snk_k17_call_lines",
+    f"""select concat_ws(chr(9), c.chrom, c.pos, '.', m.ref, m.alt, '.', 'PASS', 'AF=' || cast(((c.pos % 97) + 1) / 100.0::double as varchar) || ';AC=' || depth, 'GT:PL:GP',
+      gt || ':' || pl0 || ',' || pl1 || ',' || pl2 || ':' || gp0 || ',' || gp1 || ',' || gp2) as value from ({_CALL}) c join (select chrom, pos, ref, alt from (with {MARKERS} select distinct on (chrom, pos) chrom, pos, ref, alt from markers order by chrom, pos, name)) m using (chrom, pos)""",
+)
 def call_lines(spark, sf_dir):
-    calls = calls_table(spark, sf_dir).withColumns({"ref": F.lit("A"), "alt": F.lit("C"), "af": F.lit(0.5)})
-    cell = F.split("value", "\t")
-    return K.vcf_calls(calls).select(F.concat_ws("\t", cell.getItem(0), cell.getItem(1), cell.getItem(9)).alias("value"))
+    calls = calls_table(spark, sf_dir).join(site_table(spark, sf_dir), ["chrom", "pos"])
+    return K.vcf_calls(calls.withColumn("af", ((F.col("pos") % 97) + 1) / F.lit(100.0)))
 
 
-@R.query("snk_k18_file_lines", f"with {READS} select coalesce(cast(file_id as varchar), 'Total') || chr(9) || count(*) as value from reads group by grouping sets ((file_id), ())")
+@R.query(
+    "snk_k18_file_lines",
+    f"""with {READS} select concat_ws(chr(9), coalesce(cast(file_id as varchar), 'Total'), count(*), cast(sum(length(seq)) as bigint), cast(sum(length(seq)) // count(*) as bigint)) as value from reads group by grouping sets ((file_id), ())""",
+)
 def file_lines(spark, sf_dir):
-    totals = read_table(spark, sf_dir).rollup("file_id").agg(F.count(F.lit(1)).alias("n"))
-    return K.tabbed(totals.select(F.coalesce(F.col("file_id").cast("string"), F.lit("Total")).alias("file"), "n"))
+    """Reads, bases and read length of each file, and the row of all."""
+    totals = SU.file_totals(read_table(spark, sf_dir))
+    return K.tabbed(totals.select(F.coalesce(F.col("file_id").cast("string"), F.lit("Total")).alias("file"), "reads", "bases", "read_length"))
+
+
+@R.query(
+    "snk_k18_sequence_lines",
+    f"""with {READS}, {ALN}, a as (select r.file_id, a.read_id, a.pos > 0 and a.cigar is not null as placed, coalesce(a.mapq, 0) as mapq from reads r join aln a using (read_id))
+    select concat_ws(chr(9), coalesce(cast(file_id as varchar), 'Total'), count(*), count(*) filter (placed), count(*) filter (placed and mapq < 20), count(*) filter (not coalesce(placed, false))) as value from a group by grouping sets ((file_id), ())""",
+)
+def sequence_lines(spark, sf_dir):
+    """Reads of each file by what became of them, and the row of all."""
+    own = placed(spark, sf_dir).select("read_id", (F.coalesce(F.col("pos") > 0, F.lit(False)) & F.col("cigar").isNotNull()).alias("placed"), F.coalesce("mapq", F.lit(0)).alias("mapq"))
+    return K.tabbed(SU.placing_totals(read_table(spark, sf_dir).select("read_id", "file_id").join(own, "read_id")))
 
 
 _JUDGED = f"""with {BASES}, {MARKERS}, mis as (select b.*, coalesce(base <> 'N' and ref_base <> 'N' and base <> ref_base
@@ -295,16 +330,27 @@ def _judged(spark, sf_dir):
     return B.mismatches(base_table(spark, sf_dir).filter("qual is not null"), marker_table(spark, sf_dir))
 
 
-@R.query("snk_k12_reported_quality_lines", f"{_JUDGED} select qual || chr(9) || count(*) filter (mismatch) || chr(9) || count(*) as value from mis group by qual")
+@R.query("snk_k12_reported_quality_lines", f"{_JUDGED} select concat_ws(chr(9), qual, count(*) filter (mismatch), count(*), printf('%.6f', round(-10 * log10((count(*) filter (mismatch) + 1) / (count(*) + 2)), 6))) as value from mis group by qual")
 def reported_quality_lines(spark, sf_dir):
-    return K.tabbed(B.quality_by_reported(_judged(spark, sf_dir)), ["qual", "mismatches", "bases"])
+    own = B.quality_by_reported(_judged(spark, sf_dir)).withColumn("empirical", F.format_string("%.6f", "empirical"))
+    return K.tabbed(own, ["qual", "mismatches", "bases", "empirical"])
 
 
-@R.query("snk_k13_cycle_quality_lines", f"{_JUDGED} select (cycle + 1) || chr(9) || count(*) filter (mismatch) || chr(9) || count(*) || chr(9) || '0' as value from mis group by cycle")
+@R.query(
+    "snk_k13_cycle_quality_lines",
+    f"""{_JUDGED}, c as (select cycle + 1 as cycle, count(*) filter (mismatch) as mismatches, count(*) as bases from mis group by 1)
+    select concat_ws(chr(9), cycle, mismatches, bases, printf('%.6f', round(coalesce(last_value(case when mismatches <> 0 then -10 * log10((mismatches + 1e-6) / (bases + 1e-6)) end ignore nulls) over (order by cycle rows between unbounded preceding and current row), 0), 6)), 0) as value from c""",
+)
 def cycle_quality_lines(spark, sf_dir):
     """The last column is always 0."""
-    own = B.quality_by_cycle(_judged(spark, sf_dir)).withColumn("none", F.lit(0))
-    return K.tabbed(own, ["cycle", "mismatches", "bases", "none"])
+    own = B.quality_by_cycle(_judged(spark, sf_dir)).withColumns({"empirical": F.format_string("%.6f", "empirical"), "none": F.lit(0)})
+    return K.tabbed(own, ["cycle", "mismatches", "bases", "empirical", "none"])
+
+
+@R.query("snk_k14_adjusted_insert_lines", f"select k || chr(9) || printf('%.9f', density) as value from ({SQL_ADJUSTED})")
+def adjusted_insert_lines(spark, sf_dir):
+    own = PR.adjusted_insert(pair_table(spark, sf_dir)).withColumn("density", F.format_string("%.9f", "density"))
+    return K.tabbed(own, ["k", "density"])
 
 
 @R.query("snk_k14_raw_insert_lines", f"with {PAIRS}, h as (select obs as k, count(*) as n from pairs where obs between 0 and 4095 group by obs) select g.k || chr(9) || coalesce(h.n, 0) as value from (select unnest(range(4096)) as k) g left join h using (k)")
@@ -313,25 +359,53 @@ def raw_insert_lines(spark, sf_dir):
     return K.tabbed(B.filled(counts, "k", 4096, ["n"]), ["k", "n"])
 
 
-@R.query("snk_k05_gc_vectors", f"with {ALN}, g as (select read_id, unnest(range(1, length(seq) + 1)) as i, upper(seq) as s from aln where length(seq) > 0) select read_id, list(case when substr(s, i::int, 1) in ('G', 'C') then 1 else 0 end order by i) as gc from g group by read_id")
+_PROFILE = """first_of as (select contig, arg_min(upper(seq), read_id) as s from aln where contig is not null and length(seq) > 0 group by contig),
+at_ as (select contig, s, length(s) as n, unnest(range(1, length(s) + 1)) as i from first_of),
+profile as (select contig, i, cast(floor(100 * count(*) filter (substr(s, i::int, 1) in ('G', 'C')) over v / count(*) over v) as int) as gc
+  from at_ window v as (partition by contig order by i rows between 50 preceding and 49 following))"""
+
+
+def _profiles(spark, sf_dir):
+    """``contig, gc``: the profile of windows of 100 bases along each contig, of its first read, as no contig has its own bases here."""
+    rows = placed(spark, sf_dir).filter("contig is not null and length(seq) > 0")
+    first = rows.groupBy("contig").agg(F.min_by("seq", "read_id").alias("seq"))
+    each = M.gc_window(first, "contig", "seq")
+    return each.groupBy("contig").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "gc"))), lambda x: x["gc"]).alias("gc"))
+
+
+@R.query("snk_k05_gc_vectors", f"with {ALN}, {_PROFILE} select contig, list(gc order by i) as gc from profile group by contig")
 def gc_arrays(spark, sf_dir):
-    """One array of marks per sequence, as it is stored in Parquet."""
-    upper = F.upper("seq")
-    own = placed(spark, sf_dir).filter("length(seq) > 0")
-    marks = F.transform(F.sequence(F.lit(1), F.length("seq")), lambda i: F.substr(upper, i, F.lit(1)).isin("G", "C").cast("int"))
-    return own.select("read_id", marks.alias("gc"))
+    """GC profiles as they are stored in Parquet: written and read back."""
+    at = place(spark, "gc")
+    _profiles(spark, sf_dir).write.parquet(at)
+    return spark.read.parquet(at)
 
 
-@R.query("snk_k11_depth_by_gc_lines", f"with {BASES}, {DEPTH} select (pos::bigint * 7) % 101 || chr(9) || sum(depth) || chr(9) || count(*) as value from depth group by (pos::bigint * 7) % 101")
-def depth_by_gc_lines(spark, sf_dir):
-    depths = B.depth(base_table(spark, sf_dir))
-    gc = depths.select("chrom", "pos", (F.col("pos").cast("bigint") * 7 % 101).cast("int").alias("gc"))
-    return K.tabbed(B.gc_depth(depths, gc), ["gc", "depth_sum", "sites"])
+@R.query("src_s24_gc_vectors", f"with {ALN}, {MARKERS}, {_PROFILE}, g as (select contig, list(gc order by i) as gc from profile group by contig) select m.chrom, m.pos, m.name, g.gc[len(g.gc) // 2 + 1] as gc from markers m left join g on g.contig = m.name")
+def gc_vectors(spark, sf_dir):
+    """Stored profiles joined to the markers by their contig; the value at the middle of each, null without a profile."""
+    at = place(spark, "gc")
+    _profiles(spark, sf_dir).write.parquet(at)
+    stored = spark.read.parquet(at).select(F.col("contig").alias("name"), F.element_at("gc", F.floor(F.size("gc") / 2).cast("int") + 1).alias("gc"))
+    return marker_table(spark, sf_dir).join(stored, "name", "left").select("chrom", "pos", "name", "gc")
 
 
-@R.query("src_s08_genotype_ranges", f"with g as (select vec_id, {_GT} as g from embeddings) select vec_id // 100 as block, count(*) as variants, cast(sum(list_sum(list_filter(g, lambda x: x > 0))) as bigint) as copies from g group by 1")
-def genotype_ranges(spark, sf_dir):
-    """Variants by ranges, as the binary genotype source splits them."""
-    rows = table(spark, sf_dir, "embeddings").select(F.expr("vec_id div 100").alias("block"), F.filter(genotype_array(), lambda x: x > 0).alias("g"))
-    per = F.aggregate("g", F.lit(0), lambda a, x: a + x)
-    return rows.groupBy("block").agg(F.count(F.lit(1)).alias("variants"), F.sum(per).alias("copies"))
+@R.query(
+    "snk_k11_depth_by_gc_lines",
+    f"with {BASES}, {DEPTH} select concat_ws(chr(9), (pos::bigint * 7) % 101, cast(sum(depth) as bigint), count(*), printf('%.6f', round(sum(depth) / count(*) / ((select sum(depth) from depth) / (select count(*) from depth)), 6))) as value from depth group by (pos::bigint * 7) % 101",
+)
+def depth_by_gc_lines(spark, sf_dir):
+    depths = SW.depth(segment_table(spark, sf_dir))
+    gc = depths.select("chrom", "pos", (F.col("pos").cast("bigint") * 7 % 101).cast("int").alias("gc"))
+    own = B.gc_depth(depths, gc).withColumn("normalised", F.format_string("%.6f", "normalised"))
+    return K.tabbed(own, ["gc", "depth_sum", "sites", "normalised"])
+
+
+@R.query("src_s08_plink", f"with g as (select vec_id, {_GT} as g from embeddings) select '1' as chrom, cast(vec_id + 1 as int) as pos, 'v' || vec_id as id, 'A' as first, 'C' as second, g as copies from g")
+def plink(spark, sf_dir):
+    """Genotypes written as a bed, bim and fam file and read back by ranges of variants."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", genotype_array().alias("copies"))
+    rows = e.select(F.lit("1").alias("chrom"), (F.col("vec_id") + 1).cast("int").alias("pos"), F.concat(F.lit("v"), F.col("vec_id").cast("string")).alias("id"), F.lit("A").alias("first"), F.lit("C").alias("second"), "copies")
+    at = place(spark, "plink")
+    BN.write_plink(rows, at + "/panel")
+    return BN.read_plink(spark, at + "/panel")

@@ -10,12 +10,15 @@ from lociflow.operators import hits as H
 from lociflow.operators import kmers as K
 from lociflow.operators import markers as M
 from lociflow.operators import ordered as OD
+from lociflow.operators import pairs as PR
 from lociflow.operators import report as RP
 from lociflow.operators import selecting as S
 from lociflow.operators import sweep as SW
-from lociflow.plans.domain import ALN, BASES, DEPTH, MARKERS, READS, base_table, marker_base_table, marker_table, placed, read_table, segment_table
+from lociflow.plans.aggregates import SQL_ADJUSTED
+from lociflow.plans.domain import ALN, BASES, DEPTH, MARKERS, READS, base_table, marker_base_table, marker_table, pair_table, placed, read_table, segment_table
 from lociflow.plans.registry import Registry
 from lociflow.session import table
+from lociflow.streaming.jobs import place
 
 R = Registry()
 QUERIES, SQL = R.queries, R.sql
@@ -37,13 +40,20 @@ def carried_forward(spark, sf_dir):
     return OD.carried(table(spark, sf_dir, "events"), ["user_id"], "event_id", "value", "value > 50").select("event_id", "carried")
 
 
-@R.query(
-    "win_w03_running_sums",
-    "select file_id, day, n, cast(sum(n) over (partition by file_id order by day) as bigint) as upto from (select file_id, cast(recorded_at as date) as day, count(*) as n from sam_records group by 1, 2)",
-)
+_FOLD = """with recursive d as (select cast(abs(insert_size::bigint) // 50 as int) as k, count(*) filter (mapq >= 20) as seen, count(*) filter (mapq < 20) as cut from sam_records where insert_size <> 0 and abs(insert_size::bigint) < 2000 and mapq is not null group by 1),
+c as (select b.k, coalesce(seen, 0) as seen, coalesce(cut, 0) as cut from (select unnest(range(40)) as k) b left join d using (k)), n as (select sum(seen + cut)::double as n from c),
+r as (select 0 as k, (seen + 1e-6) / n as f, (seen + 1e-6) / n as ff, (cut + 1e-6) / (1 - (seen + 1e-6) / n) / n as gg from c, n where k = 0
+  union all select k, f, ff + f, gg + (cut + 1e-6) / (1 - (ff + f)) / n from (select c.k, (c.seen + 1e-6) / (1 - r.gg) / n as f, r.ff, r.gg, c.cut, n from r join c on c.k = r.k + 1, n))"""
+
+
+@R.query("win_w03_running_sums", f"{_FOLD} select cast(k as int) as k, round(f, 9) as density, round(ff, 9) as upto_seen, round(gg, 9) as upto_cut from r")
 def running_sums(spark, sf_dir):
-    days = table(spark, sf_dir, "sam_records").groupBy("file_id", F.to_date("recorded_at").alias("day")).agg(F.count(F.lit(1)).alias("n"))
-    return days.withColumn("upto", F.sum("n").over(Window.partitionBy("file_id").orderBy("day")))
+    """Two running sums that feed each other: sizes seen with good quality, and those cut off by a bad one, in bins of 50."""
+    size = F.abs(F.col("insert_size").cast("bigint"))
+    rows = table(spark, sf_dir, "sam_records").filter("insert_size <> 0 and mapq is not null").filter(size < 2000)
+    counts = rows.groupBy(F.floor(size / 50).cast("int").alias("k")).agg(F.count_if(F.col("mapq") >= 20).alias("seen"), F.count_if(F.col("mapq") < 20).alias("cut"))
+    rounded = [F.round(c, 9).alias(c) for c in ("density", "upto_seen", "upto_cut")]
+    return PR.adjusted(counts, 40).select("k", *rounded)
 
 
 _HIST = "h as (select mapq, count(*) as n, avg(pos % 101) as gc from alignments where mapq between 0 and 254 group by 1)"
@@ -84,13 +94,18 @@ def turning_points(spark, sf_dir):
     return RP.turning_points(_histogram(spark, sf_dir).select("mapq", "n"), "mapq", "n")
 
 
-@R.query(
-    "win_w09_rolling_kmers",
-    f"with {READS}, s as (select seq from reads where length(seq) >= 32), k as (select substr(seq, i::int, 32) as kmer from (select seq, unnest(range(1, length(seq) - 30)) as i from s)) select kmer, count(*) as n from k group by kmer having count(*) > 1",
-)
+_ALLELES = f"""with {MARKERS}, {ALN}, own as (select m.name, m.ref, m.alt, arg_min(upper(a.seq), a.read_id) as s from aln a join markers m on m.name = a.contig where length(a.seq) >= 64 group by 1, 2, 3),
+al as (select name, unnest(['ref', 'alt']) as allele, unnest([substr(s, 1, length(s) // 2) || ref || substr(s, length(s) // 2 + 2), substr(s, 1, length(s) // 2) || alt || substr(s, length(s) // 2 + 2)]) as s from own),
+st as (select name, allele, unnest([false, true]) as reverse, unnest([s, translate(reverse(s), 'ACGT', 'TGCA')]) as s from al)"""
+
+
+@R.query("win_w09_rolling_kmers", f"{_ALLELES} select name, allele, reverse, cast(i as int) as at, substr(s, i::int, 32) as kmer from (select *, unnest(range(1, length(s) - 30)) as i from st)")
 def rolling_kmers(spark, sf_dir):
-    kmers = K.rolling(read_table(spark, sf_dir), "read_id", "seq")
-    return kmers.groupBy("kmer").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    """All 32-mers of each marker's sequence with either allele in its middle, on both strands; a read stands for the sequence."""
+    marks = marker_table(spark, sf_dir).select(F.col("name").alias("contig"), "ref", "alt")
+    rows = placed(spark, sf_dir).filter("length(seq) >= 64").join(marks, "contig")
+    own = rows.groupBy(F.col("contig").alias("name"), "ref", "alt").agg(F.min_by("seq", "read_id").alias("seq"))
+    return K.rolling(K.both_alleles(own, "name", "seq", "ref", "alt"), ["name", "allele", "reverse"], "seq")
 
 
 @R.query("win_w10_first_wins", "select rec_id, loaded_at from (select rec_id, loaded_at, row_number() over (partition by rec_id order by loaded_at) as k from sam_records) where k = 1")
@@ -141,13 +156,19 @@ def by_position(spark, sf_dir):
     return own.join(before, "chrom").select("name", "chrom", "pos", (F.col("_before") + F.col("_k")).alias("place")).orderBy("place")
 
 
+_TARGET = "(pos % 5 = 0)"
+
+
 @R.query(
     "srt_o02_marker_quota",
-    f"""with {MARKERS}, a as (select *, row_number() over (order by chrom, pos, name) as k from markers where chrom not in ('X', 'Y')), s as (select *, row_number() over (partition by chrom order by pos, name) as k from markers where chrom in ('X', 'Y'))
-    select name, case when k <= 100 then 'long' else 'short' end as class from a where k <= 800 union all select name, lower(chrom) from s where k <= 20""",
+    f"""with {MARKERS}, m as (select *, {_TARGET} as hit from markers), a as (select *, row_number() over (order by hit desc, chrom, pos, name) as k from m where chrom not in ('X', 'Y')), s as (select *, row_number() over (partition by chrom order by hit desc, pos, name) as k from m where chrom in ('X', 'Y'))
+    select name, case when k <= 100 then 'long' else 'short' end as class, hit as in_target from a where k <= 800 union all select name, lower(chrom), hit from s where k <= 20""",
 )
 def marker_quota(spark, sf_dir):
-    return M.with_quota(marker_table(spark, sf_dir), 100, 700, 20).select("name", "class")
+    """Quotas of a run over markers in target regions first, then over the others."""
+    marks = marker_table(spark, sf_dir)
+    target = marks.filter(_TARGET).select("chrom", F.col("pos").alias("beg"), F.col("pos").alias("end"))
+    return M.with_quota(M.targeted(marks, target), 100, 700, 20).select("name", "class", "in_target")
 
 
 @R.query("srt_o03_text_then_number", "select distinct chrom, pos from alignments where pos > 0 and chrom is not null")
@@ -196,16 +217,31 @@ def first_components(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", F.transform(F.slice("embedding", 1, 4), lambda x: F.round(x.cast("double"), 6)).alias("pc"))
 
 
-@R.query("set_u04_concatenated", f"with {MARKERS} select name, chrom, pos from markers where chrom in ('1', '2', 'X')")
+@R.query("set_u04_concatenated", f"with {MARKERS} select name, chrom, pos from markers")
 def concatenated(spark, sf_dir):
-    marks = marker_table(spark, sf_dir).select("name", "chrom", "pos")
-    return marks.filter("chrom = '1'").unionByName(marks.filter("chrom = '2'")).unionByName(marks.filter("chrom = 'X'"))
+    """The markers of each chromosome written to a folder of its own, and all folders read as one."""
+    at = place(spark, "chromosomes")
+    marker_table(spark, sf_dir).select("name", "chrom", "pos").write.partitionBy("chrom").parquet(at)
+    return spark.read.schema("name string, pos int, chrom string").parquet(at).select("name", "chrom", "pos")
 
 
-@R.query("set_u06_stacked", "select 'raw' as category, mapq as k, count(*) as n from alignments where mapq <> 255 group by mapq union all select 'record', mapq, count(*) from sam_records where mapq <> 255 group by mapq")
+_RAW = "raw as (select obs as k, count(*) as n from pairs where status in ('PropPair', 'PartialPair') and obs between 0 and 1999 group by obs)"
+
+
+def _both_curves(spark, sf_dir):
+    """``category, k, value``: counts of observed sizes, and their densities corrected for censoring."""
+    pairs = pair_table(spark, sf_dir)
+    raw = pairs.filter("status in ('PropPair', 'PartialPair') and obs between 0 and 1999").groupBy(F.col("obs").alias("k")).agg(F.count(F.lit(1)).cast("double").alias("value"))
+    return RP.stacked({"raw": raw, "adjusted": PR.adjusted_insert(pairs).withColumnRenamed("density", "value")}, ["k", "value"])
+
+
+_ADJ = SQL_ADJUSTED[SQL_ADJUSTED.index("with recursive ") + len("with recursive ") : SQL_ADJUSTED.rindex("select cast(a.k")]
+_CURVES = f"with recursive {_ADJ}, {_RAW}, both_ as (select 'raw' as category, cast(k as int) as k, n::double as value from raw union all select 'adjusted', cast(a.k as int), round(a.f + b.f, 9) from fa_r a join fb_r b using (k))"
+
+
+@R.query("set_u06_stacked", f"{_CURVES} select category, k, value from both_")
 def stacked(spark, sf_dir):
-    of = lambda name, label: table(spark, sf_dir, name).filter("mapq <> 255").groupBy(F.col("mapq").alias("k")).agg(F.count(F.lit(1)).alias("n")).select(F.lit(label).alias("category"), "k", "n")
-    return of("alignments", "raw").unionByName(of("sam_records", "record"))
+    return _both_curves(spark, sf_dir)
 
 
 @R.query("set_u07_distinct_sorted", "select read_id, list_sort(list_distinct(list(mapq))) as mapqs from sam_records where read_id is not null and mapq is not null group by read_id")
@@ -220,9 +256,16 @@ def panel_and_sample(spark, sf_dir):
     return own.unionByName(spark.createDataFrame([(-1, None, True)], "sample bigint, label int, is_user boolean"))
 
 
-@R.query("rep_r01_depth_rows", f"{_DEPTHS} select depth, n from h where depth between 1 and 149")
+@R.query(
+    "rep_r01_depth_rows",
+    f"""{_DEPTHS}, b as (select depth, n from h where depth between 1 and 149), m as (select depth as mode, n as top from b order by n desc, depth limit 1),
+    s as (select b.*, mode, top, case when depth >= mode then 1 else -1 end as side from b, m), r as (select *, case when n > 1.2 * coalesce(lag(n) over (partition by side order by abs(depth - mode)), top) then 1 else 0 end as rise from s),
+    c as (select *, sum(rise) over (partition by side order by abs(depth - mode) rows between unbounded preceding and current row) as k from r)
+    select depth, n, k < 3 as zoomed from c""",
+)
 def depth_rows(spark, sf_dir):
-    return _depth_hist(spark, sf_dir).filter("depth between 1 and 149")
+    """Rows 1 to 149, and which of them the zoomed plot shows: up to the third turning point on each side of the mode."""
+    return RP.zoomed(_depth_hist(spark, sf_dir).filter("depth between 1 and 149"), "depth", "n")
 
 
 _CYC = f"with {BASES}, c as (select cast(g.cycle as int) as cycle, coalesce(n, 0) as n from (select unnest(range(250)) as cycle) g left join (select cycle, count(*) as n from bases group by 1) b using (cycle))"
@@ -241,18 +284,27 @@ def quality_rows(spark, sf_dir):
 
 @R.query(
     "rep_r04_gc_curve",
-    f"with {_HIST}, c as (select *, 100 * sum(n) over w / sum(n) over () as share from h window w as (order by mapq)) select mapq, round(share, 6) as share, n from c where share <= 99.5",
+    f"""with {_HIST}, c as (select *, 100 * sum(n) over w / sum(n) over () as share, sum(n * gc) over w / sum(n) over w as running from h window w as (order by mapq)),
+    p as (select round(share, 6) as share, round(running, 6) as running from c), g as (select i * 0.05::double as x from range(0, 2001) t(i)),
+    l as (select g.x, max(p.share) as lx from g left join p on p.share <= g.x group by g.x), r as (select g.x, min(p.share) as rx from g left join p on p.share >= g.x group by g.x)
+    select round(l.x, 2) as percentile, round(case when lx is null then b.running when rx is null then a.running when lx = rx then a.running else a.running + (l.x - lx) / (rx - lx) * (b.running - a.running) end, 6) as gc
+    from l join r using (x) left join p a on a.share = lx left join p b on b.share = rx""",
 )
 def gc_curve(spark, sf_dir):
-    return RP.cumulative_share(_histogram(spark, sf_dir), "mapq", "n", "gc").filter("share <= 99.5").select("mapq", "share", "n")
+    """The running mean at each twentieth of a percent of the cumulative share."""
+    curve = RP.cumulative_share(_histogram(spark, sf_dir), "mapq", "n", "gc")
+    grid = F.transform(F.sequence(F.lit(0), F.lit(2000)), lambda i: i * F.lit(0.05))
+    return RP.interpolated(curve, "share", "running", grid).select(F.round("x", 2).alias("percentile"), F.col("y").alias("gc"))
 
 
-@R.query("rep_r05_insert_curves", "with s as (select case when insert_size > 0 then 'forward' else 'reverse' end as category, cast(abs(insert_size::bigint) // 10 as bigint) as bin, count(*) as n from sam_records where insert_size <> 0 and abs(insert_size::bigint) < 4096 group by 1, 2) select category, bin, n, round(n / sum(n) over (partition by category), 9) as share from s")
+@R.query(
+    "rep_r05_insert_curves",
+    f"{_CURVES}, w as (select category, k // 10 as bin, sum(value) as value from both_ group by 1, 2) select category, cast(bin as int) as bin, round(value, 6) as value, round(value / sum(value) over (partition by category), 6) as share from w",
+)
 def insert_curves(spark, sf_dir):
-    size = F.abs(F.col("insert_size").cast("bigint"))
-    rows = table(spark, sf_dir, "sam_records").filter("insert_size <> 0").filter(size < 4096)
-    bins = rows.groupBy(F.when(F.col("insert_size") > 0, "forward").otherwise("reverse").alias("category"), F.floor(size / 10).alias("bin"))
-    return RP.normalised(bins.agg(F.count(F.lit(1)).alias("n")), "n", "category")
+    """Observed and corrected sizes in bins of ten, each as a share of its curve."""
+    bins = _both_curves(spark, sf_dir).groupBy("category", F.floor(F.col("k") / 10).cast("int").alias("bin")).agg(F.sum("value").alias("value"))
+    return RP.normalised(bins, "value", "category").select("category", "bin", F.round("value", 6).alias("value"), F.round("share", 6).alias("share"))
 
 
 @R.query("rep_r07_ancestry_table", "select vec_id as sample, round(embedding[1]::double, 6) as pc1, round(embedding[2]::double, 6) as pc2, 'pop' || label as population, false as is_user from embeddings union all select -1, 0.01, 0.01, null, true")

@@ -6,16 +6,21 @@ split into ranges of variants, each of which is read by itself.
 
 from __future__ import annotations
 
-import glob
 import gzip
+import io
 import struct
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from lociflow.sources import files
+
 BAM_SCHEMA = (
     "path string, name string, flag int, chrom string, pos int, mapq int, cigar array<struct<len:int,op:string>>, "
     "mate_chrom string, mate_pos int, insert_size int, seq string, qual string, tags map<string,string>"
@@ -50,7 +55,7 @@ def bam_tags(raw: bytes) -> dict[str, str]:
 
 def bam_records(path: str) -> Iterator[tuple]:
     """Rows of BAM_SCHEMA; positions from 1, nulls for what is absent."""
-    with gzip.open(path) as f:
+    with gzip.GzipFile(fileobj=files.opened(path)) as f:
         if f.read(4) != b"BAM\1":
             raise ValueError(f"{path} is no BAM file")
         f.read(struct.unpack("<i", f.read(4))[0])
@@ -76,13 +81,13 @@ def bam_records(path: str) -> Iterator[tuple]:
 
 
 class _Part(InputPartition):
-    def __init__(self, path: str, first: int = 0, last: int = 0):
-        self.path, self.first, self.last = path, first, last
+    def __init__(self, path: str, first: int = 0, last: int = 0, begin: int = 0, samples: int = 0):
+        self.path, self.first, self.last, self.begin, self.samples = path, first, last, begin, samples
 
 
 class _BamReader(DataSourceReader):
     def __init__(self, options: dict):
-        self.paths = sorted(p for part in options["path"].split(",") for p in glob.glob(part))
+        self.paths = files.listed(options["path"])
 
     def partitions(self) -> list[InputPartition]:
         return [_Part(p) for p in self.paths] or [_Part("")]
@@ -108,21 +113,32 @@ class _PlinkReader(DataSourceReader):
         self.prefix = options["path"]
 
     def partitions(self) -> list[InputPartition]:
-        with open(self.prefix + ".bim") as f:
-            n = sum(1 for _ in f)
-        return [_Part(self.prefix, a, min(a + VARIANTS, n)) for a in range(0, max(n, 1), VARIANTS)]
+        """Ranges of variants with the place of their first line in the .bim file, so that no task reads what is before it."""
+        with files.opened(self.prefix + ".fam") as f:
+            samples = sum(1 for line in io.BufferedReader(f) if line.strip())
+        parts, at = [], 0
+        with files.opened(self.prefix + ".bim") as f:
+            n = -1
+            for n, line in enumerate(io.BufferedReader(f)):
+                if n % VARIANTS == 0:
+                    parts.append(_Part(self.prefix, n, n + VARIANTS, at, samples))
+                at += len(line)
+        if parts:
+            parts[-1].last = n + 1
+        return parts or [_Part(self.prefix)]
 
     def read(self, partition: _Part) -> Iterator[pa.RecordBatch]:
-        with open(partition.path + ".fam") as f:
-            samples = sum(1 for line in f if line.strip())
+        count, samples = partition.last - partition.first, partition.samples
         width = (samples + 3) // 4
-        with open(partition.path + ".bed", "rb") as f:
+        with files.opened(partition.path + ".bed") as f:
             if f.read(3) != b"\x6c\x1b\x01":
                 raise ValueError(f"{partition.path}.bed holds no genotypes by variant")
             f.seek(3 + partition.first * width)
-            raw = np.frombuffer(f.read((partition.last - partition.first) * width), np.uint8).reshape(-1, width)
-        with open(partition.path + ".bim") as f:
-            rows = [line.split() for i, line in enumerate(f) if partition.first <= i < partition.last]
+            raw = np.frombuffer(f.read(count * width), np.uint8).reshape(-1, width)
+        with files.opened(partition.path + ".bim") as f:
+            f.seek(partition.begin)
+            lines = io.BufferedReader(f)
+            rows = [lines.readline().decode().split() for _ in range(count)]
         for a in range(0, len(rows), ROWS):
             own = rows[a : a + ROWS]
             codes = (raw[a : a + ROWS, :, None] >> np.array([0, 2, 4, 6], np.uint8) & 3).reshape(len(own), -1)[:, :samples]
@@ -159,3 +175,96 @@ def read_plink(spark: SparkSession, prefix: str) -> DataFrame:
     """``chrom, pos, id, first, second, copies``: copies of the first allele of each sample, -1 for missing."""
     spark.dataSource.register(PlinkSource)
     return spark.read.format("lociflow_plink").option("path", prefix).load()
+
+
+def write_plink(rows: DataFrame, prefix: str) -> None:
+    """``chrom, pos, id, first, second, copies`` as a .bed, .bim and .fam file, in order of (chrom, pos, id).
+
+    One file of each, as other tools want them: rows pass the driver one after the other and
+    are not held.  Samples are named by their place.
+    """
+    codes = {2: 0, -1: 1, 1: 2, 0: 3}
+    packed = F.udf(lambda g: bytes(sum(codes[x] << 2 * j for j, x in enumerate(g[i : i + 4])) for i in range(0, len(g), 4)), "binary")
+    ordered = rows.orderBy("chrom", "pos", "id").select("chrom", "pos", "id", "first", "second", F.size("copies").alias("n"), packed("copies").alias("raw"))
+    samples = 0
+    with files.created(prefix + ".bed") as bed, files.created(prefix + ".bim") as bim:
+        bed.write(b"\x6c\x1b\x01")
+        for r in ordered.toLocalIterator(prefetchPartitions=True):
+            samples = r.n
+            bed.write(bytes(r.raw))
+            bim.write(f"{r.chrom}\t{r.id}\t0\t{r.pos}\t{r.first}\t{r.second}\n".encode())
+    with files.created(prefix + ".fam") as fam:
+        fam.write("".join(f"s{i}\ts{i}\t0\t0\t0\t-9\n" for i in range(samples)).encode())
+
+
+BLOCK_BYTES = 60_000
+#: Fixed value of the format: the empty block that ends a file.
+LAST_BLOCK = bytes.fromhex("1f8b08040000000000ff0600424302001b0003000000000000000000")
+
+
+def block(raw: bytes) -> bytes:
+    """One compressed block with its own size in the header, so that readers can begin at any block."""
+    squeeze = zlib.compressobj(6, zlib.DEFLATED, -15)
+    body = squeeze.compress(raw) + squeeze.flush()
+    head = struct.pack("<4BIBBHBBHH", 0x1F, 0x8B, 8, 4, 0, 0, 255, 6, 66, 67, 2, len(body) + 25)
+    return head + body + struct.pack("<II", zlib.crc32(raw), len(raw))
+
+
+def bam_header(contigs: list[tuple[str, int]], lines: list[str]) -> bytes:
+    text = "".join(f"{x}\n" for x in [*lines, *(f"@SQ\tSN:{n}\tLN:{size}" for n, size in contigs)]).encode()
+    refs = b"".join(struct.pack("<i", len(n) + 1) + n.encode() + b"\0" + struct.pack("<i", size) for n, size in contigs)
+    return b"BAM\1" + struct.pack("<i", len(text)) + text + struct.pack("<i", len(contigs)) + refs
+
+
+def bam_record(row: dict, number: dict[str, int]) -> bytes:
+    """A record of the fields of BAM_SCHEMA; tags are ``type:text`` of the types A, i, f and Z."""
+    seq, qual, cigar = row["seq"] or "", row["qual"], row["cigar"] or []
+    name = (row["name"] or "*").encode() + b"\0"
+    codes = [BASES.find(c) if c in BASES else 15 for c in seq.upper()] + [0] * (len(seq) % 2)
+    span = sum(c["len"] for c in cigar if c["op"] in "MDN=X") or 1
+    beg = (row["pos"] or 0) - 1
+    level = next((k for k in range(5) if beg >= 0 and beg >> (14 + 3 * k) == (beg + span - 1) >> (14 + 3 * k)), 5)
+    bin_of = ((1 << 3 * (5 - level)) - 1) // 7 + (max(beg, 0) >> (14 + 3 * level)) if beg >= 0 else 4680
+    tags = b""
+    for tag, text in (row["tags"] or {}).items():
+        kind, value = text[0], text[2:]
+        body = {"A": value.encode()[:1], "Z": value.encode() + b"\0"}.get(kind)
+        body = body if body is not None else struct.pack("<i", int(value)) if kind == "i" else struct.pack("<f", float(value))
+        tags += tag.encode() + kind.encode() + body
+    of = lambda c: number.get(c, -1)
+    fixed = struct.pack("<iiBBHHHiiii", of(row["chrom"]), beg, len(name), row["mapq"] or 0, bin_of, len(cigar), row["flag"] or 0, len(seq), of(row["mate_chrom"]), (row["mate_pos"] or 0) - 1, row["insert_size"] or 0)
+    script = b"".join(struct.pack("<I", c["len"] << 4 | OPS.index(c["op"])) for c in cigar)
+    quality = bytes(ord(q) - 33 for q in qual) if qual is not None and len(qual) == len(seq) else b"\xff" * len(seq)
+    body = fixed + name + script + bytes(a << 4 | b for a, b in zip(codes[::2], codes[1::2])) + quality + tags
+    return struct.pack("<i", len(body)) + body
+
+
+def write_bam(df: DataFrame, path: str, contigs: list[tuple[str, int]], lines: list[str] | None = None) -> int:
+    """Rows of BAM_SCHEMA (without path) as one BAM file per partition in a folder; returns the number of records.
+
+    A task writes beside its file and renames it when it is whole, so a task that runs again leaves one file.
+    ``contigs`` are the names and lengths of the header.
+    """
+    number = {n: i for i, (n, _) in enumerate(contigs)}
+    header = bam_header(contigs, lines or ["@HD\tVN:1.6\tSO:unsorted"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        context, n, held = TaskContext.get(), 0, bytearray(header)
+        to = f"{path}/part-{context.partitionId():05d}.bam"
+        with files.created(f"{to}.{context.taskAttemptId()}") as f:
+            for batch in batches:
+                for row in batch.to_pylist():
+                    held += bam_record(row | {"tags": dict(row["tags"] or {})}, number)
+                    n += 1
+                    if len(held) >= BLOCK_BYTES:
+                        for a in range(0, len(held), BLOCK_BYTES):
+                            f.write(block(bytes(held[a : a + BLOCK_BYTES])))
+                        held = bytearray()
+            for a in range(0, len(held), BLOCK_BYTES):
+                f.write(block(bytes(held[a : a + BLOCK_BYTES])))
+            f.write(LAST_BLOCK)
+        files.moved(f"{to}.{context.taskAttemptId()}", to)
+        yield pa.RecordBatch.from_arrays([pa.array([n])], names=["n"])
+
+    rows = df.select("name", "flag", "chrom", "pos", "mapq", "cigar", "mate_chrom", "mate_pos", "insert_size", "seq", "qual", "tags")
+    return rows.mapInArrow(run, "n bigint").agg(F.sum("n")).first()[0] or 0

@@ -7,9 +7,8 @@ with ``spark.read.format("lociflow_fastq").option("path", "dir/*.fastq.gz")``.
 
 from __future__ import annotations
 
-import glob
 import gzip
-import os
+import io
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -17,6 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
 
+from lociflow.sources import files
+
 SCHEMA = "path string, read_idx bigint, name string, seq string, qual string"
 BLOCK = 10_000
 ROWS = 10_000
@@ -24,8 +25,8 @@ ROWS = 10_000
 
 def records(path: str) -> Iterator[tuple[str, str, str | None]]:
     """``name, seq, qual`` of FASTQ (four lines or wrapped) or FASTA records; plain or gzip."""
-    opened = gzip.open(path, "rt") if path.endswith(".gz") else open(path)
-    with opened as lines:
+    raw = files.opened(path)
+    with io.TextIOWrapper(gzip.GzipFile(fileobj=raw) if path.endswith(".gz") else io.BufferedReader(raw)) as lines:
         line = lines.readline()
         while line:
             line = line.rstrip("\r\n")
@@ -53,13 +54,9 @@ class _File(InputPartition):
         self.path = path
 
 
-def _paths(options: dict) -> list[str]:
-    return sorted(p for part in options["path"].split(",") for p in (glob.glob(part) if not os.path.isdir(part) else glob.glob(part + "/*")))
-
-
 class _Reader(DataSourceReader):
     def __init__(self, options: dict):
-        self.paths = _paths(options)
+        self.paths = files.listed(options["path"])
 
     def partitions(self) -> list[InputPartition]:
         return [_File(p) for p in self.paths]
@@ -96,11 +93,11 @@ class _Stream(SimpleDataSourceStreamReader):
         return iter([(p, i, *r) for p in paths for i, r in enumerate(records(p))])
 
     def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        paths = [p for p in _paths(self.options) if p > start["last"]]
+        paths = [p for p in files.listed(self.options["path"]) if p > start["last"]]
         return self._rows(paths), {"last": paths[-1] if paths else start["last"]}
 
     def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        return self._rows([p for p in _paths(self.options) if start["last"] < p <= end["last"]])
+        return self._rows([p for p in files.listed(self.options["path"]) if start["last"] < p <= end["last"]])
 
 
 class FastqSource(DataSource):

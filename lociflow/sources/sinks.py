@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lociflow.functions import sequence
+
 
 def tabbed(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Tab-separated cells; null is written ``.``."""
@@ -48,8 +50,28 @@ def fastq(df: DataFrame) -> DataFrame:
     return df.select(F.concat(F.lit("@"), cell("name"), F.lit("\n"), cell("seq"), F.lit("\n+\n"), cell("qual")).alias("value"))
 
 
-def sam_lines(df: DataFrame, cigar_text: Column) -> DataFrame:
-    """SAM lines of placed and unplaced reads with NM and MD tags."""
+def placement_tags() -> list[Column]:
+    """Tags of a placement: type, edits, quality, counts of best and other hits, mismatches, gaps and gap bases.
+
+    From ``cigar, md, mapq, c1, c2``; reads without a script have none.
+    """
+    gaps = F.filter("cigar", lambda c: c["op"].isin("I", "D"))
+    tags = {
+        "XT:A": F.when(F.col("c1") == 1, "U").otherwise("R"),
+        "NM:i": sequence.edit_distance_of(F.coalesce("md", F.lit("")), "cigar"),
+        "SM:i": F.coalesce("mapq", F.lit(0)),
+        "X0:i": F.col("c1"),
+        "X1:i": F.col("c2"),
+        "XM:i": F.size(F.map_keys(sequence.md_mismatches(F.coalesce("md", F.lit(""))))),
+        "XO:i": F.size(gaps),
+        "XG:i": F.aggregate(gaps, F.lit(0), lambda a, c: a + c["len"]),
+    }
+    return [F.when(F.col("cigar").isNotNull(), F.concat(F.lit(f"{name}:"), value.cast("string"))) for name, value in tags.items()]
+
+
+def sam_lines(df: DataFrame, cigar_text: Column, tags: list[Column] | None = None) -> DataFrame:
+    """SAM lines of placed and unplaced reads with their read group (``read_group``), given tags and MD."""
+    group = [F.concat(F.lit("RG:Z:"), F.col("read_group"))] if "read_group" in df.columns else []
     star = lambda c: F.coalesce(c, F.lit("*"))
     cells = [
         F.col("name"),
@@ -63,6 +85,8 @@ def sam_lines(df: DataFrame, cigar_text: Column) -> DataFrame:
         F.lit("0"),
         star(F.col("seq")),
         star(F.col("qual")),
+        *group,
+        *(tags or []),
         F.when(F.col("md").isNotNull(), F.concat(F.lit("MD:Z:"), F.col("md"))),
     ]
     return df.select(F.concat_ws("\t", *cells).alias("value"))
