@@ -8,8 +8,8 @@ values *above* (and at most to that of all values below).  Sketches of
 partitions, files or days merge level by level.
 
 Each task folds its rows to one sketch per group, so a hot group travels as
-sketches.  Merging streams through sorted partitions, first by a salt of the
-input partition, then by group: no group is ever held as a whole.
+sketches.  Merging streams through sorted partitions, first those of FAN
+neighbouring partitions, then by group: no group is ever held as a whole.
 """
 
 from __future__ import annotations
@@ -19,13 +19,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 K = 96
 SECTIONS = 3
-SALTS = 32
+FAN = 64  # partitions whose sketches one task merges first: a hot group has as many such tasks as it needs
 HELD = 2_000_000
 PERCENTILES = (5, 25, 50, 75, 95, 99)
 
@@ -33,10 +34,11 @@ PERCENTILES = (5, 25, 50, 75, 95, 99)
 class Sketch:
     """Relative-rank sketch of numbers; the standard error of a rank is about 0.13 / K of it, from above."""
 
-    __slots__ = ("n", "levels", "states", "sections", "waiting", "held")
+    __slots__ = ("n", "seed", "levels", "states", "sections", "waiting", "held")
 
-    def __init__(self) -> None:
+    def __init__(self, seed: int = 0) -> None:
         self.n = 0
+        self.seed = seed  # sketches of different partitions flip their coins apart, so that errors cancel in a merge
         self.levels: list[np.ndarray] = [np.zeros(0)]
         self.states, self.sections = [0], [SECTIONS]
         self.waiting: list[np.ndarray] = []
@@ -53,6 +55,11 @@ class Sketch:
         """Items of a section, even; it shrinks as the number of sections grows."""
         return max(4, 2 * round(K / math.sqrt(self.sections[h] / SECTIONS) / 2))
 
+    def _coin(self, h: int) -> int:
+        x = (self.states[h] * 0x9E3779B97F4A7C15 + self.n * 0xBF58476D1CE4E5B9 + h + self.seed * 0x94D049BB133111EB) % (1 << 64)
+        x = (x ^ (x >> 31)) * 0xD6E8FEB86659FD93 % (1 << 64)
+        return x >> 63
+
     def compress(self) -> None:
         if self.waiting:
             self.levels[0] = np.concatenate([self.levels[0], *self.waiting])
@@ -65,7 +72,7 @@ class Sketch:
                 passed = (~self.states[h] & (self.states[h] + 1)).bit_length()  # one and the trailing ones of the state
                 kept = width * sections + max(0, sections - passed) * width
                 rest = (len(items) - kept) & ~1
-                coin = (self.states[h] * 0x9E3779B97F4A7C15 + self.n * 0xBF58476D1CE4E5B9 + h) % (1 << 64) >> 63
+                coin = self._coin(h)
                 if h + 1 == len(self.levels):
                     self.levels.append(np.zeros(0))
                     self.states.append(0)
@@ -105,17 +112,18 @@ class Sketch:
 
     def to_bytes(self) -> bytes:
         self.compress()
-        head = [self.n, len(self.levels)]
+        head = [self.n, self.seed, len(self.levels)]
         for items, state, sections in zip(self.levels, self.states, self.sections):
             head += [len(items), state, sections]
         return np.array(head, np.int64).tobytes() + np.concatenate(self.levels).astype(np.float64).tobytes()
 
     @staticmethod
     def from_bytes(raw: bytes) -> Sketch:
-        out = Sketch()
-        out.n, levels = (int(x) for x in np.frombuffer(raw, np.int64, 2))
-        head = np.frombuffer(raw, np.int64, 3 * levels, 16).reshape(levels, 3)
-        at = 16 + 24 * levels
+        n, seed, levels = (int(x) for x in np.frombuffer(raw, np.int64, 3))
+        out = Sketch(seed)
+        out.n = n
+        head = np.frombuffer(raw, np.int64, 3 * levels, 24).reshape(levels, 3)
+        at = 24 + 24 * levels
         out.levels, out.states, out.sections = [], [], []
         for size, state, sections in head.tolist():
             out.levels.append(np.frombuffer(raw, np.float64, size, at))
@@ -136,7 +144,8 @@ def sketches(df: DataFrame, keys: list[str], value: str | Column) -> DataFrame:
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: dict[tuple, Sketch] = {}
-        salt, held, types = TaskContext.get().partitionId() % SALTS, 0, None
+        part = TaskContext.get().partitionId()
+        salt, held, types = part // FAN, 0, None
 
         def flush() -> pa.RecordBatch:
             columns = [pa.array([k[i] for k in own], t) for i, t in enumerate(types)]
@@ -160,7 +169,7 @@ def sketches(df: DataFrame, keys: list[str], value: str | Column) -> DataFrame:
             for group, a, b in zip(groups, starts, ends):
                 sketch = own.get(group)
                 if sketch is None:
-                    sketch = own[group] = Sketch()
+                    sketch = own[group] = Sketch(part)
                 sketch.update(values[order[a:b]])
             held += len(values)
             if held > HELD:  # what is really held, now and then
@@ -175,6 +184,19 @@ def sketches(df: DataFrame, keys: list[str], value: str | Column) -> DataFrame:
     return merged(merged(parts, [*keys, "_salt"]), keys)
 
 
+def described(df: DataFrame) -> DataFrame:
+    """Sketches with ``n`` (their values) and ``bytes``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw = batch.column(batch.num_columns - 1)
+            n = pa.array([int(np.frombuffer(x, np.int64, 1)[0]) for x in raw.to_pylist()], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, n, pc.binary_length(raw).cast(pa.int32())], names=[*batch.schema.names, "n", "bytes"])
+
+    keys = [c for c in df.columns if c != "sketch"]
+    return df.select(*keys, "sketch").mapInArrow(run, _schema(df, keys, "sketch binary, n bigint, bytes int"))
+
+
 def merged(df: DataFrame, keys: list[str]) -> DataFrame:
     """Sketches of finer groups merged to those of ``keys``, streaming through sorted partitions."""
     rows = df.select(*keys, "sketch")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lociflow.llm import bagminhash, bpe, components, iceberg, quantiles, redelivered, repeats, winnow
 from lociflow.session import table
+from lociflow.streaming.jobs import place
 
 
 def _inserts(spark, sf_dir):
@@ -27,6 +28,20 @@ def p2_percentiles(spark, sf_dir):
     return _fields(inserts, quantiles.grouped_percentiles(table(spark, sf_dir, "alignments"), ["file_id"], "mapq"))
 
 
+def p2_sketches(spark, sf_dir):
+    """The sketches of each file and day, as they are stored to be combined later."""
+    days = quantiles.sketches(_inserts(spark, sf_dir), ["file_id", "day"], "value")
+    return quantiles.described(days)
+
+
+def p2_combined(spark, sf_dir):
+    """Percentiles of each file from sketches of its days that were written and read back."""
+    at = place(spark, "sketches")
+    quantiles.sketches(_inserts(spark, sf_dir), ["file_id", "day"], "value").write.parquet(at)
+    stored = spark.read.parquet(at)
+    return quantiles.percentiles(quantiles.merged(stored, ["file_id"]), ["file_id"])
+
+
 def p2_daily(spark, sf_dir):
     return quantiles.grouped_percentiles(_inserts(spark, sf_dir), ["file_id", "day"], "value")
 
@@ -91,11 +106,12 @@ def p6_ids(spark, sf_dir):
 
 
 def p7_found(spark, sf_dir):
-    return p7_spans(spark, sf_dir).select("doc_id", "item_id")
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")
+    return winnow.holders(docs, "doc_id", "text", items, "item_id", "text")
 
 
 def p7_spans(spark, sf_dir):
-    """Each leaked item with the longest run seen around a fingerprint."""
+    """Each leaked item with its longest passage, where it begins on either side, and the number of passages."""
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")
     return winnow.leaks(docs, "doc_id", "text", items, "item_id", "text")
 
@@ -121,6 +137,8 @@ def p8_policies(spark, sf_dir):
 
 QUERIES = {
     "p2_percentiles": p2_percentiles,
+    "p2_sketches": p2_sketches,
+    "p2_combined": p2_combined,
     "p2_daily": p2_daily,
     "p2_audit": p2_audit,
     "p4_method": p4_method,

@@ -83,6 +83,35 @@ def test_frequent_items(spark, rows):
     assert rows(iceberg.frequent_items(spark.createDataFrame([("A",)] * 3 + [("C",)], "seq string"), iceberg.bases(), 0.25).select("value", "n")) == [("A", 3), ("C", 1)]
 
 
+def test_small_shares_size_the_buckets(spark, rows, monkeypatch):
+    assert iceberg.buckets_for(iceberg.Fraction("0.005")) == 1 << 14 and iceberg.buckets_for(iceberg.Fraction(1)) == 1 << 12
+    assert iceberg.buckets_for(iceberg.Fraction("0.00001")) >= 64 * 100_000
+    df = spark.range(3000).selectExpr("cast(if(id % 3 = 0, id % 7, id) as string) as seq")
+    want = rows(iceberg.frequent_items(df, iceberg.bases(), 0.01).select("value", "n"))
+    monkeypatch.setattr(iceberg, "LISTED", 10)
+    assert rows(iceberg.frequent_items(df, iceberg.bases(), 0.01).select("value", "n")) == want
+
+
+def test_stored_sketches_combine(spark):
+    df = spark.range(60_000).selectExpr("id % 3 as g", "id % 14 as day", "cast(pow(id % 997, 2) as double) as v").repartition(9)
+    days = quantiles.described(quantiles.sketches(df, ["g", "day"], "v"))
+    assert {r.n for r in days.collect()} <= set(range(1400, 1500)) and days.count() == 42
+    whole = {(r.g, r.percentile): r for r in quantiles.percentiles(quantiles.merged(days, ["g"]), ["g"]).collect()}
+    for g in range(3):
+        values = np.sort(np.array([float((i % 997) ** 2) for i in range(g, 60_000, 3)]))
+        for p in quantiles.PERCENTILES:
+            assert whole[g, p].n == len(values) and rank_ok(values, whole[g, p].value, p / 100)
+
+
+def test_equal_partitions_flip_apart():
+    values = np.arange(50_000.0)
+    parts = [quantiles.Sketch(i) for i in range(64)]
+    for s in parts:
+        s.update(values)
+        s.compress()
+    assert len({s.to_bytes() for s in parts}) > 32
+
+
 @pytest.mark.parametrize("weights", [[1.0, 2.0, 3.0, 5.0, 7.0, 40.0, 700.0], [0.25, 0.5, 1.5, 2.75, 3.1]])
 def test_signatures_estimate_weighted_jaccard(weights):
     rng = np.random.default_rng(4)

@@ -88,13 +88,41 @@ def test_winnowing_finds_every_shared_span(spark, rows, monkeypatch):
     runs = lambda w: {tuple(w[i : i + least]) for i in range(len(w) - least + 1)}
     truth = sorted({(d, i) for d, t in docs for i, s in items if runs(brute_words(t)) & runs(brute_words(s))}, key=repr)
     a = spark.createDataFrame(docs, "doc_id bigint, text string").selectExpr("*", "7 as fingerprint", "8 as _item")
-    b = spark.createDataFrame(items, "item_id bigint, text string").selectExpr("*", "7 as around")
-    found = winnow.leaks(a, "doc_id", "text", b, "item_id", "text")
-    assert rows(found.select("doc_id", "item_id")) == truth and len(truth) > 20
-    monkeypatch.setattr(winnow, "BROADCAST_ROWS", 0)
-    assert rows(winnow.leaks(a, "doc_id", "text", b, "item_id", "text").select("doc_id", "item_id")) == truth
-    assert rows(winnow.leaks(a.limit(0), "doc_id", "text", b, "item_id", "text")) == []
-    assert rows(winnow.leaks(a, "doc_id", "text", b.limit(0), "item_id", "text")) == []
+    b = spark.createDataFrame(items, "item_id bigint, text string").selectExpr("*", "7 as run", "8 as at")
+    assert rows(winnow.holders(a, "doc_id", "text", b, "item_id", "text")) == truth and len(truth) > 20
+    found = winnow.leaks(a, "doc_id", "text", b, "item_id", "text").collect()
+    assert sorted(((r.doc_id, r.item_id) for r in found), key=repr) == truth
+    texts, passages = {}, {i: brute_words(s) for i, s in items}
+    for d, t in docs:
+        texts.setdefault(d, []).append(brute_words(t))
+    for r in found:
+        spans = [s for w in texts[r.doc_id] for s in brute_spans(w, passages[r.item_id], least)]
+        best = min((-n, x, y) for n, x, y in spans)
+        assert (-r.longest, r.doc_from, r.item_from) == best and r.spans <= len(spans)
+    monkeypatch.setattr(winnow, "MOST_BITS", 10)  # a full bitmap loses nothing
+    assert rows(winnow.holders(a, "doc_id", "text", b, "item_id", "text")) == truth
+    for x, y in ((a.limit(0), b), (a, b.limit(0))):
+        assert rows(winnow.leaks(x, "doc_id", "text", y, "item_id", "text")) == [] == rows(winnow.holders(x, "doc_id", "text", y, "item_id", "text"))
+
+
+def brute_spans(a, b, least):
+    out = []
+    for x in range(len(a)):
+        for y in range(len(b)):
+            if a[x] == b[y] and (x == 0 or y == 0 or a[x - 1] != b[y - 1]):
+                n = 0
+                while x + n < len(a) and y + n < len(b) and a[x + n] == b[y + n]:
+                    n += 1
+                if n >= least:
+                    out.append((n, x, y))
+    return out
+
+
+def test_words_that_all_share_meet_in_no_join(spark):
+    common = " ".join(f"c{i}" for i in range(8))  # below the least passage
+    docs = spark.createDataFrame([(i, f"d{i} x{i} {common} y{i} z{i} v{i} u{i}") for i in range(300)], "doc_id bigint, text string")
+    items = spark.createDataFrame([(i, f"i{i} j{i} {common} k{i} l{i} m{i} n{i}") for i in range(200)], "item_id bigint, text string")
+    assert winnow.hits(docs, "doc_id", "text", items, "item_id", "text").count() == 0
 
 
 def brute_share(text, size=4):
