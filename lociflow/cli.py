@@ -11,12 +11,13 @@ import argparse
 import json
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lociflow.functions import keys, numeric, sequence
 from lociflow.operators import bases as B
 from lociflow.operators import genotype, intervals, kmers, mapper, markers, mixture, pairs, panel, selecting, summary
+from lociflow.session import cut
 from lociflow.sources import reads as RD
 from lociflow.sources import sinks, text
 
@@ -97,7 +98,8 @@ def run_index(spark: SparkSession, o: argparse.Namespace) -> None:
     reduced = spark.read.parquet(f"{o.out_prefix}/contigs")
     gc = markers.gc_window(reduced, "name", "seq").join(reduced.select("name", "chrom", "beg"), "name")
     gc.select("chrom", (F.col("beg") + F.col("at") - 1).alias("pos"), "gc").write.mode("overwrite").parquet(f"{o.out_prefix}/gc")
-    kmers.panel_keys(reduced, "seq").write.mode("overwrite").parquet(f"{o.out_prefix}/kmers")
+    alleles = kmers.both_alleles(reduced.join(chosen.select("name", "ref", "alt"), "name"), "name", "seq", "ref", "alt")
+    kmers.panel_keys(alleles.filter("not reverse"), "seq").write.mode("overwrite").parquet(f"{o.out_prefix}/kmers")
     if o.dbsnpVCF:
         known = text.vcf(text.lines(spark, o.dbsnpVCF)).withColumn("chrom", keys.chrom("chrom")).select("chrom", "pos")
         intervals.in_regions(known, windows).write.mode("overwrite").parquet(f"{o.out_prefix}/known")
@@ -137,13 +139,7 @@ def run_align(spark: SparkSession, o: argparse.Namespace) -> None:
         summary.file_totals(reads).write.mode("overwrite").parquet(f"{o.out_prefix}/file_totals")
         kept = kmers.filter_reads(reads, "read_id", "seq", spark.read.parquet(f"{o.index_prefix}/kmers"), o.kmer_thresh).filter("kept")
         use = reads.join(kept.select("read_id"), "read_id", "left_semi")
-        best = mapper.placed(mapper.hits(use.select(F.col("read_id").alias("key"), "seq"), contigs.select("name", "seq")))
-        use = use.drop("name")
-        own = best.join(use, best["key"] == use["read_id"]).join(contigs.select("name", "chrom", "beg", F.col("seq").alias("_ref")), "name")
-        turned = F.when(F.col("reverse"), sequence.reverse_complement("seq")).otherwise(F.col("seq"))
-        cigar = F.array(F.struct(F.length("seq").alias("len"), F.lit("M").alias("op")))
-        own = own.withColumn("_s", F.upper(turned)).withColumn("_p", F.substr("_ref", F.col("at") + 1, F.length("seq")))
-        placed = own.select("read_id", "chrom", (F.col("beg") + F.col("at")).alias("pos"), "mapq", cigar.alias("cigar"), markdown("_s", "_p").alias("md"), F.col("_s").alias("seq"), F.when(F.col("reverse"), F.reverse("qual")).otherwise(F.col("qual")).alias("qual"), F.col("reverse").alias("strand"), "file_id", "mate", "read_idx", F.col("name").alias("contig"))
+        placed = place_reads(use.drop("name"), contigs)
     placed.write.mode("overwrite").parquet(f"{o.out_prefix}/alignments")
     placed = spark.read.parquet(f"{o.out_prefix}/alignments")
     bases = intervals.in_regions(B.aligned_bases(placed), intervals.collapse(markers.flanks(marks)))
@@ -176,13 +172,44 @@ def run_align(spark: SparkSession, o: argparse.Namespace) -> None:
     sinks.save(sinks.tabbed(out["pileup"]), f"{o.out_prefix}/pileup.txt")
 
 
-def markdown(seq: str, ref: str) -> Column:
-    """The mismatch script of two strings of one length."""
-    pairs_of = F.zip_with(F.split(seq, ""), F.split(ref, ""), lambda s, r: F.when(s == r, "=").otherwise(r))
-    flat = F.array_join(F.filter(pairs_of, lambda x: x != ""), "")
-    parts = F.regexp_extract_all(flat, F.lit("(=+|[^=])"), 1)
-    runs = F.transform(parts, lambda p: F.when(p.startswith("="), F.length(p).cast("string")).otherwise(p))
-    return F.array_join(runs, "")
+def place_reads(reads: DataFrame, contigs: DataFrame) -> DataFrame:
+    """Alignments of reads on the contigs: whole reads by mismatches, the rest with gaps, then mates beside confident ones.
+
+    A read that fits nowhere with mismatches alone is placed with gaps if exactly one contig has its fewest edits. What is
+    then left is looked for by local alignment where its placed mate predicts it, and has the quality of LEAST_ANCHOR.
+    """
+    bare = reads.select(F.col("read_id").alias("key"), "seq")
+    targets = contigs.select("name", "seq")
+    best = mapper.placed(mapper.hits(bare, targets))
+    whole = best.join(bare.select("key", F.length("seq").alias("_n")), "key")
+    cigar = F.array(F.struct(F.col("_n").alias("len"), F.lit("M").alias("op")))
+    whole = whole.select("key", "name", "at", "reverse", "mapq", cigar.alias("cigar"))
+    rest = bare.join(whole.select("key"), "key", "left_anti").filter(F.length("seq") >= 2 * mapper.SEED)
+    gapped = mapper.gapped_hits(rest, targets)
+    each = gapped.groupBy("key", "edits").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("name", "at", "reverse", "cigar")).alias("p"))
+    first = each.groupBy("key").agg(F.min(F.struct("edits", "n", "p")).alias("b")).filter("b.n = 1")
+    gapped = first.select("key", "b.p.name", "b.p.at", "b.p.reverse", F.lit(25).alias("mapq"), "b.p.cigar")
+    found = cut(whole.unionByName(gapped))
+    ids = reads.select(F.col("read_id").alias("key"), "file_id", "read_idx", "mate", "seq")
+    sure = found.withColumn("stop", F.col("at") + sequence.reference_length("cigar")).join(ids.drop("seq"), "key")
+    one, two = (sure.filter(F.col("mate") == m).select("file_id", "read_idx", "name", "at", "stop", "reverse") for m in (1, 2))
+    size = F.greatest("stop", "stop_2") - F.least("at", "at_2")
+    both = one.join(two.withColumnsRenamed({"at": "at_2", "stop": "stop_2", "reverse": "reverse_2"}), ["file_id", "read_idx", "name"]).filter("reverse <> reverse_2")
+    usual, spread = both.agg(F.median(size), F.stddev_pop(size)).first()  # one row
+    missing = ids.join(found.select("key"), "key", "left_anti")
+    other = sure.drop("key").withColumn("mate", 3 - F.col("mate"))
+    anchors = missing.join(other, ["file_id", "read_idx", "mate"]).select("key", "name", "at", "stop", "reverse", "mapq", "seq")
+    beside = mapper.rescued(anchors, targets, int(usual or 250), max(10, int(spread or 50)))
+    beside = beside.select("key", "name", "at", "reverse", F.lit(mapper.LEAST_ANCHOR).alias("mapq"), "cigar")
+    own = cut(found.unionByName(beside)).join(reads.withColumnRenamed("read_id", "key"), "key").join(contigs.select("name", "chrom", "beg", F.col("seq").alias("_ref")), "name")
+    turned = F.upper(F.when(F.col("reverse"), sequence.reverse_complement("seq")).otherwise(F.col("seq")))
+    piece = F.substr("_ref", F.col("at") + 1, sequence.reference_length("cigar"))
+    own = cut(own.withColumn("seq", turned).withColumn("ref", F.upper(piece)).withColumnRenamed("key", "read_id").drop("_ref"))
+    scripts = B.mismatch_scripts(own)
+    qual = F.when(F.col("reverse"), F.reverse("qual")).otherwise(F.col("qual"))
+    return own.join(scripts, "read_id").select(
+        "read_id", "chrom", (F.col("beg") + F.col("at")).alias("pos"), "mapq", "cigar", "md", "seq", qual.alias("qual"), F.col("reverse").alias("strand"), "file_id", "mate", "read_idx", F.col("name").alias("contig")
+    )
 
 
 def _maybe(spark: SparkSession, path: str) -> DataFrame | None:

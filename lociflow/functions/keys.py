@@ -57,3 +57,11 @@ def unescaped(x: Column | str) -> Column:
     for short, full in (("\\t", "\t"), ("\\n", "\n"), ("\\r", "\r")):
         out = F.replace(out, F.lit(short), F.lit(full))
     return F.replace(out, F.lit(mark), F.lit("\\"))
+
+
+def natural(x: Column | str) -> Column:
+    """A sort key in which runs of digits count as numbers: each is led by its length without leading zeros."""
+    parts = F.regexp_extract_all(_col(x), F.lit("([0-9]+|[^0-9]+)"), 1)
+    bare = lambda p: F.regexp_replace(p, r"\A0+", "")
+    number = lambda p: F.concat(F.lpad(F.length(bare(p)).cast("string"), 9, "0"), bare(p))
+    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike(r"\A[0-9]"), number(p)).otherwise(p)), "")

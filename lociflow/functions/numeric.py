@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 import math
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -63,13 +65,30 @@ def single_end_mapq(best: Column, second: Column, differences: Column, most: Col
 def most_differences(length: int, error: float = 0.02, missed: float = 0.04) -> int:
     """The least k whose Poisson tail beyond k is below ``missed`` for a read of ``length``."""
     mean = error * length
-    term = total = math.exp(-mean)
-    for k in range(1, 1000):
-        term *= mean / k
-        total += term
-        if 1 - total < missed:
+    if mean <= 0:
+        return 1
+    log, total = -mean, math.exp(-mean)  # the log of a term, as the first ones vanish for long reads
+    for k in range(1, int(2 * mean) + 1000):
+        log += math.log(mean / k)
+        total += math.exp(log)
+        if k >= mean / 2 and 1 - total < missed:
             return k
-    return 2
+    raise ValueError("the limit does not settle")
+
+
+KNOWN_LENGTHS = 1024
+
+
+def difference_limit(length: Column) -> Column:
+    """``most_differences`` of a column of lengths: a table for reads of usual length, computed for each longer one."""
+    known = F.array(*[F.lit(most_differences(n)) for n in range(KNOWN_LENGTHS + 1)])
+    beyond = F.arrow_udf(lambda x: pa.array([None if n is None else _limit(n) for n in x.to_pylist()], pa.int32()), "int")
+    return F.when(length <= KNOWN_LENGTHS, F.element_at(known, length + 1)).otherwise(beyond(F.when(length > KNOWN_LENGTHS, length)))
+
+
+@functools.lru_cache(maxsize=100_000)
+def _limit(length: int) -> int:
+    return most_differences(length)
 
 
 def read_error(qualities: Column, first: int = 25) -> Column:

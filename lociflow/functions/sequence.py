@@ -130,6 +130,34 @@ def edit_distance_of(md: Column | str, cigar: Column | str) -> Column:
     return F.size(F.map_keys(md_mismatches(md))) + _sum_of(_col(cigar), "ID")
 
 
+def soft_clipped(cigar: Column | str, begin: int, end: int) -> Column:
+    """``cigar, shift``: at least so many read bases at either end turned into a soft clip, and how far the position moves.
+
+    Clips that are longer stay; hard clips are dropped; a deletion stays only between bases that do. A read without
+    a base left is one clip.
+    """
+    cigar = _col(cigar)
+    n = read_length(cigar)
+    low = F.greatest(F.lit(begin), clip_at(cigar, False))
+    high = n - F.greatest(F.lit(end), clip_at(cigar, True))
+
+    def left(b: Column) -> Column:
+        inside = F.greatest(F.lit(0), F.least(b["read_off"] + b["len"], high) - F.greatest(b["read_off"], low))
+        gap = F.when((b["read_off"] > low) & (b["read_off"] < high), b["len"]).otherwise(0)
+        return F.when(b["op"].isin("M", "I", "=", "X"), inside).when(b["op"].isin("D", "N"), gap).otherwise(0)
+
+    def place(b: Column) -> Column:
+        return b["ref_off"] + F.when(b["op"].isin("D", "N"), 0).otherwise(F.greatest(F.lit(0), low - b["read_off"]))
+
+    own = F.filter(F.transform(blocks(cigar), lambda b: F.struct(left(b).alias("len"), b["op"].alias("op"), place(b).alias("at"))), lambda x: x["len"] > 0)
+    clip = lambda size: F.array(F.struct(size.alias("len"), F.lit("S").alias("op")))
+    kept = F.transform(own, lambda x: F.struct(x["len"].alias("len"), x["op"].alias("op")))
+    on_reference = F.filter(own, lambda x: x["op"] != "I")
+    whole = F.filter(F.concat(clip(low), kept, clip(n - high)), lambda x: x["len"] > 0)
+    shift = F.coalesce(F.array_min(F.transform(on_reference, lambda x: x["at"])), F.lit(0))
+    return F.struct(F.when(low < high, whole).otherwise(clip(n)).alias("cigar"), shift.alias("shift"))
+
+
 def qualities(qual: Column | str, offset: int = 33) -> Column:
     """Phred values of a quality string."""
     chars = F.filter(F.split(_col(qual), ""), lambda c: c != "")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -70,6 +73,42 @@ def marker_bases(alignments: DataFrame, markers: DataFrame) -> DataFrame:
     return _lookup(hits.withColumns({"_i": F.col("_at") - F.col("_beg"), "_known": sequence.md_mismatches("md")}))
 
 
+def mismatch_scripts(rows: DataFrame) -> DataFrame:
+    """``read_id, md``: the MD text of reads ``read_id, seq, ref, cigar`` over the reference bases that their matches and deletions consume."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_scripts(*batch.columns[1:]), pa.string())], names=["read_id", "md"])
+
+    kind = rows.schema["read_id"].dataType.simpleString()
+    return rows.select("read_id", "seq", "ref", "cigar").mapInArrow(run, f"read_id {kind}, md string")
+
+
+def _scripts(seqs: pa.Array, refs: pa.Array, cigars: pa.Array) -> list[str | None]:
+    out = []
+    for seq, ref, cigar in zip(seqs.to_pylist(), refs.to_pylist(), cigars.to_pylist()):
+        if seq is None or ref is None or cigar is None:
+            out.append(None)
+            continue
+        text, run, read_at, ref_at = [], 0, 0, 0
+        for step in cigar:
+            op, n = step["op"], step["len"]
+            if op in "M=X":
+                for a, b in zip(seq[read_at : read_at + n], ref[ref_at : ref_at + n]):
+                    if a == b:
+                        run += 1
+                    else:
+                        text.append(f"{run}{b}")
+                        run = 0
+            elif op == "D":
+                text.append(f"{run}^{ref[ref_at : ref_at + n]}")
+                run = 0
+            read_at += n if op in "MIS=X" else 0
+            ref_at += n if op in "MD=X" else 0
+        out.append("".join(text) + str(run))
+    return out
+
+
 def depth(bases: DataFrame) -> DataFrame:
     """``chrom, pos, depth, q20, q30`` of every covered site."""
     return bases.groupBy("chrom", "pos").agg(

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import functools
+import itertools
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from lociflow.functions import numeric, sequence
 
@@ -35,8 +37,12 @@ def read_seeds(reads: DataFrame, size: int = SEED) -> DataFrame:
 
 
 def _hamming(a: pd.Series, b: pd.Series) -> pd.Series:
-    code = lambda s: np.frombuffer(s.encode("latin-1", "replace"), np.uint8)
-    return pd.Series([int((code(x) != code(y)).sum()) for x, y in zip(a, b)], dtype="int32")
+    """Places in which two texts of one length differ, all pairs of a batch at once."""
+    sizes = a.str.len().to_numpy(np.int64)
+    one, two = (np.frombuffer("".join(x).encode("latin-1", "replace"), np.uint8) for x in (a, b))
+    upto = np.r_[0, np.cumsum(one != two)]
+    ends = np.r_[0, np.cumsum(sizes)]
+    return pd.Series(np.diff(upto[ends]), dtype="int32")
 
 
 PIECES = ((2, 16, 23, 4, 4), (2, 24, 37, 6, 4), (3, 38, 63, 6, 5))  # limit, lengths from and to, bases of a piece, pieces; two of them stay whole
@@ -96,19 +102,16 @@ def hits(reads: DataFrame, contigs: DataFrame, size: int | None = None) -> DataF
 
 
 def limit(length):  # noqa: ANN001, ANN201
-    """Most differences of a read of this length; lengths beyond 1024 as 1024."""
-    known = [numeric.most_differences(n) for n in range(1025)]
-    return F.element_at(F.array(*map(F.lit, known)), F.least(length, F.lit(1024)) + 1)
+    """Most differences of a read of this length."""
+    return numeric.difference_limit(length)
 
 
 def placed(found: DataFrame) -> DataFrame:
     """One row per read: the best place (first by name, place and strand), ``c1``, ``c2`` and the mapping quality."""
-    counts = found.groupBy("key").agg(
-        F.min(F.struct("differences", "name", "at", "reverse")).alias("b"),
-        F.sort_array(F.collect_list("differences")).alias("_d"),
-    )
-    c1 = F.size(F.filter("_d", lambda d: d == F.col("b.differences")))
-    own = counts.select("key", "b.name", "b.at", "b.reverse", "b.differences", c1.alias("c1"), (F.size("_d") - c1).alias("c2"))
+    per_score = found.groupBy("key", "differences").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("name", "at", "reverse")).alias("p"))
+    counts = per_score.groupBy("key").agg(F.min(F.struct("differences", "n", "p")).alias("b"), F.sum("n").alias("all"))
+    c1 = F.col("b.n").cast("int")
+    own = counts.select("key", "b.p.name", "b.p.at", "b.p.reverse", "b.differences", c1.alias("c1"), (F.col("all") - F.col("b.n")).cast("int").alias("c2"))
     return own.withColumn("mapq", numeric.single_end_mapq(F.col("c1"), F.col("c2"), F.lit(0), F.lit(1)))
 
 
@@ -173,11 +176,169 @@ def local_alignment(a: str, b: str) -> tuple[int, int, int, int, int]:
     return score, i - p, i, j - q, j
 
 
-def _rescue(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-    rows = [local_alignment(x, y) if x and y else (0,) * 5 for x, y in zip(a, b)]
-    return pd.DataFrame(rows, columns=["score", "a_from", "a_to", "b_from", "b_to"]).astype("int32")
+def global_script(a: np.ndarray, b: np.ndarray) -> tuple[int, list[tuple[int, str]]]:
+    """Score and edit script of the best global alignment of a to b with affine gaps; I is in a only, D in b only.
+
+    Of equal scores a match is preferred to a gap, and a gap in b to one in a.
+    """
+    n, m = len(a), len(b)
+    low = -(10**9)
+    h = np.full((n + 1, m + 1), low)
+    up = np.full((n + 1, m + 1), low)  # ends with a base of a only
+    h[0] = np.r_[0, OPEN + EXTEND * np.arange(m)]
+    left = np.full((n + 1, m + 1), low)  # ends with a base of b only
+    left[0, 1:] = h[0, 1:]
+    step = EXTEND * np.arange(m + 1)
+    for i in range(1, n + 1):
+        up[i] = np.maximum(h[i - 1] + OPEN, up[i - 1] + EXTEND)
+        own = up[i].copy()
+        own[1:] = np.maximum(own[1:], h[i - 1, :-1] + np.where(b == a[i - 1], MATCH, MISMATCH))
+        left[i, 1:] = np.maximum.accumulate(own - step)[:-1] + step[1:] + OPEN - EXTEND
+        h[i] = np.maximum(own, left[i])
+    ops, i, j, state = [], n, m, "M"
+    while i or j:
+        if state == "M":
+            if i and j and h[i, j] == h[i - 1, j - 1] + (MATCH if a[i - 1] == b[j - 1] else MISMATCH):
+                ops.append("M")
+                i, j = i - 1, j - 1
+                continue
+            state = "D" if j and h[i, j] == left[i, j] else "I"
+        ops.append(state)
+        if state == "D":
+            opened = i == 0 and j == 1 or left[i, j] == h[i, j - 1] + OPEN
+            j -= 1
+        else:
+            opened = up[i, j] == h[i - 1, j] + OPEN
+            i -= 1
+        state = "M" if opened else state
+    return int(h[n, m]), [(len(list(g)), op) for op, g in itertools.groupby(reversed(ops))]
+
+
+def clipped_script(a: str, b: str) -> tuple[int, int, list[tuple[int, str]]]:
+    """Score, begin in b and edit script (with soft clips) of the best local alignment of a in b."""
+    score, a_from, a_to, b_from, b_to = local_alignment(a, b)
+    if not score:
+        return 0, 0, []
+    x, y = (np.frombuffer(s.encode("latin-1", "replace"), np.uint8) for s in (a[a_from:a_to], b[b_from:b_to]))
+    inner = global_script(x, y)[1]
+    script = [(a_from, "S"), *inner, (len(a) - a_to, "S")]
+    return score, b_from, [x for x in script if x[0]]
+
+
+LEAST_ANCHOR, LEAST_MATCH, MOST_UNKNOWN, WINDOW_SPREADS = 17, 20, 0.25, 3
 
 
-local_alignment_udf = F.pandas_udf(
-    _rescue, T.StructType([T.StructField(c, T.IntegerType()) for c in ("score", "a_from", "a_to", "b_from", "b_to")])
-)
+def rescued(anchors: DataFrame, contigs: DataFrame, usual: int, spread: int) -> DataFrame:
+    """Mates found by local alignment where the placement of the other mate predicts them.
+
+    ``anchors`` has ``key, name, at, stop, reverse, mapq`` of a placed mate and the bases ``seq`` of the other one. The
+    anchor must be confident (LEAST_ANCHOR; 255 is not), the mate have fewer unknown bases than MOST_UNKNOWN of it. The window
+    holds sizes within WINDOW_SPREADS of the usual one, cut at the contig's ends; the mate lies on the other strand.
+    Out come ``key, name, at, reverse, score, cigar`` of alignments with LEAST_MATCH matching bases or more; others have no row.
+    Rows with a null take part in nothing.
+    """
+    unknown = F.length(F.regexp_replace(F.upper("seq"), "[ACGT]", ""))
+    own = anchors.filter((F.col("mapq") >= LEAST_ANCHOR) & (F.col("mapq") < 255) & (unknown < MOST_UNKNOWN * F.length("seq")))
+    reach, near = usual + WINDOW_SPREADS * spread, usual - WINDOW_SPREADS * spread
+    n = F.length("seq")
+    low = F.when(F.col("reverse"), F.col("stop") - reach).otherwise(F.col("at") + near - n)
+    high = F.when(F.col("reverse"), F.col("stop") - near + n).otherwise(F.col("at") + reach)
+    both = own.join(contigs.select("name", F.upper("seq").alias("_c")), "name")
+    both = both.withColumns({"_low": F.greatest(low, F.lit(0)), "_high": F.least(high, F.length("_c"))}).filter("_low < _high")
+    turned = F.when(F.col("reverse"), F.upper("seq")).otherwise(sequence.reverse_complement(F.upper("seq")))
+    both = both.select("key", "name", (~F.col("reverse")).alias("reverse"), "_low", turned.alias("_q"), F.substr("_c", F.col("_low") + 1, F.col("_high") - F.col("_low")).alias("_w"))
+    kind = both.schema["key"].dataType.simpleString()
+    named = both.schema["name"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(i, *clipped_script(q, w)) for i, (q, w) in enumerate(zip(batch.column(4).to_pylist(), batch.column(5).to_pylist())) if q and w]
+            rows = [r for r in rows if sum(k for k, op in r[3] if op == "M") >= LEAST_MATCH]
+            at = pa.array([r[0] for r in rows], pa.int64())
+            low = batch.column(3).to_pylist()
+            cells = pa.list_(pa.struct([("len", pa.int32()), ("op", pa.string())]))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0).take(at),
+                    batch.column(1).take(at),
+                    pa.array([low[r[0]] + r[2] for r in rows], pa.int32()),
+                    batch.column(2).take(at),
+                    pa.array([r[1] for r in rows], pa.int32()),
+                    pa.array([[{"len": k, "op": op} for k, op in r[3]] for r in rows], cells),
+                ],
+                names=["key", "name", "at", "reverse", "score", "cigar"],
+            )
+
+    return both.mapInArrow(run, f"key {kind}, name {named}, at int, reverse boolean, score int, cigar array<struct<len:int,op:string>>")
+
+
+GAP_BASES = 5
+
+
+def gapped_hits(reads: DataFrame, contigs: DataFrame, size: int = SEED) -> DataFrame:
+    """``key, reverse, name, at, edits, cigar``: for each read and contig the best place of the whole read with gaps.
+
+    Edits (mismatches, inserted and deleted bases) are at most ``limit`` of the read, gap bases at most GAP_BASES on balance.
+    Candidates share a disjoint seed of ``size`` bases; on each (read, strand, contig) diagonals within GAP_BASES of each other are
+    one candidate. Reads are aligned whole to the contig's bases around it, with free ends on the contig's side. Meant for reads
+    that ``hits`` places nowhere.
+    """
+    seeds = _met(reads, contigs, size)
+    near = seeds.groupBy("key", "reverse", "name", F.floor(F.col("at") / (4 * GAP_BASES)).alias("_g")).agg(F.min("at").alias("_low"), F.max("at").alias("_high"))
+    read_of = reads.select("key", F.upper("seq").alias("_r")).dropDuplicates(["key"])
+    contig_of = contigs.select("name", F.upper("seq").alias("_c")).dropDuplicates(["name"])
+    both = near.join(read_of, "key").join(contig_of, "name")
+    begin = F.greatest(F.col("_low") - GAP_BASES, F.lit(0))
+    turned = F.when(F.col("reverse"), sequence.reverse_complement("_r")).otherwise(F.col("_r"))
+    window = F.substr("_c", begin + 1, F.col("_high") - begin + F.length("_r") + GAP_BASES)
+    both = both.select("key", "name", "reverse", begin.alias("_begin"), limit(F.length("_r")).alias("_most"), turned.alias("_q"), window.alias("_w"))
+    kinds = [both.schema[c].dataType.simpleString() for c in ("key", "name")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for i, (most, q, w) in enumerate(zip(*(batch.column(k).to_pylist() for k in (4, 5, 6)))):
+                found = fitted(q, w, most)
+                if found is not None:
+                    rows.append((i, *found))
+            at, begin = pa.array([r[0] for r in rows], pa.int64()), batch.column(3).to_pylist()
+            cells = pa.list_(pa.struct([("len", pa.int32()), ("op", pa.string())]))
+            script = pa.array([[{"len": k, "op": op} for k, op in r[3]] for r in rows], cells)
+            places = pa.array([begin[r[0]] + r[2] for r in rows], pa.int32())
+            edits = pa.array([r[1] for r in rows], pa.int32())
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(at) for k in (0, 1, 2)), places, edits, script], names=["key", "name", "reverse", "at", "edits", "cigar"])
+
+    aligned = both.mapInArrow(run, f"key {kinds[0]}, name {kinds[1]}, reverse boolean, at int, edits int, cigar array<struct<len:int,op:string>>")
+    best = aligned.groupBy("key", "reverse", "name").agg(F.min(F.struct("edits", "at", "cigar")).alias("b"))
+    return best.select("key", "reverse", "name", "b.at", "b.edits", "b.cigar")
+
+
+def fitted(q: str, w: str, most: int) -> tuple[int, int, list[tuple[int, str]]] | None:
+    """Edits, begin in w and script of the whole of q in w with at most ``most`` edits; None if there is no such place.
+
+    Of equal edits the first end counts, then matches before gaps.
+    """
+    x, y = (np.frombuffer(s.encode("latin-1", "replace"), np.uint8) for s in (q, w))
+    n, m = len(x), len(y)
+    table = np.zeros((n + 1, m + 1), np.int32)
+    line = np.arange(m + 1)
+    for i in range(1, n + 1):
+        own = table[i - 1] + 1
+        own[1:] = np.minimum(own[1:], table[i - 1, :-1] + (y != x[i - 1]))
+        own[0] = i
+        table[i] = np.minimum.accumulate(own - line) + line
+    j = int(table[n].argmin())
+    if table[n, j] > most:
+        return None
+    edits, i, ops = int(table[n, j]), n, []
+    while i:
+        if j and table[i, j] == table[i - 1, j - 1] + (x[i - 1] != y[j - 1]):
+            ops.append("M")
+            i, j = i - 1, j - 1
+        elif table[i, j] == table[i - 1, j] + 1:
+            ops.append("I")
+            i -= 1
+        else:
+            ops.append("D")
+            j -= 1
+    return edits, j, [(len(list(g)), op) for op, g in itertools.groupby(reversed(ops))]

@@ -34,7 +34,7 @@ def svd(spark, sf_dir):
     """``component, singular_value, share`` of the ten largest."""
     centred = P.row_means(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
     d, _ = P.truncated_svd(centred, "centred", 10)
-    total = float((d**2).sum()) or 1.0
+    total = centred.agg(F.sum(F.aggregate("centred", F.lit(0.0), lambda a, x: a + x * x))).first()[0] or 1.0  # of all components
     return spark.createDataFrame([(i + 1, float(x), float(x * x / total)) for i, x in enumerate(d)], "component int, singular_value double, share double")
 
 
@@ -123,13 +123,13 @@ def mixture_fit(spark, sf_dir):
 
 @R.query(
     "flt_p26_enough_markers",
-    f"with {_PANEL} select (select count(distinct marker_idx) from suff) as covered, (select count(*) from panel) as markers, (select count(distinct marker_idx) from suff) > 1000 as enough",
+    f"with {_PANEL} select (select count(distinct marker_idx) from suff) as covered, (select count(*) from panel) as markers, (select count(distinct marker_idx) from suff) > 20 and (select count(distinct marker_idx) from suff) > 0.1 * (select count(*) from panel) as enough",
 )
 def enough_markers(spark, sf_dir):
     counts, panel = counts_of(spark, sf_dir), panel_of(spark, sf_dir)
     covered = counts.agg(F.count_distinct("marker_idx").alias("covered"))
     row = covered.join(F.broadcast(panel.agg(F.count(F.lit(1)).alias("markers"))))
-    return row.withColumn("enough", F.lit(MX.enough_markers(counts, panel, 1000, 0.1)))
+    return row.withColumn("enough", F.lit(MX.enough_markers(counts, panel, 20, 0.1)))
 
 
 def contig_reads(spark, sf_dir):
@@ -139,14 +139,13 @@ def contig_reads(spark, sf_dir):
 
 
 _HITS = f"""{ALN}, ctg as (select upper(seq) as c, min(read_id) as name from aln where mapq >= 58 and mapq < 255 and length(seq) >= 16 group by seq), {READS},
-cs as (select name, i as place, substr(c, i::int + 1, 16) as seed from (select name, c, unnest(range(0, length(c) - 15)) as i from ctg)),
 rd as (select read_id as key, false as reverse, upper(seq) as r from reads where length(seq) >= 16 union all select read_id, true, translate(reverse(upper(seq)), 'ACGTacgt', 'TGCAtgca') from reads where length(seq) >= 16),
-rs as (select key, reverse, i as start, substr(r, i::int + 1, 16) as seed from (select key, reverse, r, unnest(range(0, length(r) - 15, 16)) as i from rd)),
-pl as (select distinct key, reverse, name, place - start as place from rs join cs using (seed) where place >= start),
-fit as (select pl.*, r, substr(c, place::int + 1, length(r)) as piece from pl join rd using (key, reverse) join ctg using (name) where place + length(r) <= length(c)),
 po as (with recursive l as (select unnest(range(16, 300)) as len), t as (select len, 0 as k, exp(-0.02 * len) as term, exp(-0.02 * len) as total from l
   union all select len, k + 1, term * 0.02 * len / (k + 1), total + term * 0.02 * len / (k + 1) from t where k < 60) select len, min(k) as most from t where k > 0 and 1 - total < 0.04 group by len),
-hits as (select key, reverse, name, place, hamming(r, piece) as differences from fit join po on po.len = length(r) where hamming(r, piece) <= most)"""
+un as (select distinct r, most from rd join po on po.len = length(r)),
+fit as (select r, most, name, c, unnest(range(0, length(c) - length(r) + 1)) as place from un join ctg on length(r) <= length(c)),
+at_ as (select r, name, place, hamming(r, substr(c, place::int + 1, length(r))) as differences from fit where hamming(r, substr(c, place::int + 1, length(r))) <= most),
+hits as (select key, reverse, name, place, differences from rd join at_ using (r))"""
 
 
 def _reads(spark, sf_dir):
@@ -154,8 +153,16 @@ def _reads(spark, sf_dir):
 
 
 def hits_of(spark, sf_dir):
-    """Hits by disjoint seeds only, as the SQL of both queries states them."""
-    return MP.hits(_reads(spark, sf_dir), contig_reads(spark, sf_dir), MP.SEED)
+    """Every place within the mismatch limit; the SQL compares each read with each place of each contig."""
+    return MP.hits(_reads(spark, sf_dir), contig_reads(spark, sf_dir))
+
+
+@R.query("join_j18_gapped_hits")
+def gapped_hits(spark, sf_dir):
+    """Of reads that fit nowhere with mismatches alone: the best place with gaps on each contig."""
+    found = hits_of(spark, sf_dir).select("key").distinct()
+    rest = _reads(spark, sf_dir).filter("length(seq) >= 32").join(found, "key", "left_anti")
+    return MP.gapped_hits(rest, contig_reads(spark, sf_dir)).select("key", "reverse", "name", F.col("at").alias("place"), "edits", sequence.render_cigar("cigar", F.lit("")).alias("cigar"))
 
 
 @R.query("join_j18_seed_hits", f"with {_HITS} select key, reverse, name, cast(place as int) as place, cast(differences as int) as differences from hits")
@@ -204,14 +211,41 @@ def proper_pairs(spark, sf_dir):
     )
 
 
-@R.query("join_j20_mate_rescue", f"with {READS}{_FRAG} select file_id, read_idx from fr")
+_ANCHOR = """, an as (select r.file_id, r.read_idx from reads r join aln a using (read_id) where r.mate = 1 and a.mapq >= 17 and a.mapq < 255),
+q as (select fr.*, m, translate(reverse(s2), 'ACGT', 'TGCA') as t from fr join an using (file_id, read_idx)),
+mu as (select *, substr(t, 1, m // 2) || translate(substr(t, m // 2 + 1, 1), 'ACGTN.', 'CGTAAA') || substr(t, m // 2 + 2) as u from q)"""
+
+
+def _anchors(spark, sf_dir, change):
+    """The first mates of confident reads, placed at the begin of their fragment, with the second mates as ``change`` alters them."""
+    sure = placed(spark, sf_dir).filter("mapq >= 17 and mapq < 255").select("read_id", "mapq")
+    first = read_table(spark, sf_dir).filter("mate = 1").join(sure, "read_id").select("file_id", "read_idx", "mapq")
+    own = fragments(spark, sf_dir).select("name.file_id", "name.read_idx", "s1", "s2", "seq").join(first, ["file_id", "read_idx"])
+    key = F.struct("file_id", "read_idx")
+    contigs = own.select(key.alias("name"), "seq")
+    turned = change(sequence.reverse_complement("s2"), F.length("s2"))
+    anchors = own.select(key.alias("key"), key.alias("name"), F.lit(0).alias("at"), F.length("s1").alias("stop"), F.lit(False).alias("reverse"), "mapq", sequence.reverse_complement(turned).alias("seq"))
+    return anchors, contigs
+
+
+@R.query("join_j20_mate_rescue", f"with {ALN}, {READS}{_FRAG}{_ANCHOR} select file_id, read_idx, cast(m - 4 as int) as score from mu where m >= 21 and m - length(regexp_replace(u, '[^ACGT]', '', 'g')) < 0.25 * m")
 def mate_rescue(spark, sf_dir):
-    """Pairs whose second mate is found in the fragment by local alignment at its own place."""
-    reads = read_table(spark, sf_dir).filter("length(seq) >= 16")
-    mate = reads.filter("mate = 2").select("file_id", "read_idx", sequence.reverse_complement(F.upper("seq")).alias("_q"))
-    own = fragments(spark, sf_dir).select("name.file_id", "name.read_idx", "seq").join(mate, ["file_id", "read_idx"])
-    own = own.withColumn("a", MP.local_alignment_udf("_q", "seq"))
-    return own.filter((F.col("a.score") == F.length("_q")) & (F.col("a.a_to") == F.length("_q"))).select("file_id", "read_idx")
+    """Second mates with one base changed, found in the predicted window beside their confident first mates."""
+    def change(t, n):
+        half = F.floor(n / 2).cast("int")
+        return F.concat(F.substr(t, F.lit(1), half), F.translate(F.substr(t, half + 1, F.lit(1)), "ACGTN.", "CGTAAA"), F.substr(t, half + 2, n))
+
+    anchors, contigs = _anchors(spark, sf_dir, change)
+    found = MP.rescued(anchors, contigs, 250, 150)
+    return found.select("key.file_id", "key.read_idx", "score")
+
+
+@R.query("join_j20_gapped_rescue")
+def gapped_rescue(spark, sf_dir):
+    """Second mates with two bases lost, found with a gap."""
+    anchors, contigs = _anchors(spark, sf_dir, lambda t, n: F.concat(F.substr(t, F.lit(1), F.floor(n / 2).cast("int")), F.substr(t, F.floor(n / 2).cast("int") + 3, n)))
+    found = MP.rescued(anchors, contigs, 250, 150)
+    return found.select("key.file_id", "key.read_idx", F.col("at").alias("place"), "reverse", "score", sequence.render_cigar("cigar", F.lit("")).alias("cigar"))
 
 
 @R.query("str_t01_micro_batches", "select event_type, count(*) as rows from events group by event_type")
@@ -221,7 +255,7 @@ def micro_batches(spark, sf_dir):
 
 @R.query("str_t02_distinct_keys", "select distinct rec_id from sam_records")
 def distinct_keys(spark, sf_dir):
-    return jobs.first_of_key(spark, f"{sf_dir}/sam_records.parquet", ["rec_id"], "recorded_at", "3650 days")
+    return jobs.first_of_key(spark, f"{sf_dir}/sam_records.parquet", ["rec_id"], "recorded_at", "30 days")
 
 
 @R.query("str_t03_mate_buffer", f"with {READS} select a.file_id, a.read_idx, a.read_id as read_id_1, b.read_id as read_id_2 from reads a join reads b on a.file_id = b.file_id and a.read_idx = b.read_idx and a.mate = 1 and b.mate = 2")
@@ -229,9 +263,20 @@ def mate_buffer(spark, sf_dir):
     return jobs.mate_stream(spark, f"{sf_dir}/fastq_reads.parquet")
 
 
-@R.query("str_t05_carried_stats", "select 0::bigint as batch, count(*) as n, round(avg(insert_size), 6) as used from sam_records where insert_size between 1 and 2000")
+_GOOD = "insert_size between 1 and 2000 and (day(recorded_at) % 3 <> 0 or file_id = 1)"
+
+
+@R.query(
+    "str_t05_carried_stats",
+    f"""with d as (select cast(recorded_at as date) as d, count(*) filter ({_GOOD}) as n, avg(insert_size) filter ({_GOOD}) as mean from sam_records where recorded_at is not null group by 1)
+    select row_number() over (order by d) - 1 as batch, n, round(last_value(case when n >= 40 then mean end ignore nulls) over (order by d rows between unbounded preceding and current row), 6) as used from d""",
+)
 def carried_stats(spark, sf_dir):
-    out = jobs.carried_stats(spark, f"{sf_dir}/sam_records.parquet", "insert_size", "insert_size between 1 and 2000", 100)
+    """A file a day, a file a batch: every third day has few good rows, so the statistics of the day before go on."""
+    rows, at = table(spark, sf_dir, "sam_records").filter("recorded_at is not null"), jobs.place(spark, "days")
+    for (day,) in rows.select(F.to_date("recorded_at").alias("d")).distinct().orderBy("d").collect():  # two weeks
+        rows.filter(F.to_date("recorded_at") == F.lit(day)).coalesce(1).write.mode("append").parquet(at)
+    out = jobs.carried_stats(spark, at, "insert_size", _GOOD, 40)
     return out.select("batch", "n", F.round("used", 6).alias("used"))
 
 

@@ -6,8 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lociflow.functions import keys, numeric, sequence
+from lociflow.operators import bases as B
 from lociflow.operators import kmers as K
-from lociflow.plans.domain import ALN, BASES, MARKERS, MISMATCHES, READS, marker_table, norm, placed, read_table
+from lociflow.plans.domain import ALN, BASES, BLOCKS, MARKERS, MISMATCHES, READS, marker_table, norm, placed, read_table
 from lociflow.plans.registry import Registry
 from lociflow.session import table
 
@@ -58,6 +59,21 @@ def reference_bases(spark, sf_dir):
     return own.select("read_id", sequence.reference_bases("seq", "md", "cigar").alias("ref"))
 
 
+@R.query(
+    "fn_f07_mismatch_script",
+    f"""with {BASES}, ev as (select b.read_id, b.pos - a.pos as off, 1 as w, ref_base as t from bases b join aln a using (read_id) where b.base <> b.ref_base union all
+      select m.read_id, m.off, length(m.x) - 1, m.x from mdo m join blk on blk.read_id = m.read_id and blk.op = 'D' and blk.ref_off = m.off where m.x[1] = '^'),
+    o as (select *, off - coalesce(lag(off + w) over (partition by read_id order by off), 0) as run from ev), n as (select read_id, max(ref_off + case when op in ('M', 'D', '=', 'X') then len else 0 end) as refl from blk group by 1),
+    g as (select read_id, string_agg(run || t, '' order by off) as t, max(off + w) as upto from o group by 1)
+    select a.read_id, coalesce(g.t, '') || cast(n.refl - coalesce(g.upto, 0) as bigint) as md from aln a join n using (read_id) left join g using (read_id) where md is not null""",
+)
+def mismatch_script(spark, sf_dir):
+    """The MD text written anew from the read, the reference bases under it and the edit script."""
+    own = placed(spark, sf_dir).filter("cigar is not null and pos is not null and seq is not null and chrom is not null and md is not null")
+    with_ref = own.select("read_id", "seq", "cigar", sequence.reference_bases("seq", "md", "cigar").alias("ref"))
+    return B.mismatch_scripts(with_ref)
+
+
 @R.query(
     "fn_f07_edit_distance",
     f"with {ALN}, {MISMATCHES}, n as (select read_id, count(*) as n from mm group by 1) select a.read_id, cast(coalesce(n.n, 0) + list_sum(list_transform(cigar, lambda c: case when c.op in ('I', 'D') then c.len else 0 end)) as int) as nm from aln a left join n using (read_id) where cigar is not null and md is not null",
@@ -91,13 +107,18 @@ def basename(spark, sf_dir):
     return table(spark, sf_dir, "fastq_list").select("file_id", keys.basename("path1").alias("base"))
 
 
-_FIXTURE = [("a", "..,A+2AG.^F,$", "c", "CCCACC"), ("b", "-3acgT,.", "g", "TGG"), ("c", "", "a", ""), ("d", "^I.+12ACGTACGTACGTA", "t", "TA"), ("e", "*$$..", "N", "*NN")]
+_PILED = """piled as (select read_id, case when strand then ',' else '.' end as same, upper(seq) as s, mapq, length(seq) as n from aln where length(seq) > 0)"""
 
 
-@R.query("fn_f13_pileup_cleanup", "select * from (values " + ", ".join(f"('{k}', '{w}')" for k, _, _, w in _FIXTURE) + ") t(id, bases)")
+@R.query("fn_f13_pileup_cleanup", f"with {ALN}, {_PILED} select read_id, substr(s, 1, 5) || 'GGG' || substr(s, 6) as bases from piled")
 def pileup_cleanup(spark, sf_dir):
-    rows = spark.createDataFrame([x[:3] for x in _FIXTURE], "id string, text string, ref string")
-    return rows.select("id", sequence.pileup_cleanup("text", "ref").alias("bases"))
+    """Pileup texts of all alignments: a read start with its quality, bases, the reference marks, indels of one and two digits, an end."""
+    own = placed(spark, sf_dir).filter("length(seq) > 0")
+    up, mark = F.upper("seq"), F.when(F.col("strand"), ",").otherwise(".")
+    quality = F.char(F.least(F.coalesce("mapq", F.lit(0)), F.lit(93)) + 33)
+    rest = lambda n: F.substr(up, F.lit(n), F.length("seq"))
+    text = F.concat(F.lit("^"), quality, F.substr(up, F.lit(1), F.lit(5)), F.lit("+2AC"), F.repeat(mark, F.lit(3)), F.lit("-12ACGTNacgtnAC"), rest(6), F.lit("$"))
+    return own.select("read_id", sequence.pileup_cleanup(text, F.lit("g")).alias("bases"))
 
 
 @R.query("fn_f14_unescape", r"select line_id, replace(raw_line, '\t', chr(9)) as line from read_lines where raw_line is not null")
@@ -119,6 +140,23 @@ def clip_ends(spark, sf_dir):
     return placed(spark, sf_dir).filter("cigar is not null").select("read_id", sequence.clip_at("cigar", False).alias("clip_begin"), sequence.clip_at("cigar", True).alias("clip_end"))
 
 
+_CLIP = """c as (select read_id, k, op, len, read_off, ref_off, n, greatest(5, cb) as lo, n - greatest(7, ce) as hi from blk join
+  (select read_id, length(seq) as n, case when cigar[1].op = 'S' then cigar[1].len else 0 end as cb, case when len(cigar) > 1 and cigar[-1].op = 'S' then cigar[-1].len else 0 end as ce from aln) using (read_id)),
+k as (select *, case when op in ('M', 'I', '=', 'X') then greatest(0, least(read_off + len, hi) - greatest(read_off, lo)) when op in ('D', 'N') and read_off > lo and read_off < hi then len else 0 end as left_ from c)"""
+
+
+@R.query(
+    "fn_f16_soft_clip",
+    f"""with {ALN}, {BLOCKS}, {_CLIP} select read_id, case when any_value(lo) < any_value(hi) then any_value(lo) || 'S' || string_agg(left_ || op, '' order by k) filter (left_ > 0) || (any_value(n) - any_value(hi)) || 'S' else any_value(n) || 'S' end as cigar,
+    cast(coalesce(min(case when left_ > 0 and op in ('M', '=', 'X', 'D', 'N') then ref_off + case when op in ('D', 'N') then 0 else greatest(0, lo - read_off) end end), 0) as int) as shift from k group by read_id""",
+)
+def soft_clip(spark, sf_dir):
+    """Five bases clipped from the begin and seven from the end of every placed read."""
+    own = placed(spark, sf_dir).filter("pos is not null and cigar is not null and seq is not null and chrom is not null")
+    clipped = own.select("read_id", "seq", sequence.soft_clipped("cigar", 5, 7).alias("c"))
+    return clipped.select("read_id", sequence.render_cigar("c.cigar", "seq").alias("cigar"), "c.shift")
+
+
 @R.query("fn_f17_day_text", "select distinct rec_id, strftime(recorded_at, '%Y%m%d') as day from sam_records")
 def day_text(spark, sf_dir):
     return table(spark, sf_dir, "sam_records").select("rec_id", F.date_format("recorded_at", "yyyyMMdd").alias("day")).distinct()
@@ -162,9 +200,7 @@ _POISSON = """with recursive l as (select distinct length(seq) as len from fastq
 @R.query("fn_f23_most_differences", _POISSON)
 def most_differences(spark, sf_dir):
     lengths = table(spark, sf_dir, "fastq_reads").filter("seq is not null").select(F.length("seq").alias("len")).distinct()
-    known = {n: numeric.most_differences(n) for n in range(0, 1025)}
-    table_of = F.create_map(*[x for n, k in known.items() for x in (F.lit(n), F.lit(k))])
-    return lengths.select("len", F.try_element_at(table_of, F.least("len", F.lit(1024))).alias("most"))
+    return lengths.select("len", numeric.difference_limit(F.col("len")).alias("most"))
 
 
 @R.query("fn_f24_single_end_mapq", f"with {ALN} select read_id, cast(case when c1 = 0 then 23 when c1 > 1 then 0 when score = 12 then 25 when c2 = 0 then 37 else greatest(0, 23 - cast(floor(4.343 * ln(least(c2, 255)) + 0.5) as int)) end as int) as q from aln where score is not null")
@@ -236,3 +272,8 @@ def genomic_order(spark, sf_dir):
     number = F.coalesce(F.col("chrom").try_cast("int"), F.when(F.col("chrom") == "X", 23).when(F.col("chrom") == "Y", 24).otherwise(25))
     return marker_table(spark, sf_dir).select("name", (number.cast("bigint") * 1_000_000_000 + F.col("pos")).alias("place"))
 
+
+@R.query("fn_f34_numeric_aware_order", r"""select line_id, list_aggregate(list_transform(regexp_extract_all(raw_line, '[0-9]+|[^0-9]+'), lambda x: case when x[1] between '0' and '9' then lpad(cast(length(ltrim(x, '0')) as varchar), 9, '0') || ltrim(x, '0') else x end), 'string_agg', '') as place from read_lines where length(raw_line) > 0""")
+def numeric_aware_order(spark, sf_dir):
+    """A sort key of texts in which runs of digits count as numbers."""
+    return table(spark, sf_dir, "read_lines").filter("length(raw_line) > 0").select("line_id", keys.natural("raw_line").alias("place"))

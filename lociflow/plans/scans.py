@@ -243,6 +243,36 @@ def _sam_lines(spark, sf_dir):
     return K.sam_lines(own, sequence.render_cigar("cigar", "seq"), K.placement_tags())
 
 
+_INDEX = f"""{ALN}, {MARKERS}, panel as (select distinct upper(seq) as p from aln where mapq >= 55 and mapq < 255 and seq is not null), both_ as (select p from panel union select translate(reverse(p), 'ACGT', 'TGCA') from panel),
+pk as (select distinct kmer from (select substr(p, i::int, 32) as kmer from (select p, unnest(range(1, length(p) - 30)) as i from both_ where length(p) >= 32)) where regexp_full_match(kmer, '[ACGT]+')),
+h as (select distinct unnest(range(6)) as mask, unnest([substr(kmer, 1, 16), substr(kmer, 17, 16), substr(kmer, 1, 8) || substr(kmer, 25, 8), substr(kmer, 9, 16), substr(kmer, 1, 8) || substr(kmer, 17, 8), substr(kmer, 9, 8) || substr(kmer, 25, 8)]) as key from pk)"""
+
+
+@R.query(
+    "snk_k06_index_tables",
+    f"with {_INDEX} select 'kmers' as part, count(*) as n from h union all select 'markers', count(*) from markers union all select 'contigs', count(*) from panel union all select 'param:flank', 250 union all select 'param:flank_long', 1000",
+)
+def index_tables(spark, sf_dir):
+    """The tables of an index, written and read back: keys of the panel, markers, sequences, parameters as JSON."""
+    at = place(spark, "index")
+    sure = placed(spark, sf_dir).filter("mapq >= 55 and mapq < 255")
+    sequences = sure.filter("seq is not null").groupBy(F.upper("seq").alias("seq")).agg(F.min("read_id").alias("name"))
+    K.save_index(at, kmers.panel_keys(sure, "seq"), marker_table(spark, sf_dir), sequences, {"flank": 250, "flank_long": 1000})
+    parts = [spark.read.parquet(f"{at}/{n}").agg(F.count(F.lit(1)).alias("n")).select(F.lit(n).alias("part"), "n") for n in ("kmers", "markers", "contigs")]
+    params = spark.read.json(f"{at}/params").select(F.concat(F.lit("param:"), F.col("name")).alias("part"), F.col("value").cast("bigint").alias("n"))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(params)
+
+
+@R.query("src_s18_indexed_lines", f"with {MARKERS}, w as (select name, chrom, pos - flank as beg, pos + flank as \"end\" from markers), l as (select read_id, {norm('chrom')} as chrom, pos from (select distinct on (read_id) * from alignments order by read_id) where pos > 0) select w.name, count(*) as lines from w join l on l.chrom = w.chrom and l.pos between w.beg and w.\"end\" group by 1")
+def indexed_lines(spark, sf_dir):
+    """Lines of a text sorted by position, found by regions through its index of bins."""
+    own = placed(spark, sf_dir).filter("pos > 0").select(keys.chrom("chrom").alias("chrom"), "pos", F.col("read_id").cast("string").alias("rest"))
+    at = place(spark, "lines")
+    TX.save_indexed(own.select("chrom", "pos", F.concat_ws("\t", "chrom", F.col("pos").cast("string"), "rest").alias("value")), at)
+    windows = marker_table(spark, sf_dir).select("name", "chrom", (F.col("pos") - F.col("flank")).alias("beg"), (F.col("pos") + F.col("flank")).alias("end"))
+    return TX.indexed_lines(spark, at, windows).groupBy("name").agg(F.count(F.lit(1)).alias("lines"))
+
+
 @R.query("snk_k07_sam_records", f"{_SAM} select value from sam")
 def sam_text(spark, sf_dir):
     """Whole SAM lines with the tags of a placement."""

@@ -98,3 +98,11 @@ def save(df: DataFrame, path: str, single: bool = False, header: list[str] | Non
         first = df.sparkSession.createDataFrame([(h,) for h in header], "value string").coalesce(1)
         df = first.union(df)
     (df.coalesce(1) if single else df).write.mode("overwrite").text(path)
+
+
+def save_index(path: str, kmers: DataFrame, markers: DataFrame, contigs: DataFrame, params: dict[str, int | str]) -> None:
+    """The tables of an index as Parquet and its parameters as JSON, one a line."""
+    for name, df in (("kmers", kmers), ("markers", markers), ("contigs", contigs)):
+        df.write.mode("overwrite").parquet(f"{path}/{name}")
+    rows = [(name, str(value)) for name, value in params.items()]
+    kmers.sparkSession.createDataFrame(rows, "name string, value string").coalesce(1).write.mode("overwrite").json(f"{path}/params")

@@ -191,3 +191,29 @@ def sam(df: DataFrame) -> DataFrame:
         F.nullif(cell(10), F.lit("*")).alias("qual"),
         F.map_from_entries(F.transform(F.slice("_c", 12, 1 << 20), tag)).alias("tags"),
     )
+
+
+INDEX_BIN = 16_384
+INDEX_GROUPS = 64
+
+
+def save_indexed(lines: DataFrame, path: str) -> None:
+    """Text lines ``chrom, pos, value`` in an order by place, in folders of a hash of (chrom, bin): the folder is the index."""
+    bins = F.floor(F.col("pos") / INDEX_BIN).cast("bigint")
+    group = F.pmod(F.xxhash64("chrom", bins), F.lit(INDEX_GROUPS)).cast("int")
+    rows = lines.select("chrom", "pos", "value", group.alias("group"))
+    rows.repartitionByRange("group", "chrom", "pos").sortWithinPartitions("group", "chrom", "pos").select("value", "group").write.partitionBy("group").text(path)
+
+
+def indexed_lines(spark: SparkSession, path: str, regions: DataFrame) -> DataFrame:
+    """Region columns with ``pos`` and ``value`` of the lines in each region ``chrom, beg, end`` (closed).
+
+    Regions are listed by the bins they touch; only folders that a region asks for are read (dynamic pruning).
+    """
+    to_bin = lambda x: F.floor(x / INDEX_BIN).cast("bigint")
+    asked = regions.withColumn("_bin", F.explode(F.sequence(to_bin(F.col("beg")), to_bin(F.col("end")))))
+    asked = asked.withColumn("group", F.pmod(F.xxhash64("chrom", "_bin"), F.lit(INDEX_GROUPS)).cast("int"))
+    cells = F.split("value", "\t")
+    rows = spark.read.schema("value string, group int").text(path).select("group", "value", cells.getItem(0).alias("chrom"), cells.getItem(1).cast("int").alias("pos"))
+    rows = rows.withColumn("_bin", to_bin(F.col("pos")))
+    return rows.join(asked, ["group", "chrom", "_bin"]).filter("pos between beg and end").drop("group", "_bin")

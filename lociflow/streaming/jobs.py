@@ -8,10 +8,12 @@ lets it go on after a failure.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lociflow.session import ensure_checkpoint_dir
 
@@ -39,9 +41,12 @@ def appended(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(f"{at}/rows")
 
 
-def each_batch(df: DataFrame, name: str, step: Callable[[DataFrame, int, str], None], mode: str = "append") -> str:
-    """Run ``step(batch, number, folder)`` for every micro-batch; a repeated batch must write the same place."""
-    at = place(df.sparkSession, name)
+def each_batch(df: DataFrame, name: str, step: Callable[[DataFrame, int, str], None], mode: str = "append", to: str | None = None) -> str:
+    """Run ``step(batch, number, folder)`` for every micro-batch; a repeated batch must write the same place.
+
+    With the folder ``to`` of a job that stopped, it goes on behind the last batch that was done.
+    """
+    at = to or place(df.sparkSession, name)
     query = df.writeStream.foreachBatch(lambda batch, n: step(batch, n, at)).option("checkpointLocation", f"{at}/state")
     query.outputMode(mode).trigger(availableNow=True).start().awaitTermination()
     return at
@@ -63,16 +68,36 @@ def first_of_key(spark: SparkSession, path: str, keys: list[str], time: str, del
     return appended(rows.dropDuplicatesWithinWatermark(keys).select(*keys), "distinct")
 
 
-def mate_stream(spark: SparkSession, path: str, delay: str = "3650 days") -> DataFrame:
-    """``file_id, read_idx, read_id_1, read_id_2``: mates joined as they arrive, each buffered for ``delay``."""
-    side = lambda n: (
-        stream(spark, path)
-        .filter(F.col("mate") == n)
-        .select("file_id", "read_idx", F.col("read_id").alias(f"read_id_{n}"), F.col("run_at").cast("timestamp").alias(f"t{n}"))
-        .withWatermark(f"t{n}", delay)
-    )
-    both = side(1).join(side(2), ["file_id", "read_idx"]).select("file_id", "read_idx", "read_id_1", "read_id_2")
-    return appended(both, "mates").distinct()
+MATES = "file_id bigint, read_idx bigint, read_id_1 bigint, read_id_2 bigint"
+
+
+def mate_stream(spark: SparkSession, path: str, delay: str = "30 days") -> DataFrame:
+    """``file_id, read_idx, read_id_1, read_id_2``: mates joined as they arrive, a buffer that is read once.
+
+    The first mate to come is kept until the other does, or until rows are ``delay`` newer than it; a pair comes
+    once, however often its mates are delivered before it is dropped.
+    """
+
+    def meet(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        one, two, done = state.get if state.exists else (None, None, False)
+        newest = 0
+        for part in parts:
+            for mate, read in zip(part["mate"], part["read_id"]):
+                one, two = (int(read), two) if mate == 1 and one is None else (one, int(read)) if mate == 2 and two is None else (one, two)
+            newest = max(newest, int(part["at"].max().timestamp() * 1000))
+        if not done and one is not None and two is not None:
+            done = True
+            yield pd.DataFrame([(*key, one, two)], columns=["file_id", "read_idx", "read_id_1", "read_id_2"])
+        state.update((one, two, done))
+        state.setTimeoutTimestamp(max(newest, state.getCurrentWatermarkMs()) + keep)
+
+    keep = int(spark.sql(f"select cast(interval {delay} as interval second)").first()[0].total_seconds() * 1000)
+    rows = stream(spark, path).filter("mate in (1, 2)").select("file_id", "read_idx", "read_id", "mate", F.col("run_at").cast("timestamp").alias("at"))
+    buffered = rows.withWatermark("at", delay).groupBy("file_id", "read_idx")
+    return appended(buffered.applyInPandasWithState(meet, MATES, "one bigint, two bigint, done boolean", "append", GroupStateTimeout.EventTimeTimeout), "mates")
 
 
 def carried_stats(spark: SparkSession, path: str, value: str, good: str, least: int) -> DataFrame:
