@@ -234,7 +234,7 @@ def rescued(anchors: DataFrame, contigs: DataFrame, usual: int, spread: int) ->
     ``anchors`` has ``key, name, at, stop, reverse, mapq`` of a placed mate and the bases ``seq`` of the other one. The
     anchor must be confident (LEAST_ANCHOR; 255 is not), the mate have fewer unknown bases than MOST_UNKNOWN of it. The window
     holds sizes within WINDOW_SPREADS of the usual one, cut at the contig's ends; the mate lies on the other strand.
-    Out come ``key, name, at, reverse, score, cigar`` of alignments with LEAST_MATCH matching bases or more; others have no row.
+    Out come ``key, name, at, reverse, score, cigar`` of alignments with LEAST_MATCH aligned bases or more; others have no row.
     Rows with a null take part in nothing.
     """
     unknown = F.length(F.regexp_replace(F.upper("seq"), "[ACGT]", ""))

@@ -161,8 +161,12 @@ def consecutive_duplicates(markers: DataFrame) -> DataFrame:
 
 
 def mismatch_share(bases: DataFrame, least_quality: int = 0) -> DataFrame:
-    """``read_id, bases, mismatches, quality_sum``: mismatches of each read and the summed quality under them."""
-    differs = (F.col("base") != F.col("ref_base")) & (F.col("base") != "N") & (F.col("qual") >= least_quality)
+    """``read_id, bases, mismatches, quality_sum``: mismatches of each read and the summed quality under them.
+
+    A column ``mismatch`` says which bases are; without one those that differ from a reference base and are known.
+    """
+    own = F.col("mismatch") if "mismatch" in bases.columns else (F.col("base") != F.col("ref_base")) & (F.col("base") != "N")
+    differs = own & (F.col("qual") >= least_quality)
     return bases.groupBy("read_id").agg(
         F.count(F.lit(1)).alias("bases"),
         F.count_if(differs).alias("mismatches"),

@@ -228,7 +228,7 @@ def _anchors(spark, sf_dir, change):
     return anchors, contigs
 
 
-@R.query("join_j20_mate_rescue", f"with {ALN}, {READS}{_FRAG}{_ANCHOR} select file_id, read_idx, cast(m - 4 as int) as score from mu where m >= 21 and m - length(regexp_replace(u, '[^ACGT]', '', 'g')) < 0.25 * m")
+@R.query("join_j20_mate_rescue", f"with {ALN}, {READS}{_FRAG}{_ANCHOR} select file_id, read_idx, cast(m - 4 as int) as score from mu where m >= 20 and m - length(regexp_replace(u, '[^ACGT]', '', 'g')) < 0.25 * m")
 def mate_rescue(spark, sf_dir):
     """Second mates with one base changed, found in the predicted window beside their confident first mates."""
     def change(t, n):
