@@ -15,6 +15,8 @@ from lociflow.session import cut
 SIZE = 32
 OFFSETS = (0, 32, 64)
 MOST_BITS = 27
+IN_SCAN = 1 << 25
+BLOBS = "part int, keys binary"
 #: Each of the six masks keeps two of the four blocks of eight bases.
 MASKS = ((0, 1), (2, 3), (0, 3), (1, 2), (0, 2), (1, 3))
 #: A, C, G and T are 0 to 3, any other character is 4.
@@ -81,24 +83,71 @@ def _masked(word: np.ndarray) -> list[np.ndarray]:
     return [((block[a] << np.uint64(16)) | block[b]).astype(np.int64) for a, b in MASKS]
 
 
-def panel_keys(panel: DataFrame, seq: str) -> DataFrame:
-    """Distinct ``mask, key`` of all 32-mers of the panel on both strands; k-mers with unknown bases are left out.
+def _parts(keys: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
+    """Distinct keys with their mask, cut into parts by a hash: a row of bytes for each part that has some."""
+    keys = np.unique(keys)
+    with np.errstate(over="ignore"):
+        part = ((keys + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % np.uint64(parts)
+    order = np.argsort(part, kind="stable")
+    ends = np.r_[0, np.cumsum(np.bincount(part.astype(np.int64), minlength=parts))]
+    held = [p for p in range(parts) if ends[p + 1] > ends[p]]
+    blobs = [keys[order[ends[p] : ends[p + 1]]].tobytes() for p in held]
+    yield pa.RecordBatch.from_arrays([pa.array(held, pa.int32()), pa.array(blobs, pa.binary())], names=["part", "keys"])
+
+
+def panel_table(panel: DataFrame, seq: str | None = None) -> DataFrame:
+    """``part, keys``: the distinct keys of a panel as sorted arrays of 64 bits (mask, then key), in disjoint parts.
 
-    Words are built by shifts over Arrow batches; each batch sends distinct keys only.
+    Of sequences the keys of all 32-mers on both strands, those with unknown bases left out; of a table
+    ``mask, key`` (no ``seq``) its keys. Keys travel as arrays, a few for each task, and never as rows.
     """
+    parts = int(panel.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def of_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             word, _, _, known = _words([s for x in batch.columns for s in x.to_pylist()])
-            keys = [np.unique(k) for k in _masked(word[known])]
-            masks = np.repeat(np.arange(len(MASKS), dtype=np.int8), [len(k) for k in keys])
-            yield pa.RecordBatch.from_arrays([pa.array(masks), pa.array(np.concatenate(keys))], names=["mask", "key"])
+            yield from _parts(np.concatenate([np.unique(k).view(np.uint64) | np.uint64(m << 32) for m, k in enumerate(_masked(word[known]))]), parts)
+
+    def of_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            mask, key = (batch.column(i).to_numpy().astype(np.uint64) for i in range(2))
+            yield from _parts(mask << np.uint64(32) | key, parts)
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[bytes]] = {}
+        for batch in batches:
+            for part, raw in zip(*(c.to_pylist() for c in batch.columns)):
+                held.setdefault(part, []).append(raw)
+        for part, raw in held.items():
+            keys = np.unique(np.frombuffer(b"".join(raw), np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([keys.tobytes()], pa.binary())], names=["part", "keys"])
+
+    if seq is None:
+        rows = panel.select("mask", "key").mapInArrow(of_rows, BLOBS)
+    else:
+        upper = panel.select(F.upper(F.col(seq)).alias("_p")).filter("_p is not null").distinct().repartition(parts, F.xxhash64("_p"))
+        rows = upper.select("_p", sequence.reverse_complement("_p").alias("_q")).mapInArrow(of_words, BLOBS)
+    return rows.repartition(parts, "part").mapInArrow(whole, BLOBS)
+
+
+def panel_keys(panel: DataFrame, seq: str) -> DataFrame:
+    """Distinct ``mask, key`` of all 32-mers of the panel on both strands; k-mers with unknown bases are left out."""
+    return key_rows(panel_table(panel, seq))
 
-    # a row makes some thousand keys: as many tasks as any shuffle of this session has, however few bytes the rows take
-    parts = int(panel.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    upper = panel.select(F.upper(F.col(seq)).alias("_p")).filter("_p is not null").distinct().repartition(parts, F.xxhash64("_p"))
-    both = upper.select("_p", sequence.reverse_complement("_p").alias("_q"))
-    return both.mapInArrow(run, "mask tinyint, key bigint").distinct()
+
+def key_rows(table: DataFrame) -> DataFrame:
+    """``mask, key`` of a table of parts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for raw in batch.column(0).to_pylist():
+                keys = np.frombuffer(raw, np.uint64)
+                for a in range(0, len(keys), 1 << 16):
+                    own = keys[a : a + (1 << 16)]
+                    columns = [pa.array((own >> np.uint64(32)).astype(np.int8)), pa.array((own & np.uint64(0xFFFFFFFF)).view(np.int64))]
+                    yield pa.RecordBatch.from_arrays(columns, names=["mask", "key"])
+
+    return table.select("keys").mapInArrow(run, "mask tinyint, key bigint")
 
 
 def _slot(mask: np.ndarray | int, key: np.ndarray, bits: int) -> np.ndarray:
@@ -158,18 +207,45 @@ def read_keys(reads: DataFrame, key: str, seq: str, panel: DataFrame | None = No
 
 
 def hits(reads: DataFrame, key: str, seq: str, panel: DataFrame) -> DataFrame:
-    """``_id, chunk, n``: the keys of each 32-mer that the panel holds; 32-mers without one have no row."""
-    own = read_keys(reads, key, seq, panel)
-    return own.join(panel, ["mask", "key"]).groupBy("_id", "chunk").agg(F.count(F.lit(1)).alias("n"))
+    """``_id, chunk, n``: the keys of each 32-mer that the panel holds; 32-mers without one have no row.
+
+    ``panel`` is a table of parts or of ``mask, key``; ``key`` is unique. A panel of up to IN_SCAN keys (counted; 4 bytes
+    each) goes to the tasks as sorted arrays, which answer in the scan, so no key leaves it. Of a larger
+    one bitmaps are tested in the scan and the keys that pass are joined with it. Both give the same rows.
+    """
+    table = cut(panel if "keys" in panel.columns else panel_table(panel))
+    total = (table.agg(F.sum(F.octet_length("keys"))).first()[0] or 0) // 8
+    if total > IN_SCAN:
+        rows = key_rows(table)
+        return read_keys(reads, key, seq, rows).join(rows, ["mask", "key"]).groupBy("_id", "chunk").agg(F.count(F.lit(1)).alias("n"))
+    keys = np.sort(np.frombuffer(b"".join(table.select("keys").toArrow().column("keys").to_pylist()), np.uint64))
+    ends = np.searchsorted(keys, np.arange(len(MASKS) + 1, dtype=np.uint64) << np.uint64(32))
+    held = [keys[a:b].astype(np.uint32) for a, b in zip(ends, ends[1:])]
+    shared = reads.sparkSession.sparkContext.broadcast(held)
+    kind = reads.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            word, owner, place, _ = _words(batch.column(1).to_pylist())
+            use = np.isin(place, OFFSETS)
+            n = np.zeros(int(use.sum()), np.int64)
+            for own, masked in zip(shared.value, _masked(word[use])):
+                if len(own):
+                    masked = masked.astype(np.uint32)
+                    n += own[np.searchsorted(own, masked).clip(0, len(own) - 1)] == masked
+            at = np.flatnonzero(n)
+            columns = [batch.column(0).take(pa.array(owner[use][at])), pa.array(place[use][at].astype(np.int32)), pa.array(n[at])]
+            yield pa.RecordBatch.from_arrays(columns, names=["_id", "chunk", "n"])
+
+    rows = reads.filter(F.length(seq) >= SIZE).select(F.col(key).alias("_id"), F.upper(F.col(seq)).alias("_s"))
+    return rows.mapInArrow(run, f"_id {kind}, chunk int, n bigint")
 
 
 def shared_keys(reads: DataFrame, key: str, seq: str, panel: DataFrame, any_chunk: bool = False) -> DataFrame:
-    """``key, hits``: keys of each distinct read that the panel (``mask, key``, distinct) holds, or the most of one 32-mer.
+    """``key, hits``: keys of each read (``key`` is unique) that the panel holds, or the most of one 32-mer.
 
-    Reads without a full 32-mer or a hit have 0.  The panel's bitmaps are tested in the scan,
-    only keys that pass are joined with it.
+    Reads without a full 32-mer or a hit have 0.
     """
-    panel = cut(panel)
     every = reads.select(F.col(key).alias("_id"), F.lit(0).alias("chunk"), F.lit(0).cast("bigint").alias("n"))
     own = every.unionByName(hits(reads, key, seq, panel)).groupBy("_id").agg((F.max("n") if any_chunk else F.sum("n")).alias("hits"))
     return own.withColumnRenamed("_id", key)

@@ -15,7 +15,7 @@ from lociflow.operators import selecting as S
 from lociflow.plans.aggregates import _GT, genotype_array
 from lociflow.plans.domain import ALN, BASES, MARKERS, PAIRS, READS, base_table, marker_table, norm, placed, read_table
 from lociflow.plans.registry import Registry
-from lociflow.session import cut, table
+from lociflow.session import table
 from lociflow.sources import text as TX
 
 R = Registry()
@@ -108,7 +108,7 @@ hit as (select read_id, chunk, count(*) as n from rm join held using (mask, key)
 
 
 def _panel(spark, sf_dir):
-    return K.panel_keys(placed(spark, sf_dir).filter("mapq >= 55 and mapq < 255"), "seq")
+    return K.panel_table(placed(spark, sf_dir).filter("mapq >= 55 and mapq < 255"), "seq")
 
 
 @R.query("flt_p08_kmer_filter", f"with {_KEYS} select r.read_id, cast(coalesce(sum(n), 0) as bigint) as hits, coalesce(sum(n), 0) >= 3 as kept from reads r left join hit using (read_id) group by r.read_id")
@@ -123,8 +123,7 @@ def kmer_any_chunk(spark, sf_dir):
 
 @R.query("join_j09_shared_kmers", f"with {_KEYS} select read_id, chunk, n from hit")
 def shared_kmers(spark, sf_dir):
-    panel = cut(_panel(spark, sf_dir))
-    return K.hits(read_table(spark, sf_dir), "read_id", "seq", panel).withColumnRenamed("_id", "read_id")
+    return K.hits(read_table(spark, sf_dir), "read_id", "seq", _panel(spark, sf_dir)).withColumnRenamed("_id", "read_id")
 
 
 _BARCODE = 8

@@ -3,9 +3,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from lociflow.cli import markdown
 from lociflow.functions import keys, numeric, sequence
-from lociflow.operators import kmers, mapper
+from lociflow.operators import bases, kmers, mapper
 
 READ = "AAAAAATAAAAAA"
 RECOVERY = [
@@ -72,15 +71,22 @@ def test_cigars(spark):
     assert tuple(got) == (12, 17, True, 3, 0, "3S10M2D4I")
 
 
-def test_markdown_round_trip(spark):
-    rng = random.Random(3)
-    data = []
-    for _ in range(50):
+def test_scripts_lead_back_to_the_reference(spark):
+    rng, data = random.Random(3), []
+    for key in range(60):
         ref = "".join(rng.choice("ACGT") for _ in range(30))
-        data.append(("".join(c if rng.random() < 0.8 else rng.choice("ACGT") for c in ref), ref))
-    df = spark.createDataFrame(data, "s string, r string").withColumn("md", markdown("s", "r"))
-    cigar = F.array(F.struct(F.lit(30).alias("len"), F.lit("M").alias("op")))
-    assert all(r.r == r.back for r in df.withColumn("back", sequence.reference_bases("s", "md", cigar)).collect())
+        read = "".join(c if rng.random() < 0.8 else rng.choice("ACGT") for c in ref)
+        cigar = [(30, "M")]
+        if key % 3 == 1:  # two bases lost, three clipped before
+            read, cigar = "GGG" + read[:10] + read[12:], [(3, "S"), (10, "M"), (2, "D"), (18, "M")]
+        if key % 3 == 2:
+            read, cigar = read[:15] + "TT" + read[15:], [(15, "M"), (2, "I"), (15, "M")]
+        data.append((key, read, ref, cigar))
+    data += [(90, None, "A", [(1, "M")]), (91, "A", "A", None)]
+    df = spark.createDataFrame(data, "read_id int, seq string, ref string, cigar array<struct<len:int,op:string>>")
+    back = df.join(bases.mismatch_scripts(df), "read_id").withColumn("back", sequence.reference_bases("seq", "md", "cigar"))
+    for r in back.collect():
+        assert r.back == r.ref if r.read_id < 90 else r.md is None
 
 
 @pytest.mark.parametrize("length, most", [(17, 2), (38, 3), (64, 4), (93, 5), (124, 6), (157, 7)])
@@ -120,3 +126,21 @@ def test_local_alignment():
         score, i, k, j, m = mapper.local_alignment(a, b)
         assert score == smith_waterman(a, b)
         assert not score or smith_waterman(a[i:k], b[j:m]) == score
+
+
+def test_large_panels_are_joined_and_give_the_same_hits(spark, rows, monkeypatch):
+    rng = random.Random(12)
+    panel = ["".join(rng.choice("ACGTN" if i % 5 == 0 else "ACGT") for _ in range(90)) for i in range(12)] + [None, "", "ACG"]
+    reads = [(i, (panel[i % 12][10:] + "ACGT" * 9) if i % 3 else "".join(rng.choice("ACGTN") for _ in range(100))) for i in range(60)] + [(97, None), (98, ""), (99, "A" * 31)]
+    own = spark.createDataFrame(reads, "id int, s string").selectExpr("*", "1 as chunk", "2 as mask", "3 as part").repartition(3)
+    known = spark.createDataFrame([(p,) for p in panel], "s string").repartition(4)
+    table = kmers.panel_table(known, "s")
+    small = rows(kmers.filter_reads(own, "id", "s", table))
+    assert sum(r[2] for r in small) > 20 and len(small) == len(reads)
+    assert rows(kmers.filter_reads(own, "id", "s", kmers.panel_keys(known, "s"))) == small
+    most = rows(kmers.shared_keys(own, "id", "s", table, any_chunk=True))
+    monkeypatch.setattr(kmers, "IN_SCAN", 0)
+    assert rows(kmers.filter_reads(own, "id", "s", table)) == small and rows(kmers.shared_keys(own, "id", "s", table, any_chunk=True)) == most
+    monkeypatch.setattr(kmers, "MOST_BITS", 6)  # full bitmaps lose nothing
+    assert rows(kmers.filter_reads(own, "id", "s", table)) == small
+    assert {r.hits for r in kmers.filter_reads(own, "id", "s", kmers.panel_table(known.limit(0), "s")).collect()} == {0}
