@@ -83,16 +83,20 @@ def _masked(word: np.ndarray) -> list[np.ndarray]:
     return [((block[a] << np.uint64(16)) | block[b]).astype(np.int64) for a, b in MASKS]
 
 
+def _distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted and each once; a plain sort is several times faster here than ``np.unique``."""
+    x = np.sort(x)
+    return x[np.r_[True, x[1:] != x[:-1]]] if len(x) else x
+
+
 def _parts(keys: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
-    """Distinct keys with their mask, cut into parts by a hash: a row of bytes for each part that has some."""
-    keys = np.unique(keys)
-    with np.errstate(over="ignore"):
-        part = ((keys + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % np.uint64(parts)
-    order = np.argsort(part, kind="stable")
-    ends = np.r_[0, np.cumsum(np.bincount(part.astype(np.int64), minlength=parts))]
-    held = [p for p in range(parts) if ends[p + 1] > ends[p]]
-    blobs = [keys[order[ends[p] : ends[p + 1]]].tobytes() for p in held]
-    yield pa.RecordBatch.from_arrays([pa.array(held, pa.int32()), pa.array(blobs, pa.binary())], names=["part", "keys"])
+    """Distinct sorted keys with their mask, cut into parts by ranges of the key: a row of bytes for each part that has some."""
+    borders = np.arange(parts + 1, dtype=np.uint64) * np.uint64((1 << 32) // parts)
+    borders[-1] = 1 << 32
+    ends = [np.searchsorted(keys, np.uint64(m << 32) + borders) for m in range(len(MASKS))]
+    blobs = [b"".join(keys[e[p] : e[p + 1]].tobytes() for e in ends) for p in range(parts)]
+    held = [p for p in range(parts) if blobs[p]]
+    yield pa.RecordBatch.from_arrays([pa.array(held, pa.int32()), pa.array([blobs[p] for p in held], pa.binary())], names=["part", "keys"])
 
 
 def panel_table(panel: DataFrame, seq: str | None = None) -> DataFrame:
@@ -106,12 +110,12 @@ def panel_table(panel: DataFrame, seq: str | None = None) -> DataFrame:
     def of_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             word, _, _, known = _words([s for x in batch.columns for s in x.to_pylist()])
-            yield from _parts(np.concatenate([np.unique(k).view(np.uint64) | np.uint64(m << 32) for m, k in enumerate(_masked(word[known]))]), parts)
+            yield from _parts(np.concatenate([_distinct(k).view(np.uint64) | np.uint64(m << 32) for m, k in enumerate(_masked(word[known]))]), parts)
 
     def of_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             mask, key = (batch.column(i).to_numpy().astype(np.uint64) for i in range(2))
-            yield from _parts(mask << np.uint64(32) | key, parts)
+            yield from _parts(_distinct(mask << np.uint64(32) | key), parts)
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[bytes]] = {}
@@ -119,7 +123,7 @@ def panel_table(panel: DataFrame, seq: str | None = None) -> DataFrame:
             for part, raw in zip(*(c.to_pylist() for c in batch.columns)):
                 held.setdefault(part, []).append(raw)
         for part, raw in held.items():
-            keys = np.unique(np.frombuffer(b"".join(raw), np.uint64))
+            keys = _distinct(np.frombuffer(b"".join(raw), np.uint64))
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([keys.tobytes()], pa.binary())], names=["part", "keys"])
 
     if seq is None:
