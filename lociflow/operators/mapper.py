@@ -13,27 +13,89 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lociflow.functions import numeric, sequence
+from lociflow.session import cut
 
 SEED = 16
 MATCH, MISMATCH, OPEN, EXTEND = 1, -3, -5, -2
 
 
-def contig_seeds(contigs: DataFrame, size: int = SEED) -> DataFrame:
-    """``seed, name, at``: every run of ``size`` bases of each contig, at from 0."""
-    own = contigs.filter(F.length("seq") >= size).select("name", F.upper("seq").alias("_s"))
-    each = own.select("name", "_s", F.explode(F.sequence(F.lit(0), F.length("_s") - size)).alias("at"))
-    return each.select(F.substr("_s", F.col("at") + 1, F.lit(size)).alias("seed"), "name", "at")
+CODE = np.full(256, 4, np.int64)
+CODE[np.frombuffer(b"ACGTacgt", np.uint8)] = np.tile(np.arange(4), 2)
+SEED_BITS = 24
 
 
-def read_seeds(reads: DataFrame, size: int = SEED) -> DataFrame:
-    """``seed, key, reverse, from``: the disjoint runs of each strand of a read."""
-    both = F.array(
-        F.struct(F.lit(False).alias("reverse"), F.upper("seq").alias("_s")),
-        F.struct(F.lit(True).alias("reverse"), sequence.reverse_complement(F.upper("seq")).alias("_s")),
-    )
-    own = reads.filter(F.length("seq") >= size).select("key", F.inline(both))
-    each = own.select("key", "reverse", "_s", F.explode(F.expr(f"sequence(0, length(_s) - {size}, {size})")).alias("from"))
-    return each.select(F.substr("_s", F.col("from") + 1, F.lit(size)).alias("seed"), "key", "reverse", "from")
+def _windows(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of all runs of ``size`` bases of a batch: a number, its text, its place, and the length of the text; unknown bases are one letter."""
+    raw = texts.cast(pa.large_binary())
+    ends = np.frombuffer(raw.buffers()[1], np.int64, len(raw) + 1, 8 * raw.offset)
+    code = CODE[np.frombuffer(raw.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]]
+    starts, n = ends - ends[0], max(0, len(code) - size + 1)
+    number = np.zeros(n, np.int64)
+    for j in range(size):
+        number = number * 5 + code[j : n + j]
+    sizes = np.diff(starts)
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    place = np.arange(len(code)) - starts[owner]
+    whole = np.flatnonzero(owner[:n] == owner[size - 1 :]) if n else np.zeros(0, np.int64)
+    return number[whole], owner[whole], place[whole], sizes[owner[whole]]
+
+
+def _paired(number: np.ndarray, owner: np.ndarray, place: np.ndarray, length: np.ndarray, size: int, gap: int) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of two runs ``gap`` places apart and which run is the first; runs of a text follow each other."""
+    at = np.flatnonzero(place + gap + size <= length)
+    return (number[at] * 5**size + number[at + gap]) * 8 + gap // size, at
+
+
+def seed_rows(rows: DataFrame, key: str, size: int, pieces: int | None, every: bool, bitmap: np.ndarray | None = None) -> DataFrame:
+    """``seed, key, at``: numbers of runs of ``size`` bases of texts ``key, _s``, or of two at a time with ``pieces``.
+
+    ``every`` takes every place, as of a contig, else only disjoint runs from 0 on (the first ``pieces``), as of a read.
+    Seeds that miss the bitmap are left out in the scan.
+    """
+    kind = rows.schema[key].dataType.simpleString()
+    shared = rows.sparkSession.sparkContext.broadcast(bitmap) if bitmap is not None else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            number, owner, place, length = _windows(batch.column(1), size)
+            if pieces is None:
+                found = [(number, np.arange(len(number)))]
+            else:
+                found = [_paired(number, owner, place, length, size, size * d) for d in range(1, pieces)]
+            for seed, at in found:
+                use = np.ones(len(seed), bool)
+                if not every:
+                    use = place[at] % size == 0
+                    if pieces is not None:
+                        use &= place[at] + (seed % 8) * size < size * pieces
+                if shared is not None:
+                    slot = _seed_slot(seed)
+                    use &= (shared.value[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
+                use = np.flatnonzero(use)
+                columns = [pa.array(seed[use]), batch.column(0).take(pa.array(owner[at[use]])), pa.array(place[at[use]].astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, names=["seed", "key", "at"])
+
+    return rows.select(key, "_s").mapInArrow(run, f"seed bigint, key {kind}, at int")
+
+
+def _seed_slot(seed: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return (seed.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - SEED_BITS)
+
+
+def seed_bitmap(seeds: DataFrame) -> np.ndarray:
+    """2^SEED_BITS bits (2 MB) of the seeds of reads, put together on the executors; a full one lets all contig seeds through."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            slot = np.unique(_seed_slot(batch.column(0).to_numpy()))
+            word = (np.uint64(1) << (slot & np.uint64(63))).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array((slot >> np.uint64(6)).astype(np.int64)), pa.array(word)], names=["at", "word"])
+
+    words = seeds.select("seed").mapInArrow(run, "at bigint, word bigint").groupBy("at").agg(F.bit_or("word").alias("word")).toArrow()
+    out = np.zeros((1 << SEED_BITS) // 64, np.uint64)
+    out[words.column("at").to_numpy()] = words.column("word").to_numpy().view(np.uint64)
+    return out
 
 
 def _hamming(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -62,25 +124,21 @@ def whole_seeds(reads: DataFrame, contigs: DataFrame) -> DataFrame:
     found = [_met(reads.filter(seeded), contigs, SEED), _met(reads.filter(single), contigs, SINGLE)]
     for allowed, low, high, size, pieces in PIECES:
         own = reads.filter((most == allowed) & F.length("seq").between(low, high))
-        found.append(_met_twice(own, contigs, size, pieces))
+        found.append(_met(own, contigs, size, pieces))
     return functools.reduce(DataFrame.unionByName, found).distinct()
 
 
-def _met(reads: DataFrame, contigs: DataFrame, size: int) -> DataFrame:
-    seeds = read_seeds(reads, size).join(contig_seeds(contigs, size), "seed")
-    return seeds.select("key", "reverse", "name", (F.col("at") - F.col("from")).alias("at")).filter("at >= 0").distinct()
-
-
-def _met_twice(reads: DataFrame, contigs: DataFrame, size: int, pieces: int) -> DataFrame:
-    one = read_seeds(reads, size).filter(F.col("from") < size * pieces)
-    two = one.select("key", "reverse", F.col("seed").alias("seed_2"), F.col("from").alias("from_2"))
-    own = one.join(two, ["key", "reverse"]).filter("from < from_2")
-    own = own.select("key", "reverse", "from", F.concat("seed", "seed_2").alias("seed"), (F.col("from_2") - F.col("from")).alias("gap"))
-    each = contigs.filter(F.length("seq") >= 2 * size).select("name", F.upper("seq").alias("_s"), F.explode(F.sequence(F.lit(size), F.lit(size * (pieces - 1)), F.lit(size))).alias("gap"))
-    each = each.filter(F.length("_s") >= F.col("gap") + size).select("name", "_s", "gap", F.explode(F.sequence(F.lit(0), F.length("_s") - F.col("gap") - size)).alias("at"))
-    piece = lambda start: F.substr("_s", start + 1, F.lit(size))
-    each = each.select("name", "gap", "at", F.concat(piece(F.col("at")), piece(F.col("at") + F.col("gap"))).alias("seed"))
-    met = own.join(each, ["gap", "seed"])
+def _met(reads: DataFrame, contigs: DataFrame, size: int, pieces: int | None = None) -> DataFrame:
+    """``key, reverse, name, at``: diagonals of reads and contigs that share a seed, or two ``pieces`` of it at their distance."""
+    both = F.array(
+        F.struct(F.lit(False).alias("reverse"), F.upper("seq").alias("_s")),
+        F.struct(F.lit(True).alias("reverse"), sequence.reverse_complement(F.upper("seq")).alias("_s")),
+    )
+    own = reads.filter(F.length("seq") >= size).select("key", F.inline(both)).select(F.struct("key", "reverse").alias("_k"), "_s")
+    seeds = seed_rows(own, "_k", size, pieces, False).select("seed", "key.key", "key.reverse", F.col("at").alias("from"))
+    texts = contigs.filter(F.length("seq") >= size).select("name", F.upper("seq").alias("_s"))
+    places = seed_rows(texts, "name", size, pieces, True, seed_bitmap(seeds)).withColumnRenamed("key", "name")
+    met = seeds.join(places, "seed")
     return met.select("key", "reverse", "name", (F.col("at") - F.col("from")).alias("at")).filter("at >= 0").distinct()
 
 
@@ -88,17 +146,22 @@ def hits(reads: DataFrame, contigs: DataFrame, size: int | None = None) -> DataF
     """``key, reverse, name, at, differences``: places where a read of SEED bases or more fits whole within its mismatch limit.
 
     All such places come, or, with a ``size``, only those that a disjoint seed of
-    that size supports.  Diagonals are made distinct before sequences are
+    that size supports.  Reads of one sequence are placed once. Diagonals are made distinct before sequences are
     fetched, and fetched sequences are compared in batches.
     """
-    places = _met(reads, contigs, size) if size else whole_seeds(reads.filter(F.length("seq") >= SEED), contigs)
-    read_of = reads.select("key", F.upper("seq").alias("_r")).dropDuplicates(["key"])
+    texts = reads.select("key", F.upper("seq").alias("_r")).filter(F.length("_r") >= SEED)
+    classes = cut(texts.groupBy("_r").agg(F.min("key").alias("_k")))  # a sequence of many reads is placed once
+    own = classes.select(F.col("_k").alias("key"), F.col("_r").alias("seq"))
+    contigs = cut(contigs.select("name", "seq"))  # read once for each length of pieces
+    places = _met(own, contigs, size) if size else whole_seeds(own, contigs)
     contig_of = contigs.select("name", F.upper("seq").alias("_c")).dropDuplicates(["name"])
-    both = places.join(read_of, "key").join(contig_of, "name").filter(F.col("at") + F.length("_r") <= F.length("_c"))
-    own = F.when(F.col("reverse"), sequence.reverse_complement("_r")).otherwise(F.col("_r"))
+    both = places.join(own.withColumnRenamed("seq", "_r"), "key").join(contig_of, "name").filter(F.col("at") + F.length("_r") <= F.length("_c"))
+    turned = F.when(F.col("reverse"), sequence.reverse_complement("_r")).otherwise(F.col("_r"))
     piece = F.substr("_c", F.col("at") + 1, F.length("_r"))
-    counted = both.withColumn("differences", F.pandas_udf(_hamming, "int")(own, piece))
-    return counted.filter(F.col("differences") <= limit(F.length("_r"))).select("key", "reverse", "name", "at", "differences")
+    counted = both.withColumn("differences", F.pandas_udf(_hamming, "int")(turned, piece))
+    found = counted.filter(F.col("differences") <= limit(F.length("_r"))).select(F.col("key").alias("_k"), "reverse", "name", "at", "differences")
+    members = texts.join(classes, "_r").select("key", "_k")
+    return members.join(found, "_k").select("key", "reverse", "name", "at", "differences")
 
 
 def limit(length):  # noqa: ANN001, ANN201
