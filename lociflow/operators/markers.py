@@ -64,7 +64,7 @@ def greedy_spaced(markers: DataFrame) -> DataFrame:
                     last = (chrom, pos, flank)
             yield batch.filter(pa.array(keep))
 
-    ordered = markers.dropna(subset=["chrom", "pos"]).repartition("chrom").sortWithinPartitions("chrom", "pos", "name")
+    ordered = markers.dropna(subset=["chrom", "pos"]).repartition(F.xxhash64("chrom")).sortWithinPartitions("chrom", "pos", "name")
     return ordered.mapInArrow(run, ordered.schema)
 
 
