@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from lociflow.functions import keys, numeric, sequence
+from lociflow.functions import keys, numeric, sequence, sql
 from lociflow.operators import bases as B
 from lociflow.operators import kmers as K
 from lociflow.plans.domain import ALN, BASES, BLOCKS, MARKERS, MISMATCHES, READS, marker_table, norm, placed, read_table
@@ -277,3 +277,15 @@ def genomic_order(spark, sf_dir):
 def numeric_aware_order(spark, sf_dir):
     """A sort key of texts in which runs of digits count as numbers."""
     return table(spark, sf_dir, "read_lines").filter("length(raw_line) > 0").select("line_id", keys.natural("raw_line").alias("place"))
+
+
+@R.query(
+    "fn_sql_functions",
+    f"""with {ALN}, {MARKERS}, {BASES.replace(ALN + ", ", "")}, top as (select chrom, pos, base, row_number() over (partition by chrom, pos order by count(*) desc, base) as k, count(*) as n from bases where base in ('A', 'C', 'G', 'T') and exists (select 1 from markers m where m.chrom = bases.chrom and m.pos = bases.pos) group by chrom, pos, base)
+    select chrom, pos, base as majority, {_RC.format('base')} as other, {norm("'chr' || chrom")} as same from top where k = 1""",
+)
+def sql_functions(spark, sf_dir):
+    """The functions in SQL text: the majority base of each marker that reads cover, and its complement."""
+    sql.register(spark)
+    B.marker_bases(placed(spark, sf_dir), marker_table(spark, sf_dir)).filter("base in ('A', 'C', 'G', 'T')").createOrReplaceTempView("marker_bases")
+    return spark.sql("select chrom, pos, majority, reverse_complement(majority) as other, norm_chrom(concat('chr', chrom)) as same from (select chrom, pos, majority_base(base) as majority from marker_bases group by chrom, pos)")
