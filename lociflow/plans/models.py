@@ -38,6 +38,27 @@ def svd(spark, sf_dir):
     return spark.createDataFrame([(i + 1, float(x), float(x * x / total)) for i, x in enumerate(d)], "component int, singular_value double, share double")
 
 
+_CENTRED = "with e as (select vec_id, list_avg(embedding::double[]) as m, embedding from embeddings), x as (select vec_id, generate_subscripts(embedding, 1) - 1 as d, unnest(embedding)::double - m as x from e)"
+
+
+@R.query(
+    "num_m03_spectrum",
+    f"{_CENTRED}, g as (select a.d as i, b.d as j, sum(a.x * b.x) as p from x a join x b on a.vec_id = b.vec_id group by 1, 2) select round(sum(p) filter (i = j), 3) as squares, round(sum(p * p) / 1000, 3) as fourth_powers from g",
+)
+def spectrum(spark, sf_dir):
+    """All singular values together: the sum of their squares and (in thousands) of their fourth powers."""
+    centred = P.row_means(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    d, _ = P.truncated_svd(centred, "centred", P.MOST_COLUMNS)
+    return spark.createDataFrame([(round(float((d**2).sum()), 3), round(float((d**4).sum()) / 1000, 3))], "squares double, fourth_powers double")
+
+
+@R.query("num_m03_loadings", f"{_CENTRED} select vec_id, round(sum(x * x), 4) as squares from x group by vec_id")
+def loadings(spark, sf_dir):
+    """Squared length of each row's loadings on all components, which is that of the centred row."""
+    built, _, _ = P.build_panel(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", P.MOST_COLUMNS)
+    return built.select("vec_id", F.round(F.aggregate("ud", F.lit(0.0), lambda a, x: a + x * x), 4).alias("squares"))
+
+
 @R.query("snk_k22_panel_tables")
 def panel_tables(spark, sf_dir):
     """Loadings and mean of each row, ten components."""
