@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -118,6 +119,42 @@ def depth(bases: DataFrame) -> DataFrame:
     )
 
 
+def site_depth(alignments: DataFrame) -> DataFrame:
+    """``chrom, pos, depth, q20, q30`` of every covered site, as ``depth`` of all aligned bases.
+
+    A batch of blocks is folded to one row per site in NumPy, so no base becomes a row.
+    """
+    beg = F.col("_start") + F.col("_b.ref_off")
+    blocks = _matching(alignments).select("chrom", beg.alias("beg"), F.col("_b.len").alias("len"), F.col("_b.read_off").alias("off"), F.coalesce("qual", F.lit("")).alias("qual"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            chrom = batch.column(0).dictionary_encode()
+            beg, size, off = (batch.column(i).to_numpy().astype(np.int64) for i in (1, 2, 3))
+            raw = batch.column(4).cast(pa.large_binary())
+            ends = np.frombuffer(raw.buffers()[1], np.int64, len(raw) + 1, 8 * raw.offset)
+            text = np.frombuffer(raw.buffers()[2] or b"", np.uint8)
+            row = np.repeat(np.arange(len(size)), size)
+            if not len(row):
+                continue
+            i = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+            at = ends[row] + off[row] + i
+            known = at < ends[row + 1]
+            quality = np.zeros(len(row), np.int64)
+            quality[known] = text[at[known]].astype(np.int64) - 33
+            key = (chrom.indices.to_numpy().astype(np.int64)[row] << 40) + beg[row] + i + (1 << 39)
+            order = np.argsort(key, kind="stable")
+            key, quality = key[order], quality[order]
+            first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            counts = [np.diff(np.r_[first, len(key)]), *(np.add.reduceat((quality >= q).astype(np.int64), first) for q in (20, 30))]
+            site = key[first]
+            columns = [chrom.dictionary.take(pa.array(site >> 40)), pa.array(((site & ((1 << 40) - 1)) - (1 << 39)).astype(np.int32)), *map(pa.array, counts)]
+            yield pa.RecordBatch.from_arrays(columns, names=["chrom", "pos", "depth", "q20", "q30"])
+
+    folded = blocks.mapInArrow(run, "chrom string, pos int, depth bigint, q20 bigint, q30 bigint")
+    return folded.groupBy("chrom", "pos").agg(*[F.sum(c).alias(c) for c in ("depth", "q20", "q30")])
+
+
 def filled(histogram: DataFrame, key: str, size: int, values: list[str]) -> DataFrame:
     """A histogram with a row for each of 0 .. size - 1."""
     spark = histogram.sparkSession

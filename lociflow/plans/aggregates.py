@@ -33,7 +33,7 @@ def depth(spark, sf_dir):
 
 @R.query("agg_a02_q20_q30_depth", f"{_D} select chrom, pos, q20, q30 from depth where q20 > 0")
 def q20_q30(spark, sf_dir):
-    return B.depth(base_table(spark, sf_dir)).filter("q20 > 0").select("chrom", "pos", "q20", "q30")
+    return B.site_depth(placed(spark, sf_dir)).filter("q20 > 0").select("chrom", "pos", "q20", "q30")
 
 
 @R.query(
@@ -156,7 +156,7 @@ def pileup(spark, sf_dir):
     f"""{_D} select round(sum(q20) / count(*), 6) as q20_depth, round(sum(q30) / count(*), 6) as q30_depth, round(sum(q20) / sum(depth), 6) as q20_bases, round(sum(q30) / sum(depth), 6) as q30_bases from depth""",
 )
 def quality_fractions(spark, sf_dir):
-    sums = B.depth(base_table(spark, sf_dir)).agg(*[F.sum(c).alias(c) for c in ("depth", "q20", "q30")], F.count(F.lit(1)).alias("n"))
+    sums = B.site_depth(placed(spark, sf_dir)).agg(*[F.sum(c).alias(c) for c in ("depth", "q20", "q30")], F.count(F.lit(1)).alias("n"))
     ratio = lambda a, b, n: F.round(F.col(a) / F.col(b), 6).alias(n)
     return sums.select(ratio("q20", "n", "q20_depth"), ratio("q30", "n", "q30_depth"), ratio("q20", "depth", "q20_bases"), ratio("q30", "depth", "q30_bases"))
 
@@ -329,7 +329,7 @@ _SUMMARY = f"""with {PAIRS}, {READS}, {BASES.replace(ALN + ", ", "")}, {DEPTH},
 
 @R.query("agg_a28_summary", _SUMMARY)
 def summary(spark, sf_dir):
-    return S.summary(read_table(spark, sf_dir), B.depth(base_table(spark, sf_dir)), marker_table(spark, sf_dir), SIZE, pair_table(spark, sf_dir))
+    return S.summary(read_table(spark, sf_dir), B.site_depth(placed(spark, sf_dir)), marker_table(spark, sf_dir), SIZE, pair_table(spark, sf_dir))
 
 
 _PLS = "[cast(floor((1 + embedding[1]) * 200) as int), cast(floor((1 + embedding[2]) * 200) as int), cast(floor((1 + embedding[3]) * 200) as int)]"

@@ -116,3 +116,14 @@ def test_written_genotypes_and_records_come_back(spark, tmp_path, monkeypatch):
         r = back[name]
         assert (r.flag, r.chrom, r.pos, r.mapq, r.mate_chrom, r.mate_pos, r.insert_size, r.seq, r.qual) == (flag, chrom, pos, mapq, mate, at, size, seq, qual)
         assert ([tuple(c) for c in r.cigar] if r.cigar else None) == cigar and r.tags == (tags or {})
+
+
+def test_sites_folded_in_batches_are_those_of_all_bases(spark, rows):
+    rng = random.Random(9)
+    scripts = [[(30, "M")], [(5, "S"), (25, "M")], [(10, "M"), (3, "D"), (20, "M")], [(10, "M"), (4, "I"), (16, "M")], None, [(30, "S")]]
+    quality = lambda: "".join(chr(rng.randint(33, 75)) for _ in range(30))
+    data = [(i, rng.choice(["1", "chr1", "X", None]), rng.choice([None, -3, *range(1000, 1060)]), True, 60, "A" * 30, rng.choice([quality(), quality(), None, "", "IIII"]), rng.choice(scripts), None) for i in range(300)]
+    own = spark.createDataFrame(data, "read_id int, chrom string, pos int, strand boolean, mapq int, seq string, qual string, cigar array<struct<len:int,op:string>>, md string").repartition(3)
+    want = rows(bases.depth(bases.aligned_bases(own)))
+    assert rows(bases.site_depth(own)) == want and len(want) > 100
+    assert bases.site_depth(own.limit(0)).collect() == []
