@@ -1,7 +1,8 @@
 """Ordered passes over groups of any size: carry-forward and comparison with the row before.
 
 Rows are range-partitioned by (group, order), so a hot group is spread over many
-partitions, and written once so that the partitions stay what they are.  Each
+partitions, and written once so that the partitions stay what they are: pass only
+the columns that are needed.  Each
 (partition, group) is passed on its own; what enters it from the left is a window
 over one row per (partition, group).
 """

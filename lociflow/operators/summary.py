@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lociflow.functions import numeric
 from lociflow.operators import pairs as PR
+from lociflow.session import cut
 
 
 def contig_counters(alignments: DataFrame, markers: DataFrame, chroms: list[str]) -> DataFrame:
@@ -76,6 +77,7 @@ def flag_counters(records: DataFrame, by: list[str]) -> DataFrame:
 
 def summary(reads: DataFrame, depths: DataFrame, markers: DataFrame, report_size: int, pairs: DataFrame) -> DataFrame:
     """One row of the metrics of a run; every part is a one-row aggregate."""
+    pairs = cut(pairs.select("status", "contig", "beg", "end", "obs"))  # read three times
     facing = pairs.filter("status in ('PropPair', 'PartialPair') and obs between 1 and 4095")
     sizes = facing.groupBy(F.col("obs").alias("k")).agg(F.count(F.lit(1)).alias("n"))
     median = lambda least: PR.truncated_median(sizes, "k", "n", least).select(F.col("median").alias(f"median_{least}"))

@@ -37,7 +37,7 @@ def gc_window(spark, sf_dir):
     "select event_id, last_value(case when value > 50 then value end ignore nulls) over (partition by user_id order by event_id rows between unbounded preceding and current row) as carried from events",
 )
 def carried_forward(spark, sf_dir):
-    return OD.carried(table(spark, sf_dir, "events"), ["user_id"], "event_id", "value", "value > 50").select("event_id", "carried")
+    return OD.carried(table(spark, sf_dir, "events").select("user_id", "event_id", "value"), ["user_id"], "event_id", "value", "value > 50").select("event_id", "carried")
 
 
 _FOLD = """with recursive d as (select cast(abs(insert_size::bigint) // 50 as int) as k, count(*) filter (mapq >= 20) as seen, count(*) filter (mapq < 20) as cut from sam_records where insert_size <> 0 and abs(insert_size::bigint) < 2000 and mapq is not null group by 1),
@@ -120,7 +120,7 @@ def first_wins(spark, sf_dir):
     select rec_id, lid is null or (case when lr is null then true when r is null then false when r <> lr then r > lr when lp is null then true when p is null then false else p >= lp end) as sorted from g""",
 )
 def sort_check(spark, sf_dir):
-    rows = table(spark, sf_dir, "sam_records").dropDuplicates(["rec_id"])
+    rows = table(spark, sf_dir, "sam_records").select("rec_id", "file_id", "reference_id", "pos").dropDuplicates(["rec_id"])
     return S.out_of_order(rows, "file_id", "rec_id").select("rec_id", "sorted")
 
 
