@@ -1,6 +1,7 @@
 """Binary formats: BAM alignments and PLINK genotypes as Python data sources.
 
-A BAM file is one partition, as its blocks are read in order; a PLINK table is
+A BAM file is split into ranges of bytes: a task begins at the first block of its range and the
+first record in it, found by its form, and ends behind the last record that begins in the range. A PLINK table is
 split into ranges of variants, each of which is read by itself.
 """
 
@@ -11,6 +12,7 @@ import io
 import struct
 import zlib
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +32,7 @@ OPS, BASES = "MIDNSHP=X", "=ACMGRSVTWYHKDBN"
 SIZES = {"A": ("c", 1), "c": ("b", 1), "C": ("B", 1), "s": ("h", 2), "S": ("H", 2), "i": ("i", 4), "I": ("I", 4), "f": ("f", 4)}
 ROWS = 5_000
 VARIANTS = 10_000
+SPLIT = 64 << 20
 
 
 def bam_tags(raw: bytes) -> dict[str, str]:
@@ -53,31 +56,141 @@ def bam_tags(raw: bytes) -> dict[str, str]:
     return out
 
 
+def _row(path: str, raw: bytes, names: list[str]) -> tuple:
+    """A row of BAM_SCHEMA of a record without its length."""
+    name_of = lambda i: names[i] if i >= 0 else None
+    ref, pos, l_name, mapq, _, n_cigar, flag, l_seq, mate, mate_pos, size = struct.unpack_from("<iiBBHHHiiii", raw)
+    at = 32 + l_name
+    name = raw[32 : at - 1].decode("latin-1")
+    cigar = [(x >> 4, OPS[x & 15]) for x in struct.unpack_from(f"<{n_cigar}I", raw, at)]
+    at += 4 * n_cigar
+    packed = raw[at : at + (l_seq + 1) // 2]
+    at += (l_seq + 1) // 2
+    seq = "".join(BASES[b >> 4] + BASES[b & 15] for b in packed)[:l_seq]
+    quality = raw[at : at + l_seq]
+    qual = None if not l_seq or quality[0] == 255 else "".join(chr(q + 33) for q in quality)
+    cells = [{"len": n, "op": op} for n, op in cigar] or None
+    return path, name, flag, name_of(ref), pos + 1, mapq, cells, name_of(mate), mate_pos + 1, size, seq or None, qual, bam_tags(raw[at + l_seq :])
+
+
+def _names(f: BinaryIO, path: str) -> list[str]:
+    """Names of the header's contigs; leaves f behind the header."""
+    if f.read(4) != b"BAM\1":
+        raise ValueError(f"{path} is no BAM file")
+    f.read(struct.unpack("<i", f.read(4))[0])
+    names = []
+    for _ in range(struct.unpack("<i", f.read(4))[0]):
+        names.append(f.read(struct.unpack("<i", f.read(4))[0])[:-1].decode("latin-1"))
+        f.read(4)
+    return names
+
+
 def bam_records(path: str) -> Iterator[tuple]:
-    """Rows of BAM_SCHEMA; positions from 1, nulls for what is absent."""
+    """Rows of BAM_SCHEMA of a whole file; positions from 1, nulls for what is absent."""
     with gzip.GzipFile(fileobj=files.opened(path)) as f:
-        if f.read(4) != b"BAM\1":
-            raise ValueError(f"{path} is no BAM file")
-        f.read(struct.unpack("<i", f.read(4))[0])
-        names = []
-        for _ in range(struct.unpack("<i", f.read(4))[0]):
-            names.append(f.read(struct.unpack("<i", f.read(4))[0])[:-1].decode("latin-1"))
-            f.read(4)
-        name_of = lambda i: names[i] if i >= 0 else None
+        names = _names(f, path)
         while head := f.read(4):
-            raw = f.read(struct.unpack("<i", head)[0])
-            ref, pos, l_name, mapq, _, n_cigar, flag, l_seq, mate, mate_pos, size = struct.unpack_from("<iiBBHHHiiii", raw)
-            at = 32 + l_name
-            name = raw[32 : at - 1].decode("latin-1")
-            cigar = [(x >> 4, OPS[x & 15]) for x in struct.unpack_from(f"<{n_cigar}I", raw, at)]
-            at += 4 * n_cigar
-            packed = raw[at : at + (l_seq + 1) // 2]
-            at += (l_seq + 1) // 2
-            seq = "".join(BASES[b >> 4] + BASES[b & 15] for b in packed)[:l_seq]
-            quality = raw[at : at + l_seq]
-            qual = None if not l_seq or quality[0] == 255 else "".join(chr(q + 33) for q in quality)
-            cells = [{"len": n, "op": op} for n, op in cigar] or None
-            yield path, name, flag, name_of(ref), pos + 1, mapq, cells, name_of(mate), mate_pos + 1, size, seq or None, qual, bam_tags(raw[at + l_seq :])
+            yield _row(path, f.read(struct.unpack("<i", head)[0]), names)
+
+
+def block_size(head: bytes) -> int:
+    """Bytes of a compressed block of its own size, 0 if these bytes begin none."""
+    if len(head) < 18 or head[:4] != b"\x1f\x8b\x08\x04":
+        return 0
+    extra, at = struct.unpack_from("<H", head, 10)[0], 12
+    while at + 6 <= min(len(head), 12 + extra):
+        kind, size = head[at : at + 2], struct.unpack_from("<H", head, at + 2)[0]
+        if kind == b"BC" and size == 2:
+            return struct.unpack_from("<H", head, at + 4)[0] + 1
+        at += 4 + size
+    return 0
+
+
+def _blocks(f: BinaryIO, at: int) -> Iterator[tuple[int, bytes]]:
+    """Place and content of the blocks from one on."""
+    while True:
+        f.seek(at)
+        raw = f.read(1 << 16)
+        size = block_size(raw)
+        if not size:
+            return
+        extra = struct.unpack_from("<H", raw, 10)[0]
+        yield at, zlib.decompress(raw[12 + extra : size - 8], -15)
+        at += size
+
+
+def _first_block(f: BinaryIO, begin: int) -> int | None:
+    """The first block from a place on: its size must lead to another block or the end."""
+    f.seek(begin)
+    raw, at = f.read(1 << 18), -1
+    while (at := raw.find(b"\x1f\x8b\x08\x04", at + 1)) >= 0:
+        size = block_size(raw[at : at + 64])
+        if size and (at + size >= len(raw) or block_size(raw[at + size : at + size + 64])):
+            return begin + at
+    return None
+
+
+def _plausible(raw: bytes, at: int, contigs: int, chain: int = 4) -> bool:
+    """Can a record begin here, and others behind it as far as the bytes go?"""
+    for _ in range(chain):
+        if at + 36 > len(raw):
+            return True
+        size, ref, pos, l_name, _, _, n_cigar, _, l_seq, mate, mate_pos, _ = struct.unpack_from("<iiiBBHHHiiii", raw, at)
+        need = 32 + l_name + 4 * n_cigar + (l_seq + 1) // 2 + l_seq
+        if not (32 <= need <= size < 1 << 26 and -1 <= ref < contigs and -1 <= mate < contigs and pos >= -1 and mate_pos >= -1 and l_seq >= 0 and l_name):
+            return False
+        name = raw[at + 36 : at + 36 + l_name]
+        if len(name) == l_name and (name[-1] or not all(33 <= c <= 126 for c in name[:-1])):
+            return False
+        at += 4 + size
+    return True
+
+
+def bam_range(path: str, begin: int, end: int) -> Iterator[tuple]:
+    """Rows of the records that begin in the blocks of a range of bytes."""
+    with gzip.GzipFile(fileobj=files.opened(path)) as head:
+        names = _names(head, path)
+        start = head.tell() if begin == 0 else None
+    with files.opened(path) as f:
+        first = 0 if begin == 0 else _first_block(f, begin)
+        if first is None or first >= end:
+            return
+        held, borders, source = bytearray(), [], _blocks(f, first)  # borders: place in held and in the file of each block
+
+        def more() -> bool:
+            for place, raw in source:
+                borders.append((len(held), place))
+                held.extend(raw)
+                return True
+            return False
+
+        at, searched = start if start is not None else -1, 0
+        while at < 0:
+            if not sum(more() for _ in range(4)):  # some blocks at once, so that several records tell a true begin
+                return
+            at = next((i for i in range(searched, len(held) - 36) if _plausible(held, i, len(names))), -1)
+            searched = max(searched, len(held) - 36)
+            if at < 0 and borders[-1][1] >= end:
+                return
+        while True:
+            while len(held) < at + 4 and more():
+                pass
+            if len(held) < at + 4:
+                return
+            while len(borders) > 1 and borders[1][0] <= at:
+                borders.pop(0)
+            if borders[0][1] >= end:
+                return
+            size = struct.unpack_from("<i", held, at)[0]
+            while len(held) < at + 4 + size and more():
+                pass
+            yield _row(path, bytes(held[at + 4 : at + 4 + size]), names)
+            at += 4 + size
+            if at > 1 << 20:
+                drop = min(at, borders[0][0] if len(borders) == 1 else max(p for p, _ in borders if p <= at))
+                del held[:drop]
+                at -= drop
+                borders[:] = [(p - drop, q) for p, q in borders if p >= drop]
 
 
 class _Part(InputPartition):
@@ -90,10 +203,19 @@ class _BamReader(DataSourceReader):
         self.paths = files.listed(options["path"])
 
     def partitions(self) -> list[InputPartition]:
-        return [_Part(p) for p in self.paths] or [_Part("")]
+        """Ranges of SPLIT bytes of files in blocks of their own size; any other file is one task."""
+        parts = []
+        for path in self.paths:
+            with files.opened(path) as f:
+                split = block_size(f.read(64)) > 0
+            size = files.size(path)
+            parts += [_Part(path, a, min(a + SPLIT, size)) for a in range(0, size, SPLIT)] if split and size > SPLIT else [_Part(path)]
+        return parts or [_Part("")]
 
     def read(self, partition: _Part) -> Iterator[tuple]:
-        return bam_records(partition.path) if partition.path else iter(())
+        if not partition.path:
+            return iter(())
+        return bam_range(partition.path, partition.first, partition.last) if partition.last else bam_records(partition.path)
 
 
 class BamSource(DataSource):

@@ -1,4 +1,5 @@
 import gzip
+import random
 import struct
 
 import pytest
@@ -45,3 +46,24 @@ def test_plink(spark, tmp_path, monkeypatch):
     (tmp_path / "g.bed").write_bytes(b"\x6c\x1b\x01" + raw)
     got = S.read_plink(spark, f"{tmp_path}/g").orderBy("pos").collect()
     assert [r.copies for r in got] == rows and [r.id for r in got] == ["v0", "v1", "v2"]
+
+
+@pytest.mark.parametrize("split, block", [(1_000, 300), (5_000, 4_000), (777, 60_000), (20_000, 9_000)])
+def test_ranges_of_a_bam_file_hold_every_record_once(spark, tmp_path, monkeypatch, split, block):
+    rng = random.Random(split)
+    schema = "name string, flag int, chrom string, pos int, mapq int, cigar array<struct<len:int,op:string>>, mate_chrom string, mate_pos int, insert_size int, seq string, qual string, tags map<string,string>"
+    rows = []
+    for i in range(900):
+        n = rng.choice([0, 1, 30, 100, 101, 3000 if i % 97 == 0 else 50])
+        seq = "".join(rng.choice("ACGT") for _ in range(n)) or None
+        rows.append((f"read{i:05d}", 4 * (i % 2), rng.choice(["c1", "c2", None]), rng.randint(0, 10**6), rng.randint(0, 60), [(n, "M")] if n else None, None, 0, 0, seq, "I" * n if n and i % 3 else None, {"NM": f"i:{i}", "RG": "Z:\x1f\x08"} if i % 5 else {}))
+    monkeypatch.setattr(S, "BLOCK_BYTES", block)
+    S.write_bam(spark.createDataFrame(rows, schema).coalesce(1), str(tmp_path), [("c1", 10**6), ("c2", 10**6)])
+    path = next(str(x) for x in tmp_path.iterdir())
+    size = S.files.size(path)
+    monkeypatch.setattr(S, "SPLIT", split)
+    parts = S._BamReader({"path": path}).partitions()
+    assert len(parts) > 1 and parts[-1].last == size
+    got = [r for p in parts for r in S.bam_range(path, p.first, p.last)]
+    assert got == list(S.bam_records(path)) and [r[1] for r in got] == [r[0] for r in rows]
+    assert sorted(r.name for r in S.read_bam(spark, path).collect()) == [r[0] for r in rows]
