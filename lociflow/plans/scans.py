@@ -41,7 +41,7 @@ def fastq(spark, sf_dir):
     """Reads written as FASTQ to the shared folder and read by the data source."""
     at = place(spark, "fastq")
     K.save(K.fastq(read_table(spark, sf_dir).filter(_WHOLE)), at)
-    rows = RD.read_fastq(spark, at.removeprefix("file:") + "/*.txt")
+    rows = RD.read_fastq(spark, at + "/*.txt")
     return rows.groupBy("name", "seq", "qual").agg(F.count(F.lit(1)).alias("n"))
 
 
