@@ -312,6 +312,40 @@ def test_crowded_buckets_lose_no_more(spark, monkeypatch):
     assert sum(all_of.values()) > 40 and sum(links().values()) >= 0.9 * sum(all_of.values())
 
 
+def crowd_of_reads(rng):
+    """Reads that share an adapter and part of a name."""
+    adapter, out = "".join(rng.choice("ACGT") for _ in range(80)), []
+    for _ in range(150):
+        seq = adapter + "".join(rng.choice("ACGT") for _ in range(rng.choice([10, 20, 40, 60])))
+        name = ["ins", "7", "FC1", "1", str(rng.randint(1, 3)), str(rng.randint(1, 10**6)), str(rng.randint(1, 10**6))]
+        for _ in range(rng.choice([1, 1, 2, 3])):
+            other = list(name)
+            if rng.random() < 0.5:
+                other[rng.randrange(7)] = str(rng.randint(1, 10**6))
+            out.append((len(out), ":".join(other), mutate(rng, seq, rng.choice([0, 1, 4]))))
+    return out
+
+
+def test_crowded_buckets_lose_no_pair(spark, rows, monkeypatch):
+    df = spark.createDataFrame(crowd_of_reads(random.Random(31)), "read_id bigint, name string, seq string").repartition(3)
+    monkeypatch.setattr(B, "FREE", 6)
+    monkeypatch.setattr(B, "CROWD", 10**6)  # no bucket is crowded, all pairs of each are verified
+    want = rows(B.weighted_links(df))
+    assert sum(r[2] for r in want) > 300
+    for crowd in (20, 1):
+        monkeypatch.setattr(B, "CROWD", crowd)
+        assert rows(B.weighted_links(df)) == want
+
+
+def test_hot_sequences_are_told_exactly(spark, rows, monkeypatch):
+    data = reads_with_copies(random.Random(32), n=60) + [(9000 + i, f"{i}:x:y", "ACGTACGGTTACGATT") for i in range(B.COPIES + 1)]
+    df = spark.createDataFrame(data, "read_id bigint, name string, seq string").repartition(3)
+    monkeypatch.setattr(B, "FREE", 0)
+    want = rows(B.weighted_links(df))
+    monkeypatch.setattr(B, "_bitmap", lambda keys: np.full(1 << (B.BITS - 3), 255, np.uint8))  # every sequence falls on a bit of a hot one
+    assert rows(B.weighted_links(df)) == want
+
+
 def test_groups_against_union_find(spark):
     rng = random.Random(12)
     pairs = [(rng.randint(1, 400), rng.randint(1, 400)) for _ in range(180)] + [(i, i + 1) for i in range(1000, 1300)] + [(2000, i) for i in range(2001, 2100)]
