@@ -346,6 +346,39 @@ def test_hot_sequences_are_told_exactly(spark, rows, monkeypatch):
     assert rows(B.weighted_links(df)) == want
 
 
+def test_copies_of_hot_sequences_are_all_linked(spark, monkeypatch):
+    monkeypatch.setattr(B, "FREE", 2)
+    rng = random.Random(33)
+    data = [(9000 + i, ":".join(str(rng.randint(1, 10**6)) for _ in range(rng.choice([2, 3, 4]))) + ":x:y", seq) for seq in ("ACGTACGGTTACGATTCAGGATTACC" * 2, "GGATTCCATT" * 6) for i in range(40)]
+    for i, name, seq in data[:80]:  # delivered again with one to three edits and with other tokens, of the hot sequence or another
+        other = name.split(":")
+        if rng.random() < 0.4:
+            other[rng.randrange(len(other))] = rng.choice(["x", str(rng.randint(1, 10**6))])
+        data.append((i + 1000, ":".join(other), mutate(rng, strand(seq) if i % 2 else seq, rng.choice([0, 1, 3, 30]))))
+    data = [(n, *r[1:]) for n, r in enumerate(reads_with_copies(rng, n=60) + data)]
+    reads, _ = brute_bags(data, B.FREE)
+    kept = [next(iter(reads[i])) for i in sorted(reads)]
+    df, copies, classes = Counter(t for c in kept for t in set(c[1])), Counter(c[0] for c in kept), sorted(set(kept))
+    hot = {seq for seq, n in copies.items() if n > B.COPIES}
+    runs = {c: Counter(min(r, strand(r)) for r in (c[0][k : k + B.K] for k in range(len(c[0]) - B.K + 1))) for c in classes}
+    name = {c: Counter({t: n * B.TOKEN_WEIGHT * max(0, min(B.MOST, int(math.log2(len(kept) / df[t])) - B.FREE)) for t, n in Counter(c[1]).items()}) for c in classes}
+
+    def similarity(a, b):
+        gone = {r for c in (a, b) if c[0] in hot for r in runs[c]}
+        x, y = (Counter({r: n for r, n in runs[c].items() if r not in gone}) + Counter({("t", t): n for t, n in name[c].items()}) for c in (a, b))
+        return sum((x & y).values()) / max(1, sum((x | y).values()))
+
+    found = {kept[r.read_id]: r for r in B.weighted_links(spark.createDataFrame(data, "read_id bigint, name string, seq string").repartition(3)).collect()}
+    truth = {c: [s for o in classes if o != c and (c[0] in hot or o[0] in hot) and (s := similarity(c, o)) >= B.SIMILAR] for c in classes}
+    assert len(hot) == 2 and sum(len(truth[c]) for c in classes if c[0] in hot) > 40 and sum(len(truth[c]) for c in classes if c[0] not in hot) > 20
+    for c in classes:
+        if c[0] in hot:
+            assert found[c].links == len(truth[c])
+            assert not truth[c] or abs(found[c].similarity - max(truth[c])) < 1e-6 and abs(found[c].estimate - found[c].similarity) < 0.5
+        else:
+            assert found[c].links >= len(truth[c])
+
+
 def test_groups_against_union_find(spark):
     rng = random.Random(12)
     pairs = [(rng.randint(1, 400), rng.randint(1, 400)) for _ in range(180)] + [(i, i + 1) for i in range(1000, 1300)] + [(2000, i) for i in range(2001, 2100)]
