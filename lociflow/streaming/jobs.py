@@ -17,10 +17,13 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lociflow.session import ensure_checkpoint_dir
 
+LARGE = 256 << 20  # bytes of files a batch, where a batch has costs of its own: all state is brought forward, and each partition writes
 
-def stream(spark: SparkSession, path: str, files: int = 1) -> DataFrame:
-    """The Parquet files of a folder, or one file, as a stream, some files a batch."""
-    reader = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files)
+
+def stream(spark: SparkSession, path: str, files: int = 1, size: int = 0) -> DataFrame:
+    """The Parquet files of a folder, or one file, as a stream, some files or files of ``size`` bytes together a batch."""
+    most = ("maxBytesPerTrigger", size) if size else ("maxFilesPerTrigger", files)
+    reader = spark.readStream.schema(spark.read.parquet(path).schema).option(*most)
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     if at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory():
         return reader.parquet(path)
@@ -64,7 +67,7 @@ def batch_counts(spark: SparkSession, path: str, by: str) -> DataFrame:
 
 def first_of_key(spark: SparkSession, path: str, keys: list[str], time: str, delay: str) -> DataFrame:
     """The keys of a stream once each, with state for as long as ``delay`` after the newest row."""
-    rows = stream(spark, path).withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, delay)
+    rows = stream(spark, path, size=LARGE).withColumn(time, F.col(time).cast("timestamp")).select(*keys, time).withWatermark(time, delay)
     return appended(rows.dropDuplicatesWithinWatermark(keys).select(*keys), "distinct")
 
 

@@ -53,3 +53,16 @@ def test_a_job_goes_on_where_it_stopped(spark, tmp_path):
         jobs.each_batch(jobs.stream(spark, at), "again", step, to=to)
     assert jobs.each_batch(jobs.stream(spark, at), "again", step, to=to) == to
     assert sorted(r.v for r in spark.read.parquet(f"{to}/rows").collect()) == [1, 2, 3]
+
+
+def test_many_small_files_are_few_batches(spark, tmp_path, monkeypatch):
+    at = written(spark, tmp_path / "d", [[(i % 7, f"2026-01-0{1 + i % 7}")] for i in range(12)], "k int, t string")
+    places, place = [], jobs.place
+    monkeypatch.setattr(jobs, "place", lambda *a: places.append(place(*a)) or places[-1])
+
+    def batches(size):
+        monkeypatch.setattr(jobs, "LARGE", size)
+        assert sorted(r.k for r in jobs.first_of_key(spark, at, ["k"], "t", "30 days").collect()) == [*range(7)]
+        return sum(not f.name.startswith(".") for f in (type(tmp_path)(places[-1].removeprefix("file:")) / "state" / "sources" / "0").iterdir())
+
+    assert batches(jobs.LARGE) == 1 and batches(1) == 12
