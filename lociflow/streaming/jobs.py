@@ -8,12 +8,10 @@ lets it go on after a failure.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lociflow.session import ensure_checkpoint_dir
 
@@ -71,36 +69,22 @@ def first_of_key(spark: SparkSession, path: str, keys: list[str], time: str, del
     return appended(rows.dropDuplicatesWithinWatermark(keys).select(*keys), "distinct")
 
 
-MATES = "file_id bigint, read_idx bigint, read_id_1 bigint, read_id_2 bigint"
-
-
 def mate_stream(spark: SparkSession, path: str, delay: str = "30 days") -> DataFrame:
     """``file_id, read_idx, read_id_1, read_id_2``: mates joined as they arrive, a buffer that is read once.
 
-    The first mate to come is kept until the other does, or until rows are ``delay`` newer than it; a pair comes
-    once, however often its mates are delivered before it is dropped.
+    A mate is kept until rows are twice ``delay`` newer than it; a repeated delivery of a read is dropped, so a pair
+    comes once, however often its mates are delivered before they are dropped.
     """
+    rows = stream(spark, path, size=LARGE).select("file_id", "read_idx", "read_id", "mate", F.col("run_at").cast("timestamp").alias("at"))
+
+    def side(n: int) -> DataFrame:
+        own = rows.filter(F.col("mate") == n).drop("mate").withWatermark("at", delay).dropDuplicatesWithinWatermark(["read_id"])
+        return own.select("file_id", "read_idx", F.col("read_id").alias(f"read_id_{n}"), F.col("at").alias(f"at_{n}")).alias(f"m{n}")
 
-    def meet(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        one, two, done = state.get if state.exists else (None, None, False)
-        newest = 0
-        for part in parts:
-            for mate, read in zip(part["mate"], part["read_id"]):
-                one, two = (int(read), two) if mate == 1 and one is None else (one, int(read)) if mate == 2 and two is None else (one, two)
-            newest = max(newest, int(part["at"].max().timestamp() * 1000))
-        if not done and one is not None and two is not None:
-            done = True
-            yield pd.DataFrame([(*key, one, two)], columns=["file_id", "read_idx", "read_id_1", "read_id_2"])
-        state.update((one, two, done))
-        state.setTimeoutTimestamp(max(newest, state.getCurrentWatermarkMs()) + keep)
-
-    keep = int(spark.sql(f"select cast(interval {delay} as interval second)").first()[0].total_seconds() * 1000)
-    rows = stream(spark, path).filter("mate in (1, 2)").select("file_id", "read_idx", "read_id", "mate", F.col("run_at").cast("timestamp").alias("at"))
-    buffered = rows.withWatermark("at", delay).groupBy("file_id", "read_idx")
-    return appended(buffered.applyInPandasWithState(meet, MATES, "one bigint, two bigint, done boolean", "append", GroupStateTimeout.EventTimeTimeout), "mates")
+    keys = (F.col("m1.file_id") == F.col("m2.file_id")) & (F.col("m1.read_idx") == F.col("m2.read_idx"))
+    near = F.expr(f"at_2 between at_1 - 2 * interval {delay} and at_1 + 2 * interval {delay}")
+    met = side(1).join(side(2), keys & near)
+    return appended(met.select("m1.file_id", "m1.read_idx", "read_id_1", "read_id_2"), "mates")
 
 
 def carried_stats(spark: SparkSession, path: str, value: str, good: str, least: int) -> DataFrame:

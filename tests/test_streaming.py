@@ -66,3 +66,14 @@ def test_many_small_files_are_few_batches(spark, tmp_path, monkeypatch):
         return sum(not f.name.startswith(".") for f in (type(tmp_path)(places[-1].removeprefix("file:")) / "state" / "sources" / "0").iterdir())
 
     assert batches(jobs.LARGE) == 1 and batches(1) == 12
+
+
+@pytest.mark.parametrize("size", [1, jobs.LARGE])
+def test_all_reads_of_a_mate_meet_once(spark, tmp_path, monkeypatch, size):
+    """As in SQL, two reads of one mate are two pairs; repeated deliveries are none, in the same batch or later."""
+    monkeypatch.setattr(jobs, "LARGE", size)
+    t = lambda n: f"2026-01-01 00:00:{n:02d}"
+    parts = [[(1, 1, 7, 1, t(1)), (1, 1, 7, 1, t(2))], [(2, 1, 7, 1, t(3)), (4, 2, 7, 2, t(3))], [(3, 1, 7, 2, t(4)), (5, None, 7, 1, t(4))], [(3, 1, 7, 2, t(5)), (2, 1, 7, 1, t(9)), (6, None, 7, 2, t(9))]]
+    schema = "read_id bigint, file_id bigint, read_idx bigint, mate int, run_at string"
+    at = written(spark, tmp_path / "m", parts, schema)
+    assert sorted(tuple(r) for r in jobs.mate_stream(spark, at, "1 hour").collect()) == [(1, 7, 1, 3), (1, 7, 2, 3)]
