@@ -217,16 +217,12 @@ _FRAG = """, fr as (select a.file_id, a.read_idx, length(a.seq) as n, length(b.s
 def proper_pairs(spark, sf_dir):
     """Of the places of both mates on the fragments, the pair with the least cost.
 
-    Each sequence is placed once, on fragments of distinct bases; of equal ones
-    the first by name stands for all, since it is the one that ties go to.
+    Repeated deliveries of a read give the same pair again, so they need no shuffle of their own.
     """
-    reads = read_table(spark, sf_dir).filter("seq is not null").select("read_id", F.struct("file_id", "read_idx").alias("pair"), "mate", F.upper("seq").alias("seq"))
-    classes = cut(reads.groupBy("seq").agg(F.min("read_id").alias("key")))
-    distinct = cut(fragments(spark, sf_dir).groupBy("seq").agg(F.min("name").alias("name")))
-    found = cut(MP.hits(classes, distinct).join(classes.select("key", F.length("seq").alias("_n")), "key").withColumn("stop", F.col("at") + F.col("_n")).drop("_n"))
-    keyed = reads.join(classes, "seq")
-    side = lambda n: keyed.filter(F.col("mate") == n).select("pair", F.col("key").alias(f"key_{n}"))
-    best = MP.proper_pairs(found, side(1).join(side(2), "pair").distinct(), 200, 40)
+    reads = table(spark, sf_dir, "fastq_reads").filter("length(seq) >= 16")
+    side = lambda n: reads.filter(F.col("mate") == n).select("file_id", "read_idx", F.upper("seq").alias(f"s{n}"))
+    pairs = side(1).join(side(2), ["file_id", "read_idx"]).select(F.struct("file_id", "read_idx").alias("name"), "s1", "s2")
+    best = MP.proper_pairs(pairs, 200, 40)
     return best.select(
         "pair.file_id", "pair.read_idx", F.col("name.read_idx").alias("fragment"), F.col("at").alias("place_1"), F.col("at_2").alias("place_2"), "size", F.round("cost", 6).alias("cost")
     )

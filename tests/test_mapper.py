@@ -66,6 +66,28 @@ def test_pairs_of_repeated_mates_against_brute_force(spark, tmp_path):
     assert got == want and len(want) == len(mates)
 
 
+def test_pairs_of_all_lengths_against_brute_force(spark, tmp_path):
+    """Short and long mates, unknown bases, swapped and changed copies, fragments cut from others; reads without a file are no mates."""
+    rng = random.Random(3)
+    base = lambda n: "".join(rng.choice("ACGTN" if rng.random() < 0.1 else "ACGT") for _ in range(n))
+    mates = [(base(rng.choice((16, 20, 28, 36, 50, 76, 101, 150))), base(rng.choice((16, 23, 36, 47, 64, 101, 150)))) for _ in range(24)] + [("G" * 101, "G" * 40), ("G" * 30, base(60))]
+    for a, b in mates[:24]:
+        whole = a + turned(b)
+        mates += [(b, a), (changed(rng, a, 1), changed(rng, b, 1))]
+        n = min(len(whole) // 3, rng.choice((16, 18, 22, 30, 40)))
+        if n >= 16:
+            one, two = whole[1 : n + 1], turned(whole[-n:])
+            mates.append((changed(rng, one, rng.randrange(3)), changed(rng, two, rng.randrange(2))))
+            mates.append((turned(changed(rng, whole[-n:], 1)), changed(rng, one, 1)))
+    rows = []
+    for i, (a, b) in enumerate(mates):
+        rows += [(2 * i, 1, i, 1, a), (2 * i + 1, 1, i, 2, b)]
+    lost = [(10_000, None, 0, 1, mates[0][0]), (10_001, None, 0, 2, mates[0][1])]
+    got = {tuple(r) for r in models.proper_pairs(spark, fastq(spark, tmp_path, rows + lost + rows[:4])).collect()}
+    want = brute_proper_pairs(rows)
+    assert got == want and len(want) == len(mates) and sum(x[1] != x[2] for x in want) > 10
+
+
 def test_every_place_within_the_limit_is_found(spark):
     rng = random.Random(2)
     contigs = {f"c{i}": "".join(rng.choice("ACGT") for _ in range(180)) for i in range(6)}
